@@ -1,11 +1,13 @@
 """Queries of this subpackage and their oracle SQL."""
 
-from . import bpe, exact_dedup, jaccard_join, token_tables
+from . import bpe, decontaminate, exact_dedup, jaccard_join, token_tables, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op5_bpe": bpe.op5_bpe,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_tables": token_tables.op8_token_tables,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
