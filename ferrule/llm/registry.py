@@ -1,6 +1,6 @@
 """Queries of this subpackage and their oracle SQL."""
 
-from . import bpe, class_lm, decontaminate, exact_dedup, jaccard_join, language_id, token_tables, url_filter
+from . import bpe, class_lm, decontaminate, exact_dedup, jaccard_join, language_id, substring_dedup, token_tables, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_tables": token_tables.op8_token_tables,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
