@@ -191,15 +191,19 @@ class Index:
         return out
 
 
+def _blocks(spark, items: DataFrame, item_col: str) -> list:
+    """Broadcast blocks of about ITEMS test items each; more items make more blocks, not larger ones."""
+    items = items.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    count = max(1, -(-items.count() // ITEMS))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    return [spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in items.where(part == k).collect()]) for k in range(count)]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, coverage for each document and each test item that it contains."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    blocks = max(1, -(-items.count() // ITEMS))
+    kind = docs.schema[id_col].dataType.simpleString()
     found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in part.collect()])
+    for held in _blocks(docs.sparkSession, items, item_col):
 
         def make(held=held):
             index = Index(held.value)
@@ -212,16 +216,26 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
             return step
 
-        kind = docs.schema[id_col].dataType.simpleString()
         hits = arrow_map(docs.select(id_col, text_col), f"`{id_col}` {kind}, item_id bigint, score double, coverage double", make)
         found = hits if found is None else found.union(hits)
     return found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The documents that contain no test item, with all columns."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    at = docs.columns.index(text_col)
+    for held in _blocks(docs.sparkSession, items, item_col):
+
+        def make(held=held):
+            index = Index(held.value)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array([not index.search(x) for x in text_bytes(batch.column(at))], pa.bool_()))
+
+            return step
+
+        docs = arrow_map(docs, docs.schema, make)
+    return docs
 
 
 def op9_decontaminate(spark, sf_dir):
