@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm.bpe import bpe_round_trip, default_vocabulary
-from ferrule.llm.common import documents, stored
+from ferrule.llm.common import documents, few, stored
 from ferrule.llm.decontaminate import drop_contaminated
 from ferrule.llm.exact_dedup import drop_copies
 from ferrule.llm.jaccard_join import drop_near_copies
@@ -19,7 +19,7 @@ from ferrule.llm.language_id import drop_unknown, learn
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned."""
-    return drop_unknown(docs, learn(docs))
+    return few(drop_unknown(docs, learn(docs)))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,22 +27,22 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    return drop_copies(docs, F.col("id") <= (0 if ends["a"] is None else (ends["a"] + ends["b"]) // 2))
+    return few(drop_copies(docs, F.col("id") <= (0 if ends["a"] is None else (ends["a"] + ends["b"]) // 2)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
-    return drop_near_copies(docs)
+    return few(drop_near_copies(docs))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return few(drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text."""
-    return bpe_round_trip(docs, default_vocabulary())
+    return few(bpe_round_trip(docs, default_vocabulary()))
 
 
 STAGES = [("language", language), ("copies", copies), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("tokens", tokens)]

@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["ferrule.llm"])
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that the Parquet reader holds at once; texts can be long.
+READER_ROWS = 512
+#: Files of a written table for each core at most: small files cost more than they spread.
+FILES_PER_CORE = 4
 
 
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,11 +44,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The same rows in no more partitions than FILES_PER_CORE for each core of the cluster."""
+    return df.coalesce(FILES_PER_CORE * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again; this cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    few(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
