@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -24,13 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, kept
 
 # The split pattern of byte-level BPE vocabularies.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces whose encoding is remembered, their length, and pieces handled at once.
-REMEMBERED, SHORT, RUN = 400_000, 48, 1 << 16
+# Letters, numbers and white space below U+0250, for texts that have nothing above.
+LETTERS, NUMBERS, BLANKS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+#: Pieces remembered in each of two halves, their length, and pieces handled at once.
+REMEMBERED, SHORT, RUN = 300_000, 48, 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +44,34 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Splitter:
+    """Cuts texts into pieces; the standard library is faster where its character classes will do."""
+
+    def __init__(self):
+        self.every, self.latin, self.other = regex.compile(PATTERN), re.compile(LATIN), re.compile(r"[^\x00-\u024f]")
+
+    def pattern(self, text: str):
+        return self.every if self.other.search(text) else self.latin
+
+
+class Pieces(dict):
+    """What was made of short pieces; the half that was not used of late is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.before = make, {}
+
+    def __missing__(self, piece: str):
+        found = self.before.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -56,9 +88,9 @@ class Codec:
         self.strings = {str(i): bytes(letters[c] for c in s) for s, i in vocab.items()}
         self.strings |= {str(i): s.encode() for s, i in self.special.items()}
         self.strings[""] = b""
-        self.split = regex.compile(PATTERN)
+        self.split = Splitter()
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.seen: dict[str, str] = {}
+        self.pieces = Pieces(lambda piece: ",".join(map(str, self.merge(piece.encode()))))
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
@@ -87,22 +119,11 @@ class Codec:
                 heapq.heappush(queue, (r, h, made, ids[h], new))
         return [x for x in ids if x >= 0]
 
-    def piece(self, text: str) -> str:
-        """Decimal ids of one piece, joined by commas."""
-        found = self.seen.get(text)
-        if found is None:
-            found = ",".join(map(str, self.merge(text.encode())))
-            if len(text) <= SHORT:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[text] = found
-        return found
-
     def _plain(self, text: str) -> Iterator[list[str]]:
         if len(text) <= 1 << 20:
-            yield self.split.findall(text)
+            yield self.split.pattern(text).findall(text)
             return
-        found = (m.group() for m in self.split.finditer(text))
+        found = (m.group() for m in self.split.pattern(text).finditer(text))
         while run := list(islice(found, RUN)):
             yield run
 
@@ -118,7 +139,7 @@ class Codec:
     def _runs(self, text: str) -> Iterator[str]:
         for pieces in self._plain(text):
             if pieces:
-                yield ",".join(map(self.piece, pieces))
+                yield ",".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for run in self.encoded(text) for x in run.split(",")]
@@ -145,7 +166,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
 
     def make():
-        codec = Codec(vocabulary)
+        codec = kept(f"codec {vocabulary}", lambda: Codec(vocabulary))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, digests, decoded, ids, back = [], [], [], [], []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -97,3 +98,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def kept(name: str, make: Callable):
+    """An object that a Python worker makes once and keeps for the tasks that it runs later."""
+    state = vars(sys.modules.setdefault("ferrule_worker_state", types.ModuleType("ferrule_worker_state")))
+    if name not in state:
+        state[name] = make()
+    return state[name]

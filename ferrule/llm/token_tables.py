@@ -27,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, REMEMBERED, SHORT, default_vocabulary
-from .common import documents, scratch_path, tune
+from .bpe import Pieces, Splitter, default_vocabulary
+from .common import documents, kept, scratch_path, tune
 
+#: Bytes of a block, bits and hashes of the filter for each key.
 BLOCK, FILTER_BITS, FILTER_HASHES = 1 << 16, 12, 7
 ENTRY, FOOTER, MAGIC = "<HHI", "<QQQQQQI8s", b"FRLTOKN1"
 
@@ -52,8 +52,8 @@ class Encoder:
         # the split below is the one of this kind of vocabulary; others go to the library whole
         self.whole = spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split, self.seen = regex.compile(PATTERN), {}
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.split, self.pieces, self.letter = Splitter(), Pieces(self._library), "H" if self.dtype == "<u2" else "I"
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         end = np.array([self.end], self.dtype).tobytes()
@@ -61,22 +61,13 @@ class Encoder:
             yield self.ids(text) + end
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def ids(self, text: str) -> bytes:
         if self.whole or len(text) > 1 << 20 or any(s in text for s in self.special):
             return self._library(text)
-        pieces, seen = self.split.findall(text), self.seen
-        try:
-            return b"".join(map(seen.__getitem__, pieces))
-        except KeyError:
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in seen]
-            own = dict(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out = b"".join([seen[p] if p in seen else own[p] for p in pieces])
-            seen.update((p, v) for p, v in own.items() if len(p) <= SHORT)
-            return out
+        return b"".join(map(self.pieces.__getitem__, self.split.pattern(text).findall(text)))
 
 
 def key_of(number: int | None) -> bytes:
@@ -208,7 +199,7 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, id
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, first = Encoder(vocabulary, end), None, None
+        encode, out, first = kept(f"encoder {vocabulary} {end}", lambda: Encoder(vocabulary, end)), None, None
         path = f"{folder}/shard-{uuid.uuid4().hex}.tok"
         for batch in batches:
             ids = batch.column(0).to_pylist()
