@@ -21,6 +21,7 @@ columns are passed over.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
@@ -83,13 +84,16 @@ class Bands:
 
     def of(self, size: int) -> int:
         while self.tops[-1] < size:
-            low = self.tops[-1] + 1
-            self.tops.append(low * self.den // self.num)
-        return int(np.searchsorted(self.tops, size))
+            self._add()
+        return bisect_left(self.tops, size)
+
+    def _add(self) -> None:
+        self.tops.append((self.tops[-1] + 1) * self.den // self.num)
 
     def differences(self, band: int) -> int:
         """Most differing features of similar sets in this band and the one before."""
-        self.of(self.tops[-1] + 1 if band >= len(self.tops) else 1)
+        while band >= len(self.tops):
+            self._add()
         return 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
 
 
@@ -97,7 +101,6 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set for its band with the one before and with the one after."""
     out, size = [], len(features)
     band = bands.of(size)
-    bands.of(bands.tops[-1] + 1)
     for pair in (band, band + 1):
         k = bands.differences(pair)
         if not k:
