@@ -10,7 +10,8 @@ set has over k stronger ones, as one of those must then be equal.
 
 Sets sharing a signature are compared with the smallest id of the run (a star,
 not all pairs); where a star leaves a run in several components, its members are
-compared in blocks.  Every comparison is of whole sets; no link is lost.
+compared with each other too, the sets of overlapping runs held once, or in
+blocks where there are too many.  Every comparison is of whole sets; no link is lost.
 
 Results in odd cases: null and empty texts, and texts without words, have empty
 sets and stay alone; equal sets are one node; a text of fewer words than a
@@ -40,6 +41,8 @@ STRONG, PARTS, SUBSET, SPARE = 2, 2, 1, 1.2
 HOT = 0.001
 #: Signatures that one bucket of the exchange holds on average; members compared at once.
 BUCKET_SIGS, BLOCK = 1_000_000, 512
+#: Sets of overlapping runs that one task holds at once; more are compared run by run, in blocks.
+TOGETHER = 4000
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -239,39 +242,71 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+class Compared:
+    """Sets held together, which of them are linked, and which pairs were compared."""
+
+    def __init__(self, ids, features, component, num: int, den: int):
+        self.ids, self.num, self.den = np.asarray(ids), num, den
+        self.sets = [np.asarray(x).view(np.uint64) for x in features]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        self.sketch = np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64) for x in self.sets], np.int32)
+        self.root = np.unique(component, return_inverse=True)[1]
+        self.links: list[tuple] = []
+
+    def against(self, x: int, others: np.ndarray) -> None:
+        """Compare set x with others that it isn't linked with yet."""
+        num, den, size = self.num, self.den, self.size
+        near = others[self.root[others] != self.root[x]]
+        near = near[den * np.minimum(size[near], size[x]) >= num * np.maximum(size[near], size[x])]
+        if len(near):
+            # at least as many features differ as the counts by their first bits do
+            apart = np.abs(self.sketch[near] - self.sketch[x]).sum(axis=1)
+            near = near[(den + num) * apart <= (den - num) * (size[near] + size[x])]
+        for y in near.tolist():
+            if self.root[y] != self.root[x] and _similar(self.sets[x], self.sets[y], num, den):
+                self.root[self.root == self.root[y]] = self.root[x]
+                self.links.append((self.ids[x], self.ids[y]))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.links, columns=["a", "b"])
+
+
 def _block_links(num: int, den: int):
+    """Links between two blocks of a run, or within one."""
+
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        rows = rows.reset_index(drop=True)
-        sets = [np.asarray(x).view(np.uint64) for x in rows["features"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        sketch = np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64) for x in sets], np.int32)
-        ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
-        root = {c: c for c in rows["component"]}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        own, links = rows["component"].to_list(), []
+        held, block = Compared(rows["id"], rows["features"], rows["component"], num, den), rows["block"].to_numpy()
         for x in range(len(rows)):
             y = np.arange(x + 1, len(rows))
-            if i != j:
-                y = y[block[y] != block[x]]
-            near = y[(den * np.minimum(size[y], size[x]) >= num * np.maximum(size[y], size[x]))]
-            if not len(near):
+            held.against(x, y if i == j else y[block[y] != block[x]])
+        return held.frame()
+
+    return compare
+
+
+def _cluster_links(num: int, den: int):
+    """Links within the runs of a cluster; each pair is compared once, whatever runs it shares."""
+
+    def compare(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if members.empty or sets.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = sets.sort_values("id", ignore_index=True)
+        where = {i: k for k, i in enumerate(sets["id"])}
+        component = members.drop_duplicates("id").set_index("id")["component"].reindex(sets["id"]).to_numpy()
+        held = Compared(sets["id"], sets["features"], component, num, den)
+        done = np.zeros((len(sets), len(sets)), bool)
+        runs = [np.sort(g["id"].map(where).to_numpy()) for _, g in members.groupby("run")]
+        for run in sorted(runs, key=len, reverse=True):
+            if (held.root[run] == held.root[run[0]]).all():
                 continue
-            apart = np.abs(sketch[near] - sketch[x]).sum(axis=1)
-            # no fewer features differ than the sketches do
-            near = near[(den + num) * apart <= (den - num) * (size[near] + size[x])]
-            for z in near:
-                a, b = find(own[x]), find(own[z])
-                if a != b and _similar(sets[x], sets[z], num, den):
-                    root[max(a, b)] = min(a, b)
-                    links.append((ids[x], ids[z]))
-        return pd.DataFrame(links, columns=["a", "b"])
+            for k, x in enumerate(run.tolist()):
+                others = run[k + 1 :]
+                others = others[~done[x, others]]
+                if len(others):
+                    held.against(x, others)
+                    done[x, others] = True
+        return held.frame()
 
     return compare
 
@@ -307,14 +342,21 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     links = stored(links, "star-links")
     found = stored(components(links, "a", "b"), "star-components")
 
-    # runs that the stars leave in several components
-    placed = runs.join(found, "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
-    placed = stored(placed, "placed")
-    open_runs = placed.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(full, "id")
-    more = members.groupBy("run", "i", "j").applyInPandas(_block_links(num, den), "a bigint, b bigint")
+    # runs of which the stars leave more than the first set to compare
+    placed = stored(runs.join(found, "id", "left").select("run", "first", "id", F.coalesce("component", "id").alias("component")), "placed")
+    open_runs = placed.where("id <> first").groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("run", "size")
+    members = stored(placed.join(open_runs, "run"), "open-runs")
+    cluster = stored(components(members.where("id <> first"), "first", "id").withColumnRenamed("component", "cluster"), "clusters")
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("together"))
+    cluster = cluster.join(sizes, "cluster")
+    everyone = members.select("run", "size", "id", "component").join(cluster, "id")
+    small = everyone.where(F.col("together") <= TOGETHER)
+    sets_of = full.join(cluster.where(F.col("together") <= TOGETHER).select("id", F.col("cluster").alias("held_in")), "id")
+    more = small.select("cluster", "run", "id", "component").groupBy("cluster").cogroup(sets_of.groupBy("held_in")).applyInPandas(_cluster_links(num, den), "a bigint, b bigint")
+    large = everyone.where(F.col("together") > TOGETHER).withColumn("blocks", F.ceil((F.col("size") + 1) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(full, "id")
+    more = more.union(large.groupBy("run", "i", "j").applyInPandas(_block_links(num, den), "a bigint, b bigint"))
     final = components(links.union(more), "a", "b")
     out = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
