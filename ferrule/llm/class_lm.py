@@ -214,7 +214,15 @@ def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: st
     counts = stored(count_words(train, text_col), "word-counts")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = int(size["n"]), int(size["v"])
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    # the least count of which there are no more than FREQUENT words, from a histogram of a few hundred rows
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        held += r["words"]
+        if held > FREQUENT:
+            least = r["step"] + 1
+            break
+    top = counts.where(step >= least).orderBy(F.desc("n"), "key").toArrow()
     symbols = Symbols(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy())
     bigrams = count_bigrams(train, spark.sparkContext.broadcast(symbols), text_col)
     held = spark.sparkContext.broadcast(Model(symbols, bigrams, tokens, types))

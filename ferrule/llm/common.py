@@ -100,6 +100,15 @@ def doc_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def thinned(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Rows of which the size smallest by a 64-bit hash column are certainly part, and about twice as many at most.
+
+    Only counts come to the driver, so what a task sends there doesn't grow with the number of tasks.
+    """
+    share = 2.0 * size / max(1, df.count())
+    return df if share >= 1 else df.where(F.col(order) < F.lit(int(-(1 << 63) + share * (1 << 64))))
+
+
 def kept(name: str, make: Callable):
     """An object that a Python worker makes once and keeps for the tasks that it runs later."""
     state = vars(sys.modules.setdefault("ferrule_worker_state", types.ModuleType("ferrule_worker_state")))

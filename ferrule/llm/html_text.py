@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pages
+from .common import arrow_map, pages, thinned
 
 #: Pages and nodes learned from at most; rounds, depth and learning rate of the trees; bins of a feature.
 SAMPLE_PAGES, SAMPLE_NODES = 600, 60_000
@@ -275,7 +275,7 @@ class Trees:
 def learn(table: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees | None:
     """Train on at most SAMPLE_NODES nodes of at most SAMPLE_PAGES pages, chosen by a hash of the id."""
     sample = table.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.xxhash64(id_col).alias("o"))
-    chosen = sample.select("o").orderBy("o").limit(SAMPLE_PAGES)
+    chosen = thinned(sample.select("o"), "o", SAMPLE_PAGES).orderBy("o").limit(SAMPLE_PAGES)
     last = chosen.agg(F.max("o")).first()[0]
     if last is None:
         return None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_crc, documents
+from .common import arrow_map, doc_crc, documents, thinned
 
 #: Rows learned from at most, windows of each, and bytes of a window.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 4000, 3, 256
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     parts = F.array(*[F.substring(F.col("t"), (F.pmod(F.xxhash64(F.col("i"), F.lit(k)), size) + 1).cast("int"), WINDOW) for k in range(SAMPLE_WINDOWS)])
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("label"))
     rows = rows.where("t is not null and label is not null and label <> 'und'").select("label", parts.alias("parts"), F.xxhash64("i").alias("o"), "i")
-    sample = rows.orderBy("o", "i").limit(SAMPLE_ROWS).collect()
+    sample = thinned(rows, "o", SAMPLE_ROWS).orderBy("o", "i").limit(SAMPLE_ROWS).collect()
     pairs = [(r["label"], p) for r in sample for p in dict.fromkeys(r["parts"]) if any(map(str.isalpha, p))]
     network = Network(sorted({label for label, _ in pairs}))
     if pairs:
