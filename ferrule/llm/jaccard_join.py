@@ -8,7 +8,8 @@ of its subsets of m second-level parts is equal in both.  Each subset's content
 is a signature.  Signatures of fewer than STRONG features are left out where a
 set has over k stronger ones, as one of those must then be equal.
 
-Sets sharing a signature are compared with the smallest id of the run (a star,
+Members of a run whose sizes and feature counts rule out similarity are parted
+first.  Sets sharing a signature are then compared with the smallest id of the run (a star,
 not all pairs); where a star leaves a run in several components, its members are
 compared with each other too, the sets of overlapping runs held once, or in
 blocks where there are too many.  Every comparison is of whole sets; no link is lost.
@@ -131,24 +132,25 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, number of features and a 128-bit key of the set."""
+    """id, number of features, a 128-bit key of the set, and its features counted by their first bits."""
 
     def make():
         words = Words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, a, b = [], [], []
+            n, a, b, c = [], [], [], []
             for data in text_bytes(batch.column(1)):
                 found = shingle_set(data, width, words)
                 n.append(len(found))
                 a.append(int(found.sum(dtype=np.uint64)))
                 b.append(int(mix(found ^ K[0]).sum(dtype=np.uint64)))
+                c.append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes())
             keys = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *keys], ["id", "n", "k1", "k2"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *keys, pa.array(c, pa.binary())], ["id", "n", "k1", "k2", "sketch"])
 
         return step
 
-    return arrow_map(docs, "id bigint, n bigint, k1 bigint, k2 bigint", make)
+    return arrow_map(docs, "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary", make)
 
 
 def _packed(docs: DataFrame, width: int, num: int, den: int, hot: dict[tuple, int], buckets: int) -> DataFrame:
@@ -224,6 +226,50 @@ def _runs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "run bigint, first bigint, id bigint")
 
 
+def _near(size: np.ndarray, sketch: np.ndarray, x: int, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Those of y whose sizes and counts let them be similar to x; none that is similar is left out."""
+    y = y[den * np.minimum(size[y], size[x]) >= num * np.maximum(size[y], size[x])]
+    apart = np.abs(sketch[y] - sketch[x]).sum(axis=1)
+    return y[(den + num) * apart <= (den - num) * (size[y] + size[x])]
+
+
+def _split_runs(num: int, den: int):
+    """Runs cut into the parts whose members can be similar to each other; the rest goes."""
+
+    def split(table):
+        run, ids, size = (table.column(c).to_numpy() for c in ("run", "id", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, 64).astype(np.int32)
+        order = np.lexsort((ids, run))
+        run, ids, size, sketch = run[order], ids[order], size[order], sketch[order]
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        counts = np.diff(np.append(starts, len(run)))
+        group = np.arange(len(run))
+        two = starts[counts == 2]
+        small, large = np.minimum(size[two], size[two + 1]), np.maximum(size[two], size[two + 1])
+        apart = np.abs(sketch[two] - sketch[two + 1]).sum(axis=1)
+        good = two[(den * small >= num * large) & ((den + num) * apart <= (den - num) * (small + large))]
+        group[good + 1] = good
+        for start, count in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+            left, end = np.arange(start, start + count), start + count
+            while len(left):
+                # everything that can be reached from the first one that is left
+                queue, left = [int(left[0])], left[1:]
+                name = queue[0]
+                while queue and len(left):
+                    found = _near(size, sketch, queue.pop(), left, num, den)
+                    group[found] = name
+                    queue += found.tolist()
+                    left = left[~np.isin(left, found, assume_unique=True)]
+        names, place, many = np.unique(group, return_inverse=True, return_counts=True)
+        keep = many[place] > 1
+        with np.errstate(over="ignore"):
+            content = np.zeros(len(names), np.uint64)
+            np.add.at(content, place, mix(ids.view(np.uint64) ^ K[1]))
+        return pa.table({"run": content[place][keep].view(np.int64), "first": ids[group][keep], "id": ids[keep]})
+
+    return split
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def make():
         words = Words()
@@ -256,12 +302,7 @@ class Compared:
     def against(self, x: int, others: np.ndarray) -> None:
         """Compare set x with others that it isn't linked with yet."""
         num, den, size = self.num, self.den, self.size
-        near = others[self.root[others] != self.root[x]]
-        near = near[den * np.minimum(size[near], size[x]) >= num * np.maximum(size[near], size[x])]
-        if len(near):
-            # at least as many features differ as the counts by their first bits do
-            apart = np.abs(self.sketch[near] - self.sketch[x]).sum(axis=1)
-            near = near[(den + num) * apart <= (den - num) * (size[near] + size[x])]
+        near = _near(size, self.sketch, x, others[self.root[others] != self.root[x]], num, den)
         for y in near.tolist():
             if self.root[y] != self.root[x] and _similar(self.sets[x], self.sets[y], num, den):
                 self.root[self.root == self.root[y]] = self.root[x]
@@ -321,14 +362,16 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("features")).first()
     # over HOT of all rows each, so at most 1 / HOT groups
     hot = {(r["n"], r["k1"] % (1 << 64), r["k2"] % (1 << 64)): r["rep"] for r in groups.where(F.col("copies") > HOT * total["rows"] + 1).select("n", "k1", "k2", "rep").collect()}
-    nodes = stored(sets.join(groups.drop("copies"), ["n", "k1", "k2"], "left").select("id", "n", "rep"), "set-nodes")
+    nodes = stored(sets.join(groups.drop("copies"), ["n", "k1", "k2"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "set-nodes")
     share = 4.5 * SPARE * (den - num) / (den + num)
     buckets = max(1, int((total["features"] or 0) * share / BUCKET_SIGS))
     runs = stored(_runs(_packed(docs, width, num, den, hot, buckets)), "signature-runs")
 
     rep = nodes.where("rep is not null").select(F.col("id"), "rep").distinct()
-    runs = runs.join(rep, "id").select("run", "first", F.col("rep").alias("id")).join(rep.withColumnRenamed("id", "first"), "first").select("run", F.col("rep").alias("first"), "id")
-    runs = stored(runs.distinct(), "set-runs")
+    runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()
+    sketches = nodes.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"])
+    parts = F.pmod("run", F.lit(max(8, 4 * buckets))).alias("part")
+    runs = stored(runs.join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct(), "set-runs")
     pairs = runs.where("id <> first").select("first", "id").distinct()
     needed = runs.select("id").union(runs.select("first")).distinct()
     full = stored(_full_sets(docs, needed, width), "full-sets")
@@ -358,7 +401,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     large = large.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(full, "id")
     more = more.union(large.groupBy("run", "i", "j").applyInPandas(_block_links(num, den), "a bigint, b bigint"))
     final = components(links.union(more), "a", "b")
-    out = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    out = nodes.drop("sketch").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
