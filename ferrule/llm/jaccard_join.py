@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(found))
                 a.append(int(found.sum(dtype=np.uint64)))
                 b.append(int(mix(found ^ K[0]).sum(dtype=np.uint64)))
-                c.append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes())
+                c.append(sketch_of(found, sketch_bits(len(found))).tobytes())
             keys = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *keys, pa.array(c, pa.binary())], ["id", "n", "k1", "k2", "sketch"])
 
@@ -226,6 +226,23 @@ def _runs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "run bigint, first bigint, id bigint")
 
 
+def sketch_bits(size: int) -> int:
+    """First bits by which a set's features are counted: about three features for each count."""
+    return min(14, max(6, (size // 3).bit_length()))
+
+
+def sketch_of(features: np.ndarray, bits: int) -> np.ndarray:
+    """Features counted by their first bits, up to 255; no fewer features differ between sets than counts do."""
+    return np.minimum(np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of the shortest one's length."""
+    width = min(len(x) for x in sketches)
+    rows = [x if len(x) == width else np.minimum(x.reshape(width, -1).sum(axis=1), 255) for x in sketches]
+    return np.array(rows, np.int16)
+
+
 def _near(size: np.ndarray, sketch: np.ndarray, x: int, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Those of y whose sizes and counts let them be similar to x; none that is similar is left out."""
     y = y[den * np.minimum(size[y], size[x]) >= num * np.maximum(size[y], size[x])]
@@ -238,26 +255,30 @@ def _split_runs(num: int, den: int):
 
     def split(table):
         run, ids, size = (table.column(c).to_numpy() for c in ("run", "id", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, 64).astype(np.int32)
+        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
         order = np.lexsort((ids, run))
-        run, ids, size, sketch = run[order], ids[order], size[order], sketch[order]
+        run, ids, size, sketches = run[order], ids[order], size[order], [sketches[k] for k in order.tolist()]
         starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         counts = np.diff(np.append(starts, len(run)))
         group = np.arange(len(run))
         two = starts[counts == 2]
-        small, large = np.minimum(size[two], size[two + 1]), np.maximum(size[two], size[two + 1])
-        apart = np.abs(sketch[two] - sketch[two + 1]).sum(axis=1)
-        good = two[(den * small >= num * large) & ((den + num) * apart <= (den - num) * (small + large))]
-        group[good + 1] = good
+        two = two[den * np.minimum(size[two], size[two + 1]) >= num * np.maximum(size[two], size[two + 1])]
+        for at in two.tolist():
+            a, b = sketches[at], sketches[at + 1]
+            if len(a) != len(b):
+                a, b = _folded([a, b])
+            apart = int(np.abs(a.astype(np.int16) - b).sum())
+            if (den + num) * apart <= (den - num) * int(size[at] + size[at + 1]):
+                group[at + 1] = at
         for start, count in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-            left, end = np.arange(start, start + count), start + count
+            own, lengths, left = _folded(sketches[start : start + count]), size[start : start + count], np.arange(count)
             while len(left):
                 # everything that can be reached from the first one that is left
                 queue, left = [int(left[0])], left[1:]
                 name = queue[0]
                 while queue and len(left):
-                    found = _near(size, sketch, queue.pop(), left, num, den)
-                    group[found] = name
+                    found = _near(lengths, own, queue.pop(), left, num, den)
+                    group[start + found] = start + name
                     queue += found.tolist()
                     left = left[~np.isin(left, found, assume_unique=True)]
         names, place, many = np.unique(group, return_inverse=True, return_counts=True)
@@ -295,7 +316,8 @@ class Compared:
         self.ids, self.num, self.den = np.asarray(ids), num, den
         self.sets = [np.asarray(x).view(np.uint64) for x in features]
         self.size = np.array([len(x) for x in self.sets], np.int64)
-        self.sketch = np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64) for x in self.sets], np.int32)
+        bits = sketch_bits(int(self.size.min())) if len(self.sets) else 6
+        self.sketch = np.array([sketch_of(x, bits) for x in self.sets], np.int16)
         self.root = np.unique(component, return_inverse=True)[1]
         self.links: list[tuple] = []
 
