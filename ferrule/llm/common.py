@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import types
@@ -100,6 +101,12 @@ def doc_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that were stored and are not referred to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def thinned(df: DataFrame, order: str, size: int) -> DataFrame:
     """Rows of which the size smallest by a 64-bit hash column are certainly part, and about twice as many at most.
 

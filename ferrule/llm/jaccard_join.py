@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, stored, text_bytes, tune
+from .common import arrow_map, documents, release, stored, text_bytes, tune
 from .components import components
 
 #: Features that a signature should have, subsets' parts, growth of the number of parts that makes up for weak ones.
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(found))
                 a.append(int(found.sum(dtype=np.uint64)))
                 b.append(int(mix(found ^ K[0]).sum(dtype=np.uint64)))
-                c.append(sketch_of(found, sketch_bits(len(found))).tobytes())
+                c.append(nibbles(sketch_of(found, sketch_bits(len(found)))))
             keys = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *keys, pa.array(c, pa.binary())], ["id", "n", "k1", "k2", "sketch"])
 
@@ -232,14 +232,25 @@ def sketch_bits(size: int) -> int:
 
 
 def sketch_of(features: np.ndarray, bits: int) -> np.ndarray:
-    """Features counted by their first bits, up to 255; no fewer features differ between sets than counts do."""
-    return np.minimum(np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+    """Features counted by their first bits, up to 15; no fewer features differ between sets than counts do."""
+    return np.minimum(np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+
+
+def nibbles(counts: np.ndarray) -> bytes:
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8)
+    out = np.empty(2 * len(packed), np.uint8)
+    out[::2], out[1::2] = packed & 15, packed >> 4
+    return out
 
 
 def _folded(sketches: list[np.ndarray]) -> np.ndarray:
     """Sketches as rows of the shortest one's length."""
     width = min(len(x) for x in sketches)
-    rows = [x if len(x) == width else np.minimum(x.reshape(width, -1).sum(axis=1), 255) for x in sketches]
+    rows = [x if len(x) == width else np.minimum(x.reshape(width, -1).sum(axis=1), 15) for x in sketches]
     return np.array(rows, np.int16)
 
 
@@ -255,7 +266,7 @@ def _split_runs(num: int, den: int):
 
     def split(table):
         run, ids, size = (table.column(c).to_numpy() for c in ("run", "id", "n"))
-        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        sketches = [counts_of(x) for x in table.column("sketch").to_pylist()]
         order = np.lexsort((ids, run))
         run, ids, size, sketches = run[order], ids[order], size[order], [sketches[k] for k in order.tolist()]
         starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -389,11 +400,14 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     buckets = max(1, int((total["features"] or 0) * share / BUCKET_SIGS))
     runs = stored(_runs(_packed(docs, width, num, den, hot, buckets)), "signature-runs")
 
+    release(spark)
+
     rep = nodes.where("rep is not null").select(F.col("id"), "rep").distinct()
     runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()
     sketches = nodes.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"])
     parts = F.pmod("run", F.lit(max(8, 4 * buckets))).alias("part")
     runs = stored(runs.join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct(), "set-runs")
+    release(spark)
     pairs = runs.where("id <> first").select("first", "id").distinct()
     needed = runs.select("id").union(runs.select("first")).distinct()
     full = stored(_full_sets(docs, needed, width), "full-sets")
