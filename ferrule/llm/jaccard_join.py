@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, release, stored, text_bytes, tune
+from .common import arrow_map, documents, forget, release, stored, text_bytes, tune
 from .components import components
 
 #: Features that a signature should have, subsets' parts, growth of the number of parts that makes up for weak ones.
@@ -396,17 +396,20 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     # over HOT of all rows each, so at most 1 / HOT groups
     hot = {(r["n"], r["k1"] % (1 << 64), r["k2"] % (1 << 64)): r["rep"] for r in groups.where(F.col("copies") > HOT * total["rows"] + 1).select("n", "k1", "k2", "rep").collect()}
     nodes = stored(sets.join(groups.drop("copies"), ["n", "k1", "k2"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "set-nodes")
+    forget(sets)
     share = 4.5 * SPARE * (den - num) / (den + num)
     buckets = max(1, int((total["features"] or 0) * share / BUCKET_SIGS))
-    runs = stored(_runs(_packed(docs, width, num, den, hot, buckets)), "signature-runs")
-
+    found = stored(_runs(_packed(docs, width, num, den, hot, buckets)), "signature-runs")
     release(spark)
 
     rep = nodes.where("rep is not null").select(F.col("id"), "rep").distinct()
-    runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()
+    runs = stored(found.join(rep, "id").select("run", F.col("rep").alias("id")).distinct(), "runs-of-sets")
+    forget(found)
+    release(spark)
     sketches = nodes.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"])
     parts = F.pmod("run", F.lit(max(8, 4 * buckets))).alias("part")
-    runs = stored(runs.join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct(), "set-runs")
+    unsplit, runs = runs, stored(runs.join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct(), "set-runs")
+    forget(unsplit)
     release(spark)
     pairs = runs.where("id <> first").select("first", "id").distinct()
     needed = runs.select("id").union(runs.select("first")).distinct()
