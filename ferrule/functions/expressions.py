@@ -31,6 +31,13 @@ def parse_vector(literal: Column) -> Column:
     return F.from_json(literal, "array<float>")
 
 
+def merged(base: Column, patch: Column) -> Column:
+    """Shallow merge of two maps; the patch's value wins where both have a key, and null counts as no entries."""
+    empty = F.create_map().cast("map<string,string>")
+    base, patch = F.coalesce(base, empty), F.coalesce(patch, empty)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(patch), k)), patch)
+
+
 def _family(value: object) -> str:
     if isinstance(value, bool):
         return "BOOLEAN"

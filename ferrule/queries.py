@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .operators import search, state
+from .sources import imports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -287,3 +288,40 @@ def _uri(spark, sf_dir):
     uri = F.concat(F.lit("s3://x/"), F.col("event_id").cast("string"), F.lit("-"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 16), F.lit(".bin"))
     form = r"([0-9]+)-([0-9a-f]{16})[.]bin$"
     return rows.select("event_id", F.regexp_extract(uri, form, 1).alias("shard"), F.regexp_extract(uri, form, 2).alias("digest"))
+
+
+LINES = """SELECT event_id AS line, CASE event_id % 14 WHEN 0 THEN '{not json' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{"id": "", "values": [1, 2]}'
+ WHEN 3 THEN '{"id": 7, "values": [1, 2]}' WHEN 4 THEN concat('{"id": "', repeat('x', 257), '", "values": [1, 2]}') WHEN 5 THEN '{"id": "a", "values": [1, true]}'
+ WHEN 6 THEN '{"id": "a", "values": [1, "2"]}' WHEN 7 THEN '{"id": "a", "values": [1, 2, 3]}' WHEN 8 THEN '{"id": "a", "values": [1, 1e39]}'
+ WHEN 9 THEN '{"id": "a", "values": [1, 2], "metadata": [1]}' WHEN 10 THEN '{"id": "a", "values": [1, 2], "metadata": null}' WHEN 11 THEN '  '
+ WHEN 12 THEN '{"id": "a", "values": "1, 2"}' ELSE concat('{"id": "', event_type, '", "values": [', CAST(event_id AS STRING), ', 2.5], "metadata": {"k": 1}}') END AS text FROM events"""
+
+
+def _line_checks(name: str, strict: bool) -> None:
+    kinds = "'UBIGINT', 'BIGINT', 'DOUBLE'" + ("" if strict else ", 'BOOLEAN'")
+    oracle = f"""WITH l AS ({LINES}), p AS (SELECT line, json_valid(text) AS good, CASE WHEN json_valid(text) THEN text ELSE 'null' END AS d FROM l WHERE length(trim(text)) > 0)
+SELECT line, CASE WHEN NOT good THEN 'invalid_json' WHEN json_type(d) <> 'OBJECT' THEN 'not_object'
+ WHEN coalesce(json_type(d, '$.id'), '') <> 'VARCHAR' OR json_extract_string(d, '$.id') = '' THEN 'invalid_id'
+ WHEN {str(strict).lower()} AND length(json_extract_string(d, '$.id')) > 256 THEN 'id_too_long'
+ WHEN coalesce(json_type(d, '$.values'), '') <> 'ARRAY' OR len(list_filter(json_extract(d, '$.values[*]'), lambda x: json_type(x) NOT IN ({kinds}))) > 0 THEN 'invalid_values'
+ WHEN json_array_length(d, '$.values') <> 2 THEN 'dimension_mismatch'
+ WHEN {str(strict).lower()} AND len(list_filter(json_extract(d, '$.values[*]'), lambda x: abs(CAST(x AS DOUBLE)) > {imports.LARGEST})) > 0 THEN 'out_of_range'
+ WHEN coalesce(json_type(d, '$.metadata'), 'NULL') NOT IN ('NULL', 'OBJECT') THEN 'invalid_metadata' END AS reason FROM p"""
+
+    @built(name, oracle)
+    def run(spark, sf_dir):
+        _views(spark, sf_dir, ("events",))
+        return imports.checked(spark.sql(LINES), 2, strict).select("line", "reason")
+
+
+_line_checks("ndjson_validate", True)
+_line_checks("import_validate", False)
+
+
+@built("metadata_merge", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'patched' ELSE event_type END AS kind, user_id::STRING AS owner, CASE WHEN event_id % 2 = 0 THEN 'x' END AS note, CAST(2 + (event_id % 2 = 0)::INT AS INT) AS n FROM events")
+def _merge(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    base = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("owner"), F.col("user_id").cast("string"))
+    patch = X.merged(F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("kind"), F.lit("patched"))), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("note"), F.lit("x"))))
+    both = rows.select("event_id", X.merged(base, patch).alias("m"))
+    return both.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("kind", "owner", "note")], F.size("m").alias("n"))

@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 SCHEMA = "id string, values array<double>, metadata string"
 
 
-def checked(lines: DataFrame, dimension: int) -> DataFrame:
-    """line, text, id, values, metadata, reason (null for good records); lines has line and text."""
+# Longest id of a record and largest magnitude of a 32-bit float.
+LONGEST_ID, LARGEST = 256, 3.4028234663852886e38
+
+
+def checked(lines: DataFrame, dimension: int, strict: bool = True) -> DataFrame:
+    """line, text, id, values, metadata, reason (null for good records); lines has line and text.
+
+    The reasons are tried in a fixed order.  Without strict, booleans count as
+    numbers, and ids of any length and values of any magnitude are good.
+    """
     doc = F.try_parse_json("text")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
     identifier = F.try_variant_get(doc, "$.id", "string")
+    items = F.try_variant_get(doc, "$.values", "array<variant>")
     values = F.try_variant_get(doc, "$.values", "array<double>")
-    reason = (
-        F.when(doc.isNull(), "invalid_json")
-        .when(~F.coalesce(kind("$.id") == "STRING", F.lit(False)) | (F.char_length(identifier) == 0), "invalid_id")
-        .when(values.isNull() | F.coalesce(F.exists(values, lambda x: x.isNull()), F.lit(True)), "invalid_values")
-        .when(F.size(values) != dimension, "dimension_mismatch")
-    )
+    numbers = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$" if strict else "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$"
+    listed = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x).rlike(numbers), F.lit(False)))
+    metadata = F.coalesce(kind("$.metadata"), F.lit("VOID"))
+    checks = [
+        (doc.isNull(), "invalid_json", True),
+        (~F.schema_of_variant(doc).startswith("OBJECT"), "not_object", True),
+        (~F.coalesce(kind("$.id") == "STRING", F.lit(False)) | (F.char_length(identifier) == 0), "invalid_id", True),
+        (F.char_length(identifier) > LONGEST_ID, "id_too_long", strict),
+        (~F.coalesce(listed, F.lit(False)), "invalid_values", True),
+        (F.size(items) != dimension, "dimension_mismatch", True),
+        (~F.coalesce(F.forall(values, lambda x: F.abs(x) <= LARGEST), F.lit(False)), "out_of_range", strict),
+        ((metadata != "VOID") & ~metadata.startswith("OBJECT"), "invalid_metadata", True),
+    ]
+    reason = F.coalesce(*[F.when(bad, name) for bad, name, used in checks if used])
     return lines.where(F.length(F.trim("text")) > 0).select("line", "text", identifier.alias("id"), values.cast("array<float>").alias("values"), F.to_json(F.try_variant_get(doc, "$.metadata", "variant")).alias("metadata"), reason.alias("reason"))
 
 
