@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import l2_squared, metadata_matches
+from ..plans.cells import nearest
 
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 1000
@@ -42,18 +45,31 @@ def merge_recent(recent: DataFrame, cold: DataFrame, k: int, suppressed: DataFra
     return both.orderBy(F.round("score", 6), "tier", "id").limit(k)
 
 
-def assign_cells(records: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each record with the cell of its nearest centroid (centroids: cell, centroid; a bounded model)."""
-    scored = records.join(F.broadcast(centroids)).groupBy("id").agg(F.min_by("cell", F.struct(l2_squared(F.col("values"), F.col("centroid")), "cell")).alias("cell"))
-    return records.join(scored, "id")
+def probe(records: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """Nearest k among the records (which have a cell) of each query's nprobe nearest cells.
 
+    Queries are taken in blocks of QUERY_BLOCK; a block's cells and vectors are broadcast.
+    """
+    count = max(1, -(-queries.count() // QUERY_BLOCK))
+    kind, found = queries.schema["qid"].dataType.simpleString(), None
+    held = queries.sparkSession.sparkContext.broadcast(centroids)
 
-def probe(records: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
-    """Nearest k among the records of each query's nprobe nearest cells."""
-    near = knn_batch(centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("values")), queries, nprobe).select("qid", F.col("id").alias("cell"))
-    scored = records.join(F.broadcast(near.join(queries, "qid")), "cell").select("qid", "id", l2_squared(F.col("values"), F.col("query")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6), "id"))
-    return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    def cells_of(batches):
+        for batch in batches:
+            if batch.num_rows:
+                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                near = nearest(vectors, held.value, nprobe)
+                qid = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([qid, pa.array(near.ravel().astype(np.int32))], ["qid", "cell"])
+
+    for block in range(count):
+        own = queries.select("qid", "query").where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block)
+        near = own.mapInArrow(cells_of, f"qid {kind}, cell int")
+        scored = records.join(F.broadcast(near), "cell").join(F.broadcast(own), "qid").select("qid", "id", l2_squared(F.col("values"), F.col("query")).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6), "id"))
+        best = scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+        found = best if found is None else found.union(best)
+    return found
 
 
 def cells_for(n: Column) -> Column:

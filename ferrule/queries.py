@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .operators import search, state
+from .plans import cells
 from .sources import imports
 
 QUERIES: dict = {}
@@ -70,8 +71,8 @@ def records(spark, sf_dir):
 
 
 def query_vectors(spark, sf_dir):
-    """The stated query set: the first fifty vectors."""
-    return records(spark, sf_dir).where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("values").alias("query"))
+    """The stated query set: every vector whose id is divisible by 100."""
+    return records(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("values").alias("query"))
 
 
 def one_vector(spark, sf_dir):
@@ -102,7 +103,7 @@ def _filter_knn(spark, sf_dir):
     return rounded(search.knn(records(spark, sf_dir), one_vector(spark, sf_dir), 10, {"label": 3}))
 
 
-BATCH = f"""WITH s AS (SELECT q.vec_id AS qid, concat('v', r.vec_id::STRING) AS id, round({DISTANCE.format(a='r.embedding', b='q.embedding')}, 6) AS score FROM embeddings r, embeddings q WHERE q.vec_id < 50)
+BATCH = f"""WITH s AS (SELECT q.vec_id AS qid, concat('v', r.vec_id::STRING) AS id, round({DISTANCE.format(a='r.embedding', b='q.embedding')}, 6) AS score FROM embeddings r, embeddings q WHERE q.vec_id % 100 = 0)
 SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s) WHERE rank <= 10"""
 
 
@@ -111,33 +112,43 @@ def _knn_batch(spark, sf_dir):
     return rounded(search.knn_batch(records(spark, sf_dir).select("id", "values"), query_vectors(spark, sf_dir), 10))
 
 
-def _cells(spark, sf_dir, cells=16):
-    """A bounded model: the first records as centroids, each record in its nearest one's cell."""
-    rows = records(spark, sf_dir)
-    centroids = rows.where(F.col("vec_id") < cells).select(F.col("vec_id").alias("cell"), F.col("values").alias("centroid"))
-    return search.assign_cells(rows.select("id", "values"), centroids), centroids
+def _cells(spark, sf_dir):
+    """Records in the cells of centroids that k-means trained on a bounded sample."""
+    rows = records(spark, sf_dir).select("id", "values")
+    centroids = cells.train(rows)
+    return cells.assign(rows, centroids), centroids
 
 
 @built("ivf_full_probe", BATCH)
 def _full_probe(spark, sf_dir):
     placed, centroids = _cells(spark, sf_dir)
-    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), 16, 10))
+    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), cells.MOST_CELLS, 10))
 
 
 @built("ivf_probe", None)
 def _probe(spark, sf_dir):
     placed, centroids = _cells(spark, sf_dir)
-    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), 4, 10))
+    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), cells.PROBED, 10))
 
 
-@built("recall_at_k", "SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id < 50")
-def _recall(spark, sf_dir):
-    """Full probing finds what exact search finds."""
+def _agreement(one, other):
     lists = lambda df, c: df.groupBy("qid").agg(F.collect_list("id").alias(c))  # noqa: E731  ten ids each
-    both = lists(_knn_batch(spark, sf_dir), "a").join(lists(_full_probe(spark, sf_dir), "b"), "qid")
+    both = lists(one, "a").join(lists(other, "b"), "qid")
     return both.select("qid", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("recall"))
 
 
+@built("ivf_recall", None)
+def _ivf_recall(spark, sf_dir):
+    """Share of the exact nearest ten that the pruned search finds."""
+    return _agreement(_knn_batch(spark, sf_dir), _probe(spark, sf_dir))
+
+
+@built("recall_at_k", "SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 100 = 0")
+def _recall(spark, sf_dir):
+    """Full probing finds what exact search finds."""
+    return _agreement(_knn_batch(spark, sf_dir), _full_probe(spark, sf_dir))
+
+
 @built("similarity", f"SELECT vec_id, round(1 / (1 + {DISTANCE.format(a='embedding', b=ONE)}), 6) AS similarity FROM embeddings")
 def _similarity(spark, sf_dir):
     vector = F.array(*[F.lit(x).cast("float") for x in one_vector(spark, sf_dir)])
@@ -215,7 +226,7 @@ shared("row_count", "SELECT CAST(count(DISTINCT id) AS BIGINT) AS n FROM (SELECT
 shared("import_counters", "SELECT job, CAST(count(*) AS BIGINT) AS processed, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM lines GROUP BY job", JOBS, tables=("events",))
 shared("import_policy", "SELECT job, min(CASE WHEN reason IS NOT NULL THEN line END) AS first_bad, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) > 25 AS failed FROM lines GROUP BY job", JOBS, tables=("events",))
 shared("import_rejected", "SELECT line, reason, CASE WHEN length(text) > 12 THEN concat(substr(text, 1, 12), '...[truncated]') ELSE text END AS text FROM lines WHERE reason IS NOT NULL", JOBS, tables=("events",))
-shared("hit_mapping", "SELECT h.hit, coalesce(r.id, CAST(h.hit AS STRING)) AS id FROM (SELECT event_id % 700 AS hit FROM events WHERE event_id < 700) h LEFT JOIN records r ON r.vec_id = h.hit", RECORDS, tables=("embeddings", "events"))
+shared("hit_mapping", "SELECT h.event_id, h.hit, coalesce(r.id, CAST(h.hit AS STRING)) AS id FROM (SELECT event_id, event_id % 700 AS hit FROM events) h LEFT JOIN records r ON r.vec_id = h.hit", RECORDS, tables=("embeddings", "events"))
 shared("stale_datasets", "SELECT user_id, max(event_id) AS last_event FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 200 FROM events)", tables=("events",))
 shared("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type", tables=("events",))
 

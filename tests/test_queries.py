@@ -27,9 +27,9 @@ def test_same_rows(spark, oracle, name):
     assert sorted(map(tuple, ours[columns].astype(str).values)) == sorted(map(tuple, theirs[columns].astype(str).values))
 
 
-def test_probe_returns_k_rows(spark):
-    rows = QUERIES["ivf_probe"](spark, DATA)
-    assert rows.count() == 500
+def test_pruned_search_finds_the_nearest(spark):
+    rows = [r["recall"] for r in QUERIES["ivf_recall"](spark, "/root/testdata/sf0.1").collect()]
+    assert len(rows) == 20 and sum(rows) / len(rows) >= 0.9
 
 
 def test_entry_point_imports():
