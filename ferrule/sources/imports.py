@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, values array<double>, metadata string"
@@ -12,6 +12,19 @@ SCHEMA = "id string, values array<double>, metadata string"
 LONGEST_ID, LARGEST = 256, 3.4028234663852886e38
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, blank lines counted), text of each line of the text files under path.
+
+    A file's blocks are numbered by how many lines the blocks before them have; only block counts are exchanged.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("p"), F.col("value").alias("text"))
+    sizes = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", "first", before.alias("before"))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("p") - F.col("first") + 1).alias("line"), "text")
+
+
 def checked(lines: DataFrame, dimension: int, strict: bool = True) -> DataFrame:
     """line, text, id, values, metadata, reason (null for good records); lines has line and text.
 
