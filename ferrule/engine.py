@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.control import MATCHES, MOST_MATCHES, MOST_PAGE, PAGE, check_name, decode_cursor, encode_cursor
-from .functions.expressions import metadata_matches
 from .operators import search, state
 from .plans import cells
 from .sources import imports
@@ -72,13 +71,16 @@ class Engine:
 
     # ---- writes
 
-    def upsert(self, name: str, records: DataFrame) -> dict:
-        """Records with id, values and optionally metadata (JSON); of rows with one id the last counts."""
+    def upsert(self, name: str, records: DataFrame, batch: tuple[str, int] | None = None) -> dict:
+        """Records with id, values and optionally metadata (JSON); of rows with one id the last counts.
+
+        A batch (stream, number) that the dataset has already taken is passed over.
+        """
         dimension = self.describe(name)["dimension"]
         metadata = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in records.columns else F.lit("{}")
         rows = records.select(F.col("id").cast("string"), F.col("values").cast("array<float>"), metadata.alias("metadata"), F.lit(False).alias("deleted"))
         bad = F.coalesce((F.size("values") != dimension) | (F.length("id") == 0), F.lit(True)) | F.exists("values", lambda x: x.isNull())
-        return self._append(name, rows, bad)
+        return self._append(name, rows, bad, batch)
 
     def delete(self, name: str, ids: DataFrame) -> dict:
         """Tombstones for the ids; ids that are not there do no harm."""
@@ -86,7 +88,7 @@ class Engine:
         empty = [F.lit(None).cast("array<float>").alias("values"), F.lit("{}").alias("metadata"), F.lit(True).alias("deleted")]
         return self._append(name, ids.select(F.col("id").cast("string"), *empty), F.col("id").isNull())
 
-    def _append(self, name: str, rows: DataFrame, bad) -> dict:
+    def _append(self, name: str, rows: DataFrame, bad, batch: tuple[str, int] | None = None) -> dict:
         """Number the rows in their order, keep the last of each id, write them and commit a block of LSNs."""
         life = self.describe(name)["life"]
         scratch, path = f"{self.root}/{name}/scratch/{uuid.uuid4().hex}", f"{self.root}/{name}/data/log-{uuid.uuid4().hex}"
@@ -111,8 +113,12 @@ class Engine:
         def change(now):
             if now["life"] != life or now["status"] == "deleted":
                 raise KeyError("dataset_not_found")
+            streams = now.get("streams", {})
+            if batch and streams.get(batch[0], -1) >= batch[1]:
+                return None
+            streams = streams | ({batch[0]: batch[1]} if batch else {})
             lo = now["next_lsn"]
-            return now | {"status": "indexing", "next_lsn": lo + total, "log": [*now["log"], {"path": path, "lo": lo, "hi": lo + total - 1}]}
+            return now | {"streams": streams, "status": "indexing", "next_lsn": lo + total, "log": [*now["log"], {"path": path, "lo": lo, "hi": lo + total - 1}]}
 
         return self._chain(name).commit(change)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..engine import Engine
 from ..sources.imports import checked
 
 
@@ -23,3 +24,25 @@ def ingest(spark: SparkSession, source: str, log: str, rejected: str, checkpoint
         found.unpersist()
 
     return spark.readStream.text(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feed(engine: Engine, name: str, source: str, checkpoint: str, most_rows: int = 2000) -> StreamingQuery:
+    """Append good records of arriving lines to a dataset, each batch once, and fold its log when it grows.
+
+    Bad lines go to the dataset's rejected folder under the batch's number.  A
+    batch that is run again after a failure is passed over if it was committed.
+    """
+    dimension = engine.describe(name)["dimension"]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        found = checked(rows.select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("text")), dimension).persist()
+        try:
+            found.where("reason is not null").select("line", F.substring("text", 1, 2000).alias("text"), "reason").write.mode("overwrite").json(f"{engine.root}/{name}/rejected/stream-{number}")
+            engine.upsert(name, found.where("reason is null").select("id", "values", "metadata"), (checkpoint, number))
+        finally:
+            found.unpersist()
+        log = engine.describe(name)["log"]
+        if log and log[-1]["hi"] - log[0]["lo"] + 1 > most_rows:
+            engine.consolidate(name)
+
+    return engine.spark.readStream.text(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

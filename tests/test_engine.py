@@ -122,3 +122,18 @@ def test_control():
         with pytest.raises(ValueError, match="invalid_cursor"):
             decode_cursor(bad)
     assert sorted(ranked_hosts("t", ["a", "b", "c"])) == ["a", "b", "c"]
+
+
+def test_memory(spark, tmp_path):
+    from ferrule.memory import Memory
+
+    memory = Memory(Engine(spark, str(tmp_path)), "m", 2)
+    memory.insert([[0, 0], [1, 0], [3, 0]], [{"u": "a"}, {"u": "b"}, {"u": "a"}], ["x", "y", "z"])
+    assert [(h["id"], h["score"]) for h in memory.search([0, 0], 2)] == [("x", 1.0), ("y", 0.5)]
+    assert [h["id"] for h in memory.search([0, 0], 5, {"u": "a", "v": None})] == ["x", "z"]
+    memory.update("x", payload={"w": 1})
+    memory.delete("y")
+    assert memory.get("x")["metadata"] == {"u": "a", "w": 1} and memory.get("y") is None
+    assert [h["id"] for h in memory.list({"u": "a"})] == ["x", "z"] and memory.col_info()["count"] == 2
+    memory.reset()
+    assert memory.list() == [] and memory.keyword_search("q") is None

@@ -23,3 +23,19 @@ def test_stream(spark, tmp_path):
         ingest(spark, str(source), f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/checkpoint", 4).awaitTermination()
     assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/log").collect()} == {"ok1", "ok2"}
     assert spark.read.json(f"{tmp_path}/bad").count() == 4
+
+
+def test_feed_takes_each_batch_once(spark, tmp_path):
+    from ferrule.engine import Engine
+    from ferrule.streaming.ingest import feed
+
+    engine, source = Engine(spark, str(tmp_path / "store")), tmp_path / "in"
+    engine.create("d", 4)
+    source.mkdir()
+    for number in range(2):
+        (source / f"{number}.txt").write_text("\n".join(LINES))
+        feed(engine, "d", str(source), str(tmp_path / "checkpoint"), most_rows=3).awaitTermination()
+    now = engine.describe("d")
+    assert now["next_lsn"] == 5 and now["base"] and not now["log"]
+    assert engine.upsert("d", spark.createDataFrame([("z", [1.0] * 4)], "id string, values array<float>"), (str(tmp_path / "checkpoint"), 1))["version"] == now["version"]
+    assert {r["id"] for r in engine.state("d").collect()} == {"ok1", "ok2"}
