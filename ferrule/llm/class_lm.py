@@ -1,13 +1,15 @@
 """Scores under a class-based bigram model whose classes come from exchange clustering.
 
-Every training token is counted, whole texts, in a distributed table.  The most
-frequent words are symbols of their own; other frequent words share a symbol
-with the words of their frequency band, and all rarer words one symbol, so the
-symbols are bounded while the counts behind them are not.  Symbol bigrams are
-counted over all training texts, and exchange clustering moves one symbol after
-the other to the class that raises the likelihood most.  A token's probability
-is that of its class after the class before, times that of the word in its
-class; both are smoothed.
+Every training token is counted, whole texts, in a distributed table.  Classes
+come from two rounds of exchange.  In the first, the most frequent words are
+symbols of their own, other frequent words share a symbol with the words of
+their frequency band, and all rarer words one symbol; symbol bigrams are counted
+over all training texts, and one symbol after the other moves to the class that
+raises the likelihood most.  In the second, the classes before and after each
+frequent word are counted over all training texts, and each word moves, by
+itself, to the class that raises the likelihood most.  Class transitions are
+then counted anew.  A token's probability is that of its class after the class
+before, times that of the word in its class; both are smoothed.
 
 Results in odd cases: null and empty texts have the end token alone; a null id
 counts as held out; without training rows every token is unknown; rows that
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, doc_crc, documents, stored, text_bytes, tune
 from .jaccard_join import Words
 
-#: Words sent to every task (the others are joined), words with a symbol of their own, classes, sweeps.
+#: Words with a class of their own choice, sent to every task (the others are joined and share a class), words with a symbol of their own, classes, sweeps.
 FREQUENT, CORE, CLASSES, SWEEPS = 1 << 18, 512, 48, 6
 BANDS = 64
+#: Context counts that a task holds before it passes them on.
+HELD = 1 << 21
 #: Weight of the class's own frequency in a transition.
 PRIOR = 5.0
 #: The end of a text as a token; no word contains white space.
@@ -184,26 +188,114 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: in
 
 
 class Model:
-    """Log10 probabilities of classes and words."""
-
-    def __init__(self, symbols: Symbols, bigrams: np.ndarray, tokens: int, types: int):
-        self.symbols, self.tokens, self.types = symbols, tokens, types
-        label = exchange(bigrams, symbols.end)
-        self.label = label
-        own = label[symbols.symbol]
-        count = np.bincount(own, symbols.counts, CLASSES)
-        kinds = np.bincount(own, minlength=CLASSES).astype(float)
-        rare = label[symbols.rare]
-        count[rare] += tokens - symbols.counts.sum()
-        kinds[rare] += types - len(symbols.keys)
-        member = np.zeros((symbols.size, CLASSES))
-        member[np.arange(symbols.size), label] = 1
-        pairs = member.T @ bigrams @ member
+    """Log10 probabilities of classes and words; own has the class of each word in the table, and of all others last."""
+
+    def __init__(self, symbols: Symbols, own: np.ndarray, pairs: np.ndarray, tokens: int, types: int):
+        self.symbols, self.own, self.end = symbols, own, 0
+        count = np.bincount(own[:-1], symbols.counts, CLASSES)
+        kinds = np.bincount(own[:-1], minlength=CLASSES).astype(float)
+        count[own[-1]] += tokens - symbols.counts.sum()
+        kinds[own[-1]] += types - len(symbols.keys)
         share = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
         self.follow = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
         # one more word in each class stands for all that were never seen
         self.room = np.log10(count + kinds + 1)
-        self.rare = rare
+
+
+def first_model(symbols: Symbols, bigrams: np.ndarray, tokens: int, types: int) -> Model:
+    """Classes of the symbols, which their words take over."""
+    label = exchange(bigrams, symbols.end)
+    member = np.zeros((symbols.size, CLASSES))
+    member[np.arange(symbols.size), label] = 1
+    return Model(symbols, label[np.append(symbols.symbol, symbols.rare)], member.T @ bigrams @ member, tokens, types)
+
+
+def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
+    """The class of each word under which its own neighbours and frequency are likeliest; the end keeps its class.
+
+    A word's counts are 2 * CLASSES at most from each task, so no word is a hot key; one row a word comes back.
+    """
+
+    def merge(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words, codes, counts = held.value, Words(), [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n = merge(codes, counts)
+            for k in range(0, len(code), 1 << 16):
+                part = code[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array((part // (2 * CLASSES)).astype(np.int32)), pa.array((part % (2 * CLASSES)).astype(np.int32)), pa.array(n[k : k + (1 << 16)])], ["word", "slot", "n"])
+
+        for batch in batches:
+            keys, sizes = _tokens(batch.column(0), words)
+            if not len(keys):
+                continue
+            place = model.symbols.place(keys)
+            label = model.own[place]
+            before = place >= 0
+            after = before[:-1].copy()
+            after[np.cumsum(sizes)[:-1] - 1] = False
+            code = [place[before] * (2 * CLASSES) + _before(label, sizes, model.end)[before], place[:-1][after] * (2 * CLASSES) + CLASSES + label[1:][after]]
+            code, n = np.unique(np.concatenate(code), return_counts=True)
+            codes.append(code)
+            counts.append(n)
+            if sum(map(len, codes)) > HELD:
+                code, n = merge(codes, counts)
+                codes, counts = [code], [n]
+                if len(code) > HELD // 2:
+                    yield from out()
+                    codes, counts = [], []
+        if codes:
+            yield from out()
+
+    def make():
+        model = held.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            word, lists = batch.column(0).to_numpy(), batch.column(1)
+            seen = np.zeros((len(word), 2 * CLASSES))
+            row = np.repeat(np.arange(len(word)), lists.value_lengths().to_numpy())
+            slot, n = lists.flatten().flatten()
+            seen[row, slot.to_numpy()] = n.to_numpy()
+            score = seen[:, :CLASSES] @ model.follow + seen[:, CLASSES:] @ model.follow.T - model.symbols.counts[word][:, None] * model.room
+            score[:, model.end] = -np.inf
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.argmax(1).astype(np.int32))], ["word", "label"])
+
+        return step
+
+    tune(docs.sparkSession)
+    seen = docs.select(text_col).mapInArrow(run, "word int, slot int, n bigint").repartition("word")
+    lists = seen.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))
+    table = arrow_map(lists, "word int, label int", make).toArrow()
+    model = held.value
+    own = model.own.copy()
+    own[table["word"].to_numpy()] = table["label"].to_numpy()
+    own[:-1][model.symbols.symbol == model.symbols.end] = model.end
+    return own
+
+
+def count_pairs(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
+    """Class by class counts over all texts; held has the table of words and the class of each."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (symbols, own), words = held.value, Words()
+        total = np.zeros(CLASSES**2, np.int64)
+        for batch in batches:
+            keys, sizes = _tokens(batch.column(0), words)
+            if len(keys):
+                label = own[symbols.place(keys)]
+                total += np.bincount(_before(label, sizes, 0) * CLASSES + label, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+    table = docs.select(text_col).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES**2)
+    out[table["pair"].to_numpy()] = table["n"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
 
 
 def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,21 +316,22 @@ def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: st
             break
     top = counts.where(step >= least).orderBy(F.desc("n"), "key").toArrow()
     symbols = Symbols(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy())
-    bigrams = count_bigrams(train, spark.sparkContext.broadcast(symbols), text_col)
-    held = spark.sparkContext.broadcast(Model(symbols, bigrams, tokens, types))
+    share = spark.sparkContext.broadcast
+    first = first_model(symbols, count_bigrams(train, share(symbols), text_col), tokens, types)
+    own = choose_classes(train, share(first), text_col)
+    held = share(Model(symbols, own, count_pairs(train, share((symbols, own)), text_col), tokens, types))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         model, words = held.value, Words()
         s = model.symbols
-        own, known = np.append(s.symbol, s.rare), np.append(np.log10(s.counts + 1.0), 0.0)
+        known = np.append(np.log10(s.counts + 1.0), 0.0)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sizes = _tokens(batch.column(2), words)
             place = s.place(keys)
-            now = own[place]
-            label = model.label[now]
-            prior = model.label[_before(now, sizes, s.end)] if len(now) else label
+            label = model.own[place]
+            prior = _before(label, sizes, model.end) if len(label) else label
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             add = lambda x: np.add.reduceat(x, starts) if len(x) else x
             rare = place < 0

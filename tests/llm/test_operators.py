@@ -143,6 +143,42 @@ def test_class_lm(docs, rows, empty):
         assert own["n_tokens"] == len(words) and own["n_known"] == sum(counts[w] > 0 for w in words) and own["train_tokens"] == n
         assert abs(own["base_score"] - base) < 1e-6 * max(1, abs(base)) and own["score"] < 0
     assert class_lm.lm_scores(empty, F.lit(False)).count() == 0
+    assert class_lm.lm_scores(docs, F.lit(True)).count() == len(rows)
+
+
+def test_classes_help_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = class_lm.lm_scores(table, class_lm.held_out()).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.15
+
+
+def test_class_choice_equals_a_direct_count(docs, rows):
+    """Each word's class against sums over its neighbours' classes, one by one."""
+    spark = docs.sparkSession
+    seqs = [[class_lm.word_key(w) for w in class_lm.words_of((r[1] or "").encode())] for r in rows]
+    counts = collections.Counter(k for s in seqs for k in s)
+    symbols = class_lm.Symbols(np.array(list(counts), np.uint64), np.array(list(counts.values())))
+    random.seed(2)
+    own = np.array([random.randrange(1, class_lm.CLASSES) for _ in range(len(counts) + 1)])
+    own[:-1][symbols.keys == np.uint64(class_lm.word_key(class_lm.END))] = 0
+    pairs = np.random.default_rng(1).integers(1, 50, (class_lm.CLASSES,) * 2).astype(float)
+    model = class_lm.Model(symbols, own, pairs, sum(counts.values()), len(counts))
+    got = class_lm.choose_classes(docs, spark.sparkContext.broadcast(model))
+    label = dict(zip(symbols.keys.tolist(), own.tolist(), strict=False))
+    for at, key in enumerate(symbols.keys.tolist()):
+        if label[key] == 0:
+            assert got[at] == 0
+            continue
+        score = -counts[key] * model.room
+        for s in seqs:
+            for i, k in enumerate(s):
+                if k == key:
+                    score = score + model.follow[label[s[i - 1]] if i else 0] + (model.follow[:, label[s[i + 1]]] if i + 1 < len(s) else 0)
+        score[0] = -np.inf
+        assert score[got[at]] >= score.max() - 1e-6
+    assert got[-1] == own[-1]
 
 
 def test_decontamination(spark, docs, empty):
