@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_crc, documents, stored, text_bytes, tune
+from .common import arrow_map, doc_crc, documents, forget, stored, text_bytes, tune
 from .jaccard_join import Words
 
 #: Words with a class of their own choice, sent to every task (the others are joined and share a class), words with a symbol of their own, classes, sweeps.
@@ -114,25 +114,52 @@ def _before(symbol: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def count_bigrams(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
-    """Symbol by symbol counts over all texts; as many rows as symbol pairs come to the driver at most."""
-    tune(docs.sparkSession)
+def encode(docs: DataFrame, held, is_held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, places (row in the table of each token, -1 for others), rare (keys of those others), written once and read by every later pass."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         symbols, words = held.value, Words()
-        own = np.append(symbols.symbol, symbols.rare)
-        total = np.zeros(symbols.size**2, np.int64)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, sizes = _tokens(batch.column(2), words)
+            place = symbols.place(keys)
+            rare = place < 0
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[ends].astype(np.int32)), pa.array(keys[rare].view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, others], ["id", "held_out", "places", "rare"])
+
+        return step
+
+    rows = docs.select(F.col(id_col), is_held_out.alias("__held"), F.col(text_col))
+    return stored(arrow_map(rows, f"id {kind}, held_out boolean, places array<int>, rare array<bigint>", make), "encoded")
+
+
+def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens of a batch, and how many each text has."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def count_pairs(encoded: DataFrame, held, size: int, end: int) -> np.ndarray:
+    """Counts of neighbouring labels over all texts; held has the label of each place, as many as size.
+
+    As many rows as label pairs come to the driver at most.
+    """
+    tune(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = held.value, np.zeros(size**2, np.int64)
         for batch in batches:
-            keys, sizes = _tokens(batch.column(0), words)
-            if len(keys):
-                now = own[symbols.place(keys)]
-                total += np.bincount(_before(now, sizes, symbols.end) * symbols.size + now, minlength=len(total))
+            place, sizes = _places(batch.column(0))
+            if len(place):
+                label = own[place]
+                total += np.bincount(_before(label, sizes, end) * size + label, minlength=len(total))
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], ["pair", "n"])
 
-    table = docs.select(text_col).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    size = held.value.size
+    table = encoded.select("places").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.float64)
     out[table["pair"].to_numpy()] = table["n"].to_numpy()
     return out.reshape(size, size)
@@ -210,7 +237,7 @@ def first_model(symbols: Symbols, bigrams: np.ndarray, tokens: int, types: int)
     return Model(symbols, label[np.append(symbols.symbol, symbols.rare)], member.T @ bigrams @ member, tokens, types)
 
 
-def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
+def choose_classes(encoded: DataFrame, held) -> np.ndarray:
     """The class of each word under which its own neighbours and frequency are likeliest; the end keeps its class.
 
     A word's counts are 2 * CLASSES at most from each task, so no word is a hot key; one row a word comes back.
@@ -221,7 +248,7 @@ def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
         return code, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, codes, counts = held.value, Words(), [], []
+        model, codes, counts = held.value, [], []
 
         def out() -> Iterator[pa.RecordBatch]:
             code, n = merge(codes, counts)
@@ -230,10 +257,10 @@ def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array((part // (2 * CLASSES)).astype(np.int32)), pa.array((part % (2 * CLASSES)).astype(np.int32)), pa.array(n[k : k + (1 << 16)])], ["word", "slot", "n"])
 
         for batch in batches:
-            keys, sizes = _tokens(batch.column(0), words)
-            if not len(keys):
+            place, sizes = _places(batch.column(0))
+            if not len(place):
                 continue
-            place = model.symbols.place(keys)
+            place = place.astype(np.int64)
             label = model.own[place]
             before = place >= 0
             after = before[:-1].copy()
@@ -266,8 +293,8 @@ def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
 
         return step
 
-    tune(docs.sparkSession)
-    seen = docs.select(text_col).mapInArrow(run, "word int, slot int, n bigint").repartition("word")
+    tune(encoded.sparkSession)
+    seen = encoded.select("places").mapInArrow(run, "word int, slot int, n bigint").repartition("word")
     lists = seen.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))
     table = arrow_map(lists, "word int, label int", make).toArrow()
     model = held.value
@@ -277,27 +304,6 @@ def choose_classes(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
     return own
 
 
-def count_pairs(docs: DataFrame, held, text_col: str = "text") -> np.ndarray:
-    """Class by class counts over all texts; held has the table of words and the class of each."""
-    tune(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (symbols, own), words = held.value, Words()
-        total = np.zeros(CLASSES**2, np.int64)
-        for batch in batches:
-            keys, sizes = _tokens(batch.column(0), words)
-            if len(keys):
-                label = own[symbols.place(keys)]
-                total += np.bincount(_before(label, sizes, 0) * CLASSES + label, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
-
-    table = docs.select(text_col).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES**2)
-    out[table["pair"].to_numpy()] = table["n"].to_numpy()
-    return out.reshape(CLASSES, CLASSES)
-
-
 def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
@@ -317,33 +323,33 @@ def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: st
     top = counts.where(step >= least).orderBy(F.desc("n"), "key").toArrow()
     symbols = Symbols(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy())
     share = spark.sparkContext.broadcast
-    first = first_model(symbols, count_bigrams(train, share(symbols), text_col), tokens, types)
-    own = choose_classes(train, share(first), text_col)
-    held = share(Model(symbols, own, count_pairs(train, share((symbols, own)), text_col), tokens, types))
+    encoded = encode(docs, share(symbols), is_held_out, id_col, text_col)
+    learned = encoded.where(~F.col("held_out"))
+    bigrams = count_pairs(learned, share(np.append(symbols.symbol, symbols.rare)), symbols.size, symbols.end)
+    first = first_model(symbols, bigrams, tokens, types)
+    own = choose_classes(learned, share(first))
+    held = share(Model(symbols, own, count_pairs(learned, share(own), CLASSES, first.end), tokens, types))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        model, words = held.value, Words()
-        s = model.symbols
-        known = np.append(np.log10(s.counts + 1.0), 0.0)
+        model = held.value
+        known = np.append(np.log10(model.symbols.counts + 1.0), 0.0)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, sizes = _tokens(batch.column(2), words)
-            place = s.place(keys)
+            place, sizes = _places(batch.column(2))
             label = model.own[place]
             prior = _before(label, sizes, model.end) if len(label) else label
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             add = lambda x: np.add.reduceat(x, starts) if len(x) else x
-            rare = place < 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(add(rare.astype(np.int64)))]).astype(np.int32)), pa.array(keys[rare].view(np.int64)))
-            made = [add((~rare).astype(np.int64)), add(known[place]), add(model.follow[prior, label] - model.room[label] + known[place])]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, made), lists], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            made = [sizes, add((place >= 0).astype(np.int64)), add(known[place]), add(model.follow[prior, label] - model.room[label] + known[place])]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made), batch.column(3)], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
         return step
 
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
-    rows = arrow_map(docs.select(F.col(id_col), is_held_out.alias("__held"), F.col(text_col)), schema, make)
+    rows = arrow_map(encoded.select("id", "held_out", "places", "rare"), schema, make)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    forget(encoded)
     # the rarer words' counts are joined; a word that isn't found was never seen and adds log10(1)
     rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     found = rare.join(counts, "key").groupBy("row").agg(F.sum("times").alias("n_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))

@@ -156,6 +156,8 @@ def test_classes_help_on_held_out_texts(spark):
 
 def test_class_choice_equals_a_direct_count(docs, rows):
     """Each word's class against sums over its neighbours' classes, one by one."""
+    from pyspark.sql import functions as F
+
     spark = docs.sparkSession
     seqs = [[class_lm.word_key(w) for w in class_lm.words_of((r[1] or "").encode())] for r in rows]
     counts = collections.Counter(k for s in seqs for k in s)
@@ -165,7 +167,9 @@ def test_class_choice_equals_a_direct_count(docs, rows):
     own[:-1][symbols.keys == np.uint64(class_lm.word_key(class_lm.END))] = 0
     pairs = np.random.default_rng(1).integers(1, 50, (class_lm.CLASSES,) * 2).astype(float)
     model = class_lm.Model(symbols, own, pairs, sum(counts.values()), len(counts))
-    got = class_lm.choose_classes(docs, spark.sparkContext.broadcast(model))
+    share = spark.sparkContext.broadcast
+    encoded = class_lm.encode(docs, share(symbols), F.lit(False))
+    got = class_lm.choose_classes(encoded, share(model))
     label = dict(zip(symbols.keys.tolist(), own.tolist(), strict=False))
     for at, key in enumerate(symbols.keys.tolist()):
         if label[key] == 0:
