@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import l2_squared, metadata_matches
-from ..plans.cells import nearest
+from ..plans.cells import PROBED, nearest
 
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 1000
+#: Records for which the number of probed cells is fitted, and the share of their nearest that it must reach.
+CALIBRATED, SHARE = 200, 0.95
 
 
 def knn(records: DataFrame, vector: list[float], k: int, wanted: dict | None = None) -> DataFrame:
@@ -72,6 +74,26 @@ def probe(records: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe:
     return found
 
 
+def calibrate(records: DataFrame, centroids: np.ndarray, k: int) -> int:
+    """Fewest probed cells whose records hold the SHARE of the true k nearest, PROBED at least.
+
+    Measured by exact search for CALIBRATED records against all records; their own matches don't count.
+    """
+    if not len(centroids):
+        return 1
+    own = records.orderBy(F.xxhash64("id"), "id").limit(CALIBRATED).select(F.col("id").alias("qid"), F.col("values").alias("query"))
+    vectors = {r["qid"]: r["query"] for r in own.collect()}
+    own = own.sparkSession.createDataFrame(list(vectors.items()), own.schema)
+    exact = knn_batch(records, own, k + 1).where("id <> qid").select("qid", "id")
+    found = records.select("id", "cell").join(F.broadcast(exact), "id").select("qid", "cell").collect()
+    if not found:
+        return min(PROBED, len(centroids))
+    order = nearest(np.asarray(list(vectors.values())), centroids, len(centroids))
+    place = {q: np.argsort(o) for q, o in zip(vectors, order, strict=True)}
+    ranks = np.sort([place[r["qid"]][r["cell"]] for r in found])
+    return int(min(len(centroids), max(PROBED, ranks[int(np.ceil(SHARE * len(ranks))) - 1] + 1)))
+
+
 def cells_for(n: Column) -> Column:
     """Number of cells for n records."""
     return F.greatest(F.lit(1), F.least(F.floor(4 * F.sqrt(n)).cast("bigint"), F.lit(4096), F.greatest(F.lit(1), (n / 8).cast("bigint"))))

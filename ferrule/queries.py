@@ -6,8 +6,11 @@ the engines' dialects differ, the query is built from the operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions import expressions as X
 from .operators import search, state
 from .plans import cells
@@ -128,7 +131,7 @@ def _full_probe(spark, sf_dir):
 @built("ivf_probe", None)
 def _probe(spark, sf_dir):
     placed, centroids = _cells(spark, sf_dir)
-    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), cells.PROBED, 10))
+    return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), search.calibrate(placed, centroids, 10), 10))
 
 
 def _agreement(one, other):
@@ -336,3 +339,30 @@ def _merge(spark, sf_dir):
     patch = X.merged(F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("kind"), F.lit("patched"))), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("note"), F.lit("x"))))
     both = rows.select("event_id", X.merged(base, patch).alias("m"))
     return both.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("kind", "owner", "note")], F.size("m").alias("n"))
+
+
+def _engine(spark, sf_dir):
+    """A dataset that was written, partly deleted, consolidated and written again."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ferrule"
+    engine, rows = Engine(spark, f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"), records(spark, sf_dir)
+    engine.create("vectors", len(one_vector(spark, sf_dir)))
+    engine.upsert("vectors", rows.select("id", "values", "metadata"))
+    engine.delete("vectors", rows.where("vec_id % 17 = 0").select("id"))
+    engine.consolidate("vectors")
+    again = rows.where("vec_id % 7 = 0").withColumn("label", F.col("label") + 10)
+    engine.upsert("vectors", again.select("id", "values", F.to_json(F.struct("label")).alias("metadata")))
+    return engine
+
+
+ENGINE_STATE = "SELECT vec_id, concat('v', vec_id::STRING) AS id, CASE WHEN vec_id % 7 = 0 THEN label + 10 ELSE label END AS label FROM embeddings WHERE vec_id % 17 <> 0 OR vec_id % 7 = 0"
+
+
+@built("engine_state", f"SELECT id, label FROM ({ENGINE_STATE}) t")
+def _engine_state(spark, sf_dir):
+    return _engine(spark, sf_dir).state("vectors").select("id", F.get_json_object("metadata", "$.label").cast("int").alias("label"))
+
+
+@built("engine_query", f"SELECT id, round({DISTANCE.format(a='e.embedding', b=ONE)}, 6) AS score FROM ({ENGINE_STATE}) t JOIN embeddings e USING (vec_id) WHERE t.label = 3 ORDER BY score, id LIMIT 10")
+def _engine_query(spark, sf_dir):
+    hits = _engine(spark, sf_dir).query("vectors", one_vector(spark, sf_dir), 10, {"label": 3})
+    return rounded(spark.createDataFrame([(h["id"], h["score"]) for h in hits], "id string, score double"))
