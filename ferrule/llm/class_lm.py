@@ -6,13 +6,16 @@ symbols of their own, other frequent words share a symbol with the words of
 their frequency band, and all rarer words one symbol; symbol bigrams are counted
 over all training texts, and one symbol after the other moves to the class that
 raises the likelihood most.  In the second, the classes before and after each
-frequent word are counted over all training texts, and each word moves, by
-itself, to the class that raises the likelihood most.  Class transitions are
-then counted anew.  A token's probability is that of its class after the class
+training word are counted over all training texts, and each word, rare ones
+too, moves, by itself, to the class that raises the likelihood most.  The most
+frequent words are a table that every task holds; the others' classes stay a
+distributed table that is joined.  Class transitions are then counted anew.  A token's probability is that of its class after the class
 before, times that of the word in its class; both are smoothed.
 
 Results in odd cases: null and empty texts have the end token alone; a null id
-counts as held out; without training rows every token is unknown; rows that
+counts as held out; words that training lacks take
+the class of the first round's rare words; without training rows every token is
+unknown; rows that
 repeat are counted and scored each; an empty table gives an empty result; other
 columns are passed over.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, doc_crc, documents, forget, stored, text_bytes, tune
 from .jaccard_join import Words
 
-#: Words with a class of their own choice, sent to every task (the others are joined and share a class), words with a symbol of their own, classes, sweeps.
+#: Words sent to every task (the others' classes and counts are joined), words with a symbol of their own, classes, sweeps.
 FREQUENT, CORE, CLASSES, SWEEPS = 1 << 18, 512, 48, 6
 BANDS = 64
 #: Context counts that a task holds before it passes them on.
@@ -115,7 +118,7 @@ def _before(symbol: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, held, is_held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, places (row in the table of each token, -1 for others), rare (keys of those others), written once and read by every later pass."""
+    """id, held_out, places (row in the table of each token, -1 for others), rare (keys of those others), row (a number of its own), written once and read by every later pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -133,7 +136,8 @@ def encode(docs: DataFrame, held, is_held_out, id_col: str = "doc_id", text_col:
         return step
 
     rows = docs.select(F.col(id_col), is_held_out.alias("__held"), F.col(text_col))
-    return stored(arrow_map(rows, f"id {kind}, held_out boolean, places array<int>, rare array<bigint>", make), "encoded")
+    out = arrow_map(rows, f"id {kind}, held_out boolean, places array<int>, rare array<bigint>", make)
+    return stored(out.withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
 def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,25 +145,25 @@ def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def count_pairs(encoded: DataFrame, held, size: int, end: int) -> np.ndarray:
-    """Counts of neighbouring labels over all texts; held has the label of each place, as many as size.
+def count_pairs(texts: DataFrame, held, size: int, end: int) -> np.ndarray:
+    """Counts of neighbouring labels over all texts; held has the label of each place, as many as size, or is None where the one column of texts has labels.
 
     As many rows as label pairs come to the driver at most.
     """
-    tune(encoded.sparkSession)
+    tune(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = held.value, np.zeros(size**2, np.int64)
+        own, total = held and held.value, np.zeros(size**2, np.int64)
         for batch in batches:
             place, sizes = _places(batch.column(0))
             if len(place):
-                label = own[place]
+                label = place.astype(np.int64) if own is None else own[place]
                 total += np.bincount(_before(label, sizes, end) * size + label, minlength=len(total))
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], ["pair", "n"])
 
-    table = encoded.select("places").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = texts.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.float64)
     out[table["pair"].to_numpy()] = table["n"].to_numpy()
     return out.reshape(size, size)
@@ -215,14 +219,20 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: in
 
 
 class Model:
-    """Log10 probabilities of classes and words; own has the class of each word in the table, and of all others last."""
+    """Log10 probabilities of classes and words; own has the class of each word in the table, and of all others last.
+
+    others has tokens and types of each class among the words beyond the table, where each has a class of its own.
+    """
 
-    def __init__(self, symbols: Symbols, own: np.ndarray, pairs: np.ndarray, tokens: int, types: int):
+    def __init__(self, symbols: Symbols, own: np.ndarray, pairs: np.ndarray, tokens: int, types: int, others: tuple[np.ndarray, np.ndarray] | None = None):
         self.symbols, self.own, self.end = symbols, own, 0
         count = np.bincount(own[:-1], symbols.counts, CLASSES)
         kinds = np.bincount(own[:-1], minlength=CLASSES).astype(float)
-        count[own[-1]] += tokens - symbols.counts.sum()
-        kinds[own[-1]] += types - len(symbols.keys)
+        if others is None:
+            count[own[-1]] += tokens - symbols.counts.sum()
+            kinds[own[-1]] += types - len(symbols.keys)
+        else:
+            count, kinds = count + others[0], kinds + others[1]
         share = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
         self.follow = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
         # one more word in each class stands for all that were never seen
@@ -237,8 +247,89 @@ def first_model(symbols: Symbols, bigrams: np.ndarray, tokens: int, types: int)
     return Model(symbols, label[np.append(symbols.symbol, symbols.rare)], member.T @ bigrams @ member, tokens, types)
 
 
+def best_class(model: Model, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The likeliest class of words; seen has how often each class came before and after each."""
+    score = seen[:, :CLASSES] @ model.follow + seen[:, CLASSES:] @ model.follow.T - counts[:, None] * model.room
+    score[:, model.end] = -np.inf
+    return score.argmax(1).astype(np.int32)
+
+
+def choose_rare(encoded: DataFrame, held) -> DataFrame:
+    """key, label, n: the class of each word beyond the table, chosen like those in it, and how often it occurs; nothing of it comes to the driver.
+
+    A word beyond the table is none of the FREQUENT most frequent, so no key is hot; counts of one are CLASSES ** 2 rows at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:
+            place, sizes = _places(batch.column(0))
+            # texts end with the end, which the table has, so a rare word has a word after it
+            at = np.flatnonzero(place < 0)
+            if not len(at):
+                continue
+            label = model.own[place]
+            around = _before(label, sizes, model.end)[at] * CLASSES + label[at + 1]
+            keys = batch.column(1).flatten()
+            for k in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_arrays([keys[k : k + (1 << 16)], pa.array(around[k : k + (1 << 16)].astype(np.int32))], ["key", "around"])
+
+    def make():
+        model = held.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = batch.column(1)
+            seen = np.zeros((batch.num_rows, 2 * CLASSES))
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            around, n = (x.to_numpy() for x in lists.flatten().flatten())
+            np.add.at(seen, (row, around // CLASSES), n)
+            np.add.at(seen, (row, CLASSES + around % CLASSES), n)
+            counts = seen[:, :CLASSES].sum(1)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_class(model, seen, counts)), pa.array(counts.astype(np.int64))], ["key", "label", "n"])
+
+        return step
+
+    tune(encoded.sparkSession)
+    seen = encoded.select("places", "rare").mapInArrow(run, "key bigint, around int").repartition("key")
+    lists = seen.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.collect_list(F.struct("around", "n")).alias("seen"))
+    return stored(arrow_map(lists, "key bigint, label int, n bigint", make), "rare-classes")
+
+
+def labelled(encoded: DataFrame, rare: DataFrame, held) -> DataFrame:
+    """id, held_out, labels (class of each token), n_known, known (sum of log10 of the tokens' counts and one); held has the classes and counts of the table."""
+    kind = encoded.schema["id"].dataType.simpleString()
+    asked = encoded.select("row", F.explode(F.array_distinct("rare")).alias("key"))
+    found = asked.join(rare, "key").groupBy("row").agg(F.collect_list(F.struct("key", "label", "n")).alias("found"))
+
+    def make():
+        own, counts = held.value
+        in_table = np.append(np.log10(counts + 1.0), 0.0)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            place, sizes = _places(batch.column(2))
+            label, known, seen = own[place].astype(np.int32), in_table[place], place >= 0
+            keys, classes, n = (x.to_numpy() for x in batch.column(4).flatten().flatten())
+            if len(keys):
+                # a word that isn't found was never seen and adds log10(1)
+                keys, first = np.unique(keys, return_index=True)
+                asks = batch.column(3).flatten().to_numpy()
+                at = np.minimum(np.searchsorted(keys, asks), len(keys) - 1)
+                hit = keys[at] == asks
+                at, to = first[at[hit]], np.flatnonzero(~seen)[hit]
+                label[to], known[to], seen[to] = classes[at], np.log10(n[at] + 1.0), True
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            add = lambda x: np.add.reduceat(x, ends[:-1]) if len(x) else x
+            labels = pa.ListArray.from_arrays(pa.array(ends), pa.array(label))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), labels, pa.array(add(seen.astype(np.int64))), pa.array(add(known))], ["id", "held_out", "labels", "n_known", "known"])
+
+        return step
+
+    both = encoded.join(found, "row", "left").select("id", "held_out", "places", "rare", "found")
+    return stored(arrow_map(both, f"id {kind}, held_out boolean, labels array<int>, n_known bigint, known double", make), "labelled")
+
+
 def choose_classes(encoded: DataFrame, held) -> np.ndarray:
-    """The class of each word under which its own neighbours and frequency are likeliest; the end keeps its class.
+    """The class of each word of the table under which its own neighbours and frequency are likeliest; the end keeps its class.
 
     A word's counts are 2 * CLASSES at most from each task, so no word is a hot key; one row a word comes back.
     """
@@ -287,9 +378,7 @@ def choose_classes(encoded: DataFrame, held) -> np.ndarray:
             row = np.repeat(np.arange(len(word)), lists.value_lengths().to_numpy())
             slot, n = lists.flatten().flatten()
             seen[row, slot.to_numpy()] = n.to_numpy()
-            score = seen[:, :CLASSES] @ model.follow + seen[:, CLASSES:] @ model.follow.T - model.symbols.counts[word][:, None] * model.room
-            score[:, model.end] = -np.inf
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.argmax(1).astype(np.int32))], ["word", "label"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_class(model, seen, model.symbols.counts[word]))], ["word", "label"])
 
         return step
 
@@ -320,45 +409,46 @@ def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: st
         if held > FREQUENT:
             least = r["step"] + 1
             break
-    top = counts.where(step >= least).orderBy(F.desc("n"), "key").toArrow()
+    end = int(np.uint64(word_key(END)).astype(np.int64))
+    top = counts.where((step >= least) | (F.col("key") == end)).orderBy(F.desc("n"), "key").toArrow()
+    forget(counts)
     symbols = Symbols(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy())
     share = spark.sparkContext.broadcast
     encoded = encode(docs, share(symbols), is_held_out, id_col, text_col)
     learned = encoded.where(~F.col("held_out"))
-    bigrams = count_pairs(learned, share(np.append(symbols.symbol, symbols.rare)), symbols.size, symbols.end)
+    bigrams = count_pairs(learned.select("places"), share(np.append(symbols.symbol, symbols.rare)), symbols.size, symbols.end)
     first = first_model(symbols, bigrams, tokens, types)
-    own = choose_classes(learned, share(first))
-    held = share(Model(symbols, own, count_pairs(learned, share(own), CLASSES, first.end), tokens, types))
+    held_first = share(first)
+    own = choose_classes(learned, held_first)
+    rare = choose_rare(learned, held_first)
+    others = np.zeros((2, CLASSES))
+    for r in rare.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        others[:, r["label"]] = r["n"], r["words"]
+    texts = labelled(encoded, rare, share((own, symbols.counts)))
+    forget(encoded)
+    forget(rare)
+    pairs = count_pairs(texts.where(~F.col("held_out")).select("labels"), None, CLASSES, first.end)
+    final = Model(symbols, own, pairs, tokens, types, (others[0], others[1]))
+    held = share((final.follow, final.room, final.end))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        model = held.value
-        known = np.append(np.log10(model.symbols.counts + 1.0), 0.0)
+        follow, word, end = held.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            place, sizes = _places(batch.column(2))
-            label = model.own[place]
-            prior = _before(label, sizes, model.end) if len(label) else label
+            label, sizes = _places(batch.column(2))
+            prior = _before(label, sizes, end) if len(label) else label
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            add = lambda x: np.add.reduceat(x, starts) if len(x) else x
-            made = [sizes, add((place >= 0).astype(np.int64)), add(known[place]), add(model.follow[prior, label] - model.room[label] + known[place])]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made), batch.column(3)], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            score = np.add.reduceat(follow[prior, label] - word[label], starts) if len(label) else np.empty(0)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *batch.columns[3:], pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "known", "score"])
 
         return step
 
-    schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
-    rows = arrow_map(encoded.select("id", "held_out", "places", "rare"), schema, make)
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    forget(encoded)
-    # the rarer words' counts are joined; a word that isn't found was never seen and adds log10(1)
-    rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    found = rare.join(counts, "key").groupBy("row").agg(F.sum("times").alias("n_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
-    both = rows.drop("rare").join(found.withColumnRenamed("n_known", "rare_known"), "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    rows = arrow_map(texts, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, known double, score double", make)
     room = float(np.log10(tokens + types + 1))
-    return both.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(room)).alias("base_score"), (F.col("score") + more).alias("score"),
+    return rows.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
+        (F.col("known") - F.col("n_tokens") * F.lit(room)).alias("base_score"), (F.col("score") + F.col("known")).alias("score"),
     )
 
 

@@ -185,6 +185,58 @@ def test_class_choice_equals_a_direct_count(docs, rows):
     assert got[-1] == own[-1]
 
 
+def test_words_beyond_the_table_have_classes_of_their_own(docs, monkeypatch):
+    """A table of a few words and all the others joined, against plain sums over the texts."""
+    from pyspark.sql import functions as F
+
+    random.seed(4)
+    texts = [" ".join(random.choice(["the red b{}", "a blue c{} in", "one d{}", "to go f{} by"]).format(random.randint(0, 60)) for _ in range(random.randint(0, 30))) for _ in range(60)]
+    table = docs.sparkSession.createDataFrame(list(enumerate([*texts, None, "the unseen word"])), "doc_id bigint, text string")
+    train, end = [class_lm.words_of(t.encode()) for t in texts], class_lm.END
+    counts = collections.Counter(w for s in train for w in s)
+    monkeypatch.setattr(class_lm, "FREQUENT", 12)
+    got = {r["doc_id"]: r for r in class_lm.lm_scores(table, F.col("doc_id") >= 60).collect()}
+
+    step = {w: int(np.floor(np.log2(n) * 8)) for w, n in counts.items()}
+    least = next(k for k in range(400) if sum(x >= k for x in step.values()) <= 12)
+    top = [w for w in counts if step[w] >= least or w == end]
+    assert len(top) < len(counts) // 4
+    symbols = class_lm.Symbols(np.array([class_lm.word_key(w) for w in top], np.uint64), np.array([counts[w] for w in top]))
+    place = {w: int(symbols.place(np.array([class_lm.word_key(w)], np.uint64))[0]) for w in counts}
+    size, classes, n, v = symbols.size, class_lm.CLASSES, sum(counts.values()), len(counts)
+
+    def table_of(label, size):
+        out = np.zeros((size, size))
+        for s in train:
+            for a, b in zip([end, *s], s, strict=False):
+                out[label[a], label[b]] += 1
+        return out
+
+    first = class_lm.first_model(symbols, table_of({w: symbols.rare if p < 0 else symbols.symbol[p] for w, p in place.items()}, size), n, v)
+    old = {w: int(first.own[p]) for w, p in place.items()}
+    new = {}
+    for w in counts:
+        score = -counts[w] * first.room
+        for s in train:
+            for i, x in enumerate(s):
+                if x == w and w != end:
+                    score = score + first.follow[old[s[i - 1]] if i else first.end] + first.follow[:, old[s[i + 1]]]
+        score[first.end] = -np.inf
+        new[w] = first.end if w == end else int(score.argmax())
+    assert len({new[w] for w, p in place.items() if p < 0}) > 1
+    both = table_of(new, classes)
+    share = (both.sum(0) + 1) / (both.sum() + classes)
+    follow = np.log10((both + class_lm.PRIOR * share) / (both.sum(1, keepdims=True) + class_lm.PRIOR))
+    room = np.log10([1 + sum(counts[w] + 1 for w in counts if new[w] == c) for c in range(classes)])
+    for i, t in enumerate([*texts, None, "the unseen word"]):
+        words = class_lm.words_of((t or "").encode())
+        label = [new.get(w, int(first.own[-1])) for w in words]
+        want = sum(follow[a, b] - room[b] + np.log10(counts[w] + 1) for a, b, w in zip([first.end, *label], label, words, strict=False))
+        assert abs(got[i]["score"] - want) < 1e-6 * abs(want) and got[i]["n_known"] == sum(w in counts for w in words)
+        base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        assert abs(got[i]["base_score"] - base) < 1e-6 * abs(base)
+
+
 def test_decontamination(spark, docs, empty):
     table, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     flat = lambda t: b" " + b" ".join(lower(t).split()) + b" "
