@@ -1,8 +1,9 @@
 """URL judgement: stated host and path rules, then mined token combinations.
 
 URLs that a stated rule fits are labels.  FP-growth mines combinations of URL
-tokens that go with the verdict; rules are pruned by support and confidence and
-held in an inverted index under their rarest token, which each URL's tokens look
+tokens that go with the verdict; rules of any length are pruned by support and
+confidence alone.  Tokens that the same labelled URLs have are mined as one and
+stand for each other in the rules, which are held in an inverted index under their rarest token, which each URL's tokens look
 up.  The longest stated rule wins; URLs that none fits get the verdict of the
 mined rules: block where a block rule's confidence is above every allow rule's,
 else allow.
@@ -17,6 +18,8 @@ ordered by length and then by name.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Share of labelled URLs that a combination has; share of them with the verdict; tokens of a combination at most.
-SUPPORT, CONFIDENCE, TOKENS = 0.002, 0.8, 3
+#: Share of labelled URLs that a combination has; share of them with the verdict.
+SUPPORT, CONFIDENCE = 0.002, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,16 +58,32 @@ def stated_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, host suffixes, first path part, shape of path and rest of the url."""
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host:"), x))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    first = F.transform(F.slice(parts, 1, 1), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, r"\d+", "0")))
-    words = F.flatten(F.transform(F.split(host, r"\."), lambda x: F.split(x, "-")))
-    words = F.transform(words, lambda x: F.concat(F.lit("word:"), x))
-    keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda x: F.concat(F.lit("query:"), x))
-    scheme = F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1)))
-    every = F.concat(labels, words, first, keys, scheme)
-    return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda x: ~x.endswith(":"))))
+    """Distinct tokens: host labels, their words and host suffixes; every part of the path, the first, ending and shape of it; query keys and values, fragment and scheme."""
+
+    def marked(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda x: F.concat(F.lit(kind + ":"), x))
+
+    def folded(x: Column) -> Column:
+        return F.regexp_replace(x, r"\d+", "0")
+
+    labels = F.split(host, r"\.")
+    words = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
+    # from the second label on up to the last but one: the labels themselves have the last one
+    starts = F.when(F.size(labels) > 2, F.sequence(F.lit(2), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
+    suffixes = F.transform(starts, lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), folded)
+    ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    shape = folded(F.regexp_replace(path, r"\p{L}+", "a"))
+    pairs = F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&")
+    keys = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
+    values = F.transform(F.filter(pairs, lambda x: x.contains("=")), folded)
+    fragment = folded(F.regexp_extract(url, r"(?s)#(.*)$", 1))
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    every = F.concat(
+        marked("host", labels), marked("word", words), marked("suffix", suffixes), marked("path", parts), marked("first", F.slice(parts, 1, 1)), marked("ending", F.array(ending)),
+        marked("shape", F.array(shape)), marked("query", keys), marked("value", values), marked("fragment", F.array(fragment)), marked("scheme", F.array(scheme)),
+    )
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda x: ~x.rlike("^[a-z]+:$"))))
 
 
 def mine(labelled: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
@@ -73,24 +92,38 @@ def mine(labelled: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     total = labelled.count()
     if not total:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(labelled.select(items.alias("items")))
-    sets = model.freqItemsets.where(F.size("items") <= TOKENS + 1)
+    # tokens of the same urls are one item, named by the least; SUPPORT bounds how many are frequent
+    rows = labelled.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
+    prints = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    alike: dict[tuple, list[str]] = {}
+    for r in prints.where(F.col("n") >= SUPPORT * total).orderBy("token").collect():
+        alike.setdefault((r["n"], r["a"], r["b"]), []).append(r["token"])
+    if not alike:
+        return []
+    names = labelled.sparkSession.createDataFrame([(group[0],) for group in alike.values()], "token string")
+    found = each.join(F.broadcast(names), "token").groupBy("row", "verdict").agg(F.collect_list("token").alias("tokens"))
+    items = F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict")))
+    # urls of no frequent token have no combination; the share is of all urls
+    known = found.select(items.alias("items")).persist()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, SUPPORT * total / known.count()), minConfidence=CONFIDENCE).fit(known)
     mark = F.filter("items", lambda x: x.startswith("verdict="))
     rest = F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict=")))
-    split = sets.select(mark.alias("mark"), rest.alias("rest"), "freq")
+    split = model.freqItemsets.select(mark.alias("mark"), rest.alias("rest"), "freq")
     alone = split.where("size(mark) = 0").select("rest", F.col("freq").alias("all"))
     rules = split.where("size(mark) = 1 and size(rest) > 0").join(alone, "rest").withColumn("confidence", F.col("freq") / F.col("all")).where(F.col("confidence") >= CONFIDENCE)
     # at most as many as combinations of SUPPORT can be frequent in urls of a few tokens
-    found = [(tuple(r["rest"]), r["mark"][0].removeprefix("verdict="), r["confidence"]) for r in rules.collect()]
+    mined = [(tuple(r["rest"]), r["mark"][0].removeprefix("verdict="), r["confidence"]) for r in rules.collect()]
+    known.unpersist()
     # a rule is dropped where a part of it says the same at least as surely
-    known = {(frozenset(t), v): c for t, v, c in found}
-    kept = []
-    for tokens, verdict, confidence in sorted(found, key=lambda r: (len(r[0]), r[0], r[1])):
-        parts = [frozenset(tokens) - {t} for t in tokens] if len(tokens) > 1 else []
-        parts += [frozenset({t}) for t in tokens] if len(tokens) > 2 else []
-        if not any(known.get((p, verdict), 0) >= confidence for p in parts):
+    kept, under = [], {}
+    for tokens, verdict, confidence in sorted(mined, key=lambda r: (len(r[0]), r[0], r[1])):
+        own = set(tokens)
+        if not any(c >= confidence and part <= own for t in tokens for part, c in under.get((t, verdict), ())):
             kept.append((tokens, verdict, confidence))
-    return kept
+            under.setdefault((tokens[0], verdict), []).append((own, confidence))
+    groups = {group[0]: group for group in alike.values()}
+    return [(tuple(sorted(x)), verdict, confidence) for tokens, verdict, confidence in kept for x in product(*(groups[t] for t in tokens))]
 
 
 def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:

@@ -293,3 +293,21 @@ def test_url_filter(spark):
     assert [got[i]["verdict"] for i in range(4)] == ["allow", "block", "allow", "block"]
     assert (got[0]["host"], got[0]["path"], got[6]["host"], got[7]["path"]) == ("www.example.com", "/en/1", "", "")
     assert url_filter.judge(table.limit(0)).count() == 0
+
+
+def test_url_filter_reads_whole_urls(spark):
+    """Verdicts that only a later part, the ending, a value or the fragment can tell, and one that four tokens tell together."""
+    told = ["/x/casino/1.html", "/x/offer/2.exe", "/x/c/3?k=bad", "/x/c/4#promo"]
+    urls = [f"http://h{i}.example.com/en{p}" for i in range(5) for p in told] + [f"http://www.example.com/en/{p}" for _ in range(5) for p in ("x/news/1.html", "x/news/2?k=good", "x/c/3.html#top")]
+    ask = [f"http://q.net/en/x/{p}" for p in ("casino/9.html", "offer/8.exe", "c/7?k=bad", "c/6#promo", "news/5?k=good", "c/5.html#top")]
+    table = spark.createDataFrame(list(enumerate([*ask, *urls])), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(table).collect()}
+    assert [got[i]["verdict"] for i in range(6)] == ["block"] * 4 + ["allow"] * 2
+    # block where all four are there, allow where one is missing
+    four = [f"t:{c}" for c in "abcd"]
+    rows = [(four, "block")] * 5 + [([x for x in four if x != y], "allow") for y in four for _ in range(5)]
+    rules = {(t, v) for t, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))}
+    assert (tuple(four), "block") in rules and all(len(t) == 4 for t, v in rules if v == "block")
+    # tokens of the same urls stand for each other
+    rows = [(["p", "q"], "block"), (["r"], "allow")]
+    assert {t for t, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")) if v == "block"} == {("p",), ("q",)}
