@@ -9,8 +9,10 @@ there at most once to something left out, so no choice contradicts an
 ancestor's.
 
 Results in odd cases: null and empty pages, and pages without text, give an
-empty string; markup that is never closed ends with its parent; unknown tags are
-inline; without sample pages the semantic labels' rule itself decides; repeated
+empty string; markup that is never closed ends with its parent, but for script
+and style, which then reach to the end of the page; unknown tags are inline;
+scripts, styles, noscript, templates, graphics, frames and form fields have no
+text; without sample pages the semantic labels' rule itself decides; repeated
 rows are extracted each; an empty table gives an empty result; other columns are
 passed over.
 """
@@ -33,18 +35,24 @@ ROUNDS, DEPTH, RATE, BINS, LEAF = 40, 3, 0.3, 32, 20
 
 # HTML's kinds of elements, and tokens that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select".split())
+RAW = frozenset("script style".split())
+#: Elements without text of the page; PLAIN ones of them hold no markup.  In FOREIGN ones a tag can close itself.
+HIDDEN = frozenset("noscript template svg iframe textarea select".split())
+PLAIN, FOREIGN = frozenset("iframe textarea".split()), frozenset("svg math".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPE = frozenset("ul ol dl table td th body html article section div main".split())
-APART = frozenset("nav aside footer header form button dialog menu head title".split()) | RAW
+SCOPE = frozenset("ul ol dl table td th body html article section div main math object".split()) | HIDDEN
+SAME_SCOPE = frozenset("ul ol dl table math object".split()) | HIDDEN
+APART = frozenset("nav aside footer header form button dialog menu head title".split()) | RAW | HIDDEN
 TEXTUAL = frozenset("article main".split())
 NAMES_APART = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 NAMES_TEXT = frozenset("article body content entry main post story text".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)""", re.I)
+#: Attributes that end with a slash of the tag, not of an unquoted value.
+CLOSED = re.compile(r"""(?:^|["'\s]|(?:^|["'\s])[^\s"'=]+)/\Z""")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -54,6 +62,7 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.names = ["#root"], [-1], [frozenset()]
         self.pieces: list[tuple[int, str | None]] = []
+        self.hidden, self.foreign = [False], [False]
         stack, at, n = [0], 0, len(html)
         self.html = html
         for m in TOKEN.finditer(html):
@@ -70,17 +79,21 @@ class Page:
             if tag in CLOSES_P:
                 self._end(stack, ("p",), SCOPE)
             if tag in SAME:
-                self._end(stack, SAME[tag], frozenset(("ul", "ol", "dl", "table")))
+                self._end(stack, SAME[tag], SAME_SCOPE)
             node = self._open(stack[-1], tag, m[3])
+            if self.foreign[node] and CLOSED.search(m[3]):
+                continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(html, at)
+                end = re.compile(rf"</{tag}\b[^>]*+>", re.I).search(html, at)
                 at = end.end() if end else n
+            elif tag in PLAIN and (end := re.compile(rf"<(/?){tag}\b[^>]*+>", re.I).search(html, at)) and end[1]:
+                at = end.end()
             elif tag not in VOID:
                 stack.append(node)
         self._text(stack[-1], html[at:])
 
     def _text(self, node: int, text: str) -> None:
-        if text:
+        if text and not self.hidden[node]:
             self.pieces.append((node, text))
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
@@ -89,12 +102,14 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         node = len(self.tag) - 1
-        if tag in BLOCK or tag == "br":
+        self.hidden.append(self.hidden[parent] or tag in HIDDEN)
+        self.foreign.append(self.foreign[parent] or tag in FOREIGN)
+        if (tag in BLOCK or tag == "br") and not self.hidden[node]:
             self.pieces.append((node, None))
         return node
 
     def _pop(self, stack: list[int], k: int) -> None:
-        if any(self.tag[x] in BLOCK for x in stack[k:]):
+        if any(self.tag[x] in BLOCK and not self.hidden[x] for x in stack[k:]):
             self.pieces.append((stack[k], None))
         del stack[k:]
 
@@ -114,7 +129,7 @@ class Page:
                 return
             if self.tag[stack[k]] in ("td", "th") and tag not in BLOCK:
                 return
-        if tag == "p" or tag == "br":
+        if (tag == "p" or tag == "br") and not self.hidden[stack[-1]]:
             self.pieces.append((stack[-1], None))
 
     def features(self) -> np.ndarray:

@@ -311,3 +311,23 @@ def test_url_filter_reads_whole_urls(spark):
     # tokens of the same urls stand for each other
     rows = [(["p", "q"], "block"), (["r"], "allow")]
     assert {t for t, v, _ in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")) if v == "block"} == {("p",), ("q",)}
+
+
+def test_html_text_loses_nothing_around_embedded_markup(spark):
+    """Graphics that close themselves, formulas, objects and elements that are never closed leave the text around them."""
+    trees = html_text.learn(spark.read.parquet(f"{DATA}/pages.parquet"))
+    page = "<html><body><article><p>The first paragraph has words enough {}</p><p>and the second one has some more of them</p></article></body></html>"
+    first, second = "The first paragraph has words enough", "and the second one has some more of them"
+    cases = {
+        "<svg/>end": "end", "<svg class='x' />end": "end", "<svg width=1/><path d='M0'/></svg>end": "end", "<svg><title>no</title><style/><path/></svg>end": "end", "<math/>end": "end",
+        "<math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></math> end": "x=2 end", "<object data=x>instead</object> end": "instead end",
+        "<svg><g>no": "", "<select><option>no": "", "<textarea>no": "", "<template><p>no</p>": "", "<object data=x>instead": "instead",
+        "<template><div><p>no</p></div></template>end": "end", "<select><option>no<option>no</select>end": "end", "<textarea></p><b>no</textarea>end": "end", "<script>'</p>'</script>end": "end", "<p/>end": None,
+    }
+    for inner, left in cases.items():
+        want = f"{first}\nend\n{second}" if left is None else f"{first} {left}".rstrip() + f"\n{second}"
+        for model in (None, trees):
+            assert html_text.extract(page.format(inner), model) == want, (inner, model)
+    # an unclosed field and a closed one on the same page
+    two = page.format("<textarea>no") .replace("</body>", "<form><textarea>no</textarea></form></body>")
+    assert html_text.extract(two, None) == f"{first}\n{second}"
