@@ -238,9 +238,7 @@ class Engine:
             found.write.parquet(scratch)
             held = self.spark.read.schema(found.schema).parquet(scratch)
             result = imports.outcome(held, abort, max_bad).first().asDict() | {"job": job}
-            bad = held.where("reason is not null")
-            text = F.when(F.length("text") > TEXT, F.concat(F.substring("text", 1, TEXT), F.lit("...[truncated]"))).otherwise(F.col("text"))
-            bad.select("line", text.alias("text"), "reason").write.json(f"{self.root}/{name}/rejected/{job}")
+            imports.rejected(held, TEXT).write.json(f"{self.root}/{name}/rejected/{job}")
             if not result["failed"] and result["accepted"]:
                 self.upsert(name, held.where("reason is null").select("id", "values", "metadata"))
         finally:

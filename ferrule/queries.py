@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import expressions as X
-from .operators import search, state
+from .operators import generations, search, state
 from .plans import cells
 from .sources import imports
 
@@ -57,6 +57,54 @@ def shared(name: str, body: str, *parts: str, tables=("embeddings",)) -> None:
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
+def operated(name: str, body: str, *parts: str, tables, run) -> None:
+    """A query of operators with a statement of its own as oracle."""
+    shared(name, body, *parts, tables=tables)
+    QUERIES[name] = run
+
+
+#: The queries over the literal shards, by operators that take any.
+OVER_SHARDS = {
+    "latest_shard": generations.latest,
+    "generations": lambda shards: generations.members(shards).select("dataset", "base", "generation", "shard"),
+    "frontier_watermark": lambda shards: generations.frontiers(shards).select("dataset", "base", "frontier"),
+    "dataset_watermark": generations.dataset_watermark,
+    "grace_watermark": generations.grace_watermark,
+    "superseded_shards": generations.superseded,
+    "watermark_carry": generations.watermark_carry,
+}
+
+
+def over_shards(name: str, body: str, *parts: str, tables) -> None:
+    operated(name, body, *parts, tables=tables, run=lambda spark, sf_dir: OVER_SHARDS[name](spark.sql(f"WITH {SHARDS} SELECT * FROM shards")))
+
+
+IMPORTED = """SELECT event_id AS line, user_id AS job, concat(event_type, ' ', CAST(event_id AS STRING)) AS note, CASE event_id % 7 WHEN 0 THEN '{not json'
+ WHEN 1 THEN '{"id": "a", "values": [1, 2, 3]}' WHEN 2 THEN '{"id": "", "values": [1, 2]}' ELSE concat('{"id": "', event_type, '", "values": [', CAST(event_id AS STRING), ', 2.5]}') END AS text FROM events"""
+#: The queries over checked lines; the oracle's text of a line is its note, cut at 12 characters.
+OVER_LINES = {
+    "import_counters": lambda rows: imports.outcome(rows, False, by=("job",)).select("job", "processed", "accepted", "rejected"),
+    "import_policy": lambda rows: imports.outcome(rows, False, 25, by=("job",)).select("job", "first_bad", "failed"),
+    "import_rejected": lambda rows: imports.rejected(rows.withColumn("text", F.col("note")), 12),
+}
+
+
+def over_lines(name: str, body: str, *parts: str, tables) -> None:
+    def run(spark, sf_dir):
+        _views(spark, sf_dir, tables)
+        return OVER_LINES[name](imports.checked(spark.sql(IMPORTED), 2, False, keep=("job", "note")))
+
+    operated(name, body, *parts, tables=tables, run=run)
+
+
+def over_log(name: str, body: str, *parts: str, tables=("embeddings",)) -> None:
+    def run(spark, sf_dir):
+        _views(spark, sf_dir, tables)
+        return state.trim(spark.sql(f"WITH {RECORDS}, {LOG} SELECT id, lsn, label, deleted FROM log"), 200)
+
+    operated(name, body, *parts, tables=tables, run=run)
+
+
 def built(name: str, oracle: str | None):
     def add(function):
         QUERIES[name] = function
@@ -204,16 +252,16 @@ shared("list_union", "SELECT id, label FROM newest WHERE NOT deleted UNION ALL S
 shared("list_page", "SELECT id FROM records ORDER BY id LIMIT 100 OFFSET 100", RECORDS)
 shared("get_union", "SELECT id, label FROM (SELECT id, label, 0 AS tier FROM newest WHERE id IN ('v5', 'v7', 'v34') AND NOT deleted UNION ALL SELECT c.id, c.label, 1 AS tier FROM cold c WHERE c.id IN ('v5', 'v7', 'v34') AND NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)) t", RECORDS, LOG, NEWEST, COLD)
 shared("get_vector", "SELECT id, label, lsn FROM records WHERE id = 'v42'", RECORDS)
-shared("recall_trim", "SELECT id, lsn, label, deleted FROM log WHERE lsn > 200", RECORDS, LOG)
+over_log("recall_trim", "SELECT id, lsn, label, deleted FROM log WHERE lsn > 200", RECORDS, LOG)
 shared("partition_count", "SELECT CAST(count(*) AS BIGINT) AS n, max(lsn) AS watermark FROM newest", RECORDS, LOG, NEWEST)
 shared("idle_partitions", "SELECT user_id, CAST(max(event_id) AS BIGINT) AS newest FROM events GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 100 FROM events)", tables=("events",))
-shared("latest_shard", "SELECT dataset, shard FROM (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY created DESC, shard DESC) AS r FROM shards) t WHERE r = 1", SHARDS, tables=())
-shared("generations", "SELECT dataset, base, CAST(generation AS BIGINT) AS generation, shard FROM members", SHARDS, GENERATIONS, tables=())
-shared("frontier_watermark", "SELECT dataset, base, frontier FROM frontiers", SHARDS, GENERATIONS, tables=())
-shared("dataset_watermark", "SELECT dataset, max(frontier) AS watermark FROM frontiers WHERE generation = 1 GROUP BY dataset", SHARDS, GENERATIONS, tables=())
-shared("grace_watermark", "SELECT dataset, coalesce(max(CASE WHEN generation = 2 THEN frontier END), 0) AS grace FROM frontiers GROUP BY dataset", SHARDS, GENERATIONS, tables=())
-shared("superseded_shards", "SELECT shard FROM shards WHERE shard NOT IN (SELECT shard FROM members WHERE generation <= 2)", SHARDS, GENERATIONS, tables=())
-shared("watermark_carry", "SELECT shard, dataset, max(consolidated) OVER (PARTITION BY dataset ORDER BY created ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consolidated FROM shards", SHARDS, tables=())
+over_shards("latest_shard", "SELECT dataset, shard FROM (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY created DESC, shard DESC) AS r FROM shards) t WHERE r = 1", SHARDS, tables=())
+over_shards("generations", "SELECT dataset, base, CAST(generation AS BIGINT) AS generation, shard FROM members", SHARDS, GENERATIONS, tables=())
+over_shards("frontier_watermark", "SELECT dataset, base, frontier FROM frontiers", SHARDS, GENERATIONS, tables=())
+over_shards("dataset_watermark", "SELECT dataset, max(frontier) AS watermark FROM frontiers WHERE generation = 1 GROUP BY dataset", SHARDS, GENERATIONS, tables=())
+over_shards("grace_watermark", "SELECT dataset, coalesce(max(CASE WHEN generation = 2 THEN frontier END), 0) AS grace FROM frontiers GROUP BY dataset", SHARDS, GENERATIONS, tables=())
+over_shards("superseded_shards", "SELECT shard FROM shards WHERE shard NOT IN (SELECT shard FROM members WHERE generation <= 2)", SHARDS, GENERATIONS, tables=())
+over_shards("watermark_carry", "SELECT shard, dataset, max(consolidated) OVER (PARTITION BY dataset ORDER BY created ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consolidated FROM shards", SHARDS, tables=())
 shared("tombstone_suppress", "SELECT id FROM newest UNION SELECT id FROM records WHERE vec_id % 17 = 0", RECORDS, LOG, NEWEST)
 BANDS = "bands AS (SELECT id, label, 1 AS band FROM records WHERE vec_id % 5 <> 0 UNION ALL SELECT id, label + 100 AS label, 2 AS band FROM records WHERE vec_id % 3 = 0 UNION ALL SELECT id, label + 200 AS label, 3 AS band FROM records WHERE vec_id % 4 = 0)"
 shared("delta_union", "SELECT id, label, band FROM bands", RECORDS, BANDS)
@@ -226,9 +274,9 @@ shared("delete_by_id", "SELECT id, label FROM cold WHERE id <> 'v6'", RECORDS, C
 shared("fold_new_rows", "SELECT id, lsn, label, deleted FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
 shared("delta_fold", "SELECT CAST(100001 AS BIGINT) AS lo, max(lsn) AS hi, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CASE WHEN deleted THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
 shared("row_count", "SELECT CAST(count(DISTINCT id) AS BIGINT) AS n FROM (SELECT id FROM cold UNION ALL SELECT id FROM newest WHERE NOT deleted) t", RECORDS, LOG, NEWEST, COLD)
-shared("import_counters", "SELECT job, CAST(count(*) AS BIGINT) AS processed, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM lines GROUP BY job", JOBS, tables=("events",))
-shared("import_policy", "SELECT job, min(CASE WHEN reason IS NOT NULL THEN line END) AS first_bad, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) > 25 AS failed FROM lines GROUP BY job", JOBS, tables=("events",))
-shared("import_rejected", "SELECT line, reason, CASE WHEN length(text) > 12 THEN concat(substr(text, 1, 12), '...[truncated]') ELSE text END AS text FROM lines WHERE reason IS NOT NULL", JOBS, tables=("events",))
+over_lines("import_counters", "SELECT job, CAST(count(*) AS BIGINT) AS processed, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM lines GROUP BY job", JOBS, tables=("events",))
+over_lines("import_policy", "SELECT job, min(CASE WHEN reason IS NOT NULL THEN line END) AS first_bad, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) > 25 AS failed FROM lines GROUP BY job", JOBS, tables=("events",))
+over_lines("import_rejected", "SELECT line, reason, CASE WHEN length(text) > 12 THEN concat(substr(text, 1, 12), '...[truncated]') ELSE text END AS text FROM lines WHERE reason IS NOT NULL", JOBS, tables=("events",))
 shared("hit_mapping", "SELECT h.event_id, h.hit, coalesce(r.id, CAST(h.hit AS STRING)) AS id FROM (SELECT event_id, event_id % 700 AS hit FROM events) h LEFT JOIN records r ON r.vec_id = h.hit", RECORDS, tables=("embeddings", "events"))
 shared("stale_datasets", "SELECT user_id, max(event_id) AS last_event FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 200 FROM events)", tables=("events",))
 shared("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type", tables=("events",))

@@ -25,8 +25,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("p") - F.col("first") + 1).alias("line"), "text")
 
 
-def checked(lines: DataFrame, dimension: int, strict: bool = True) -> DataFrame:
-    """line, text, id, values, metadata, reason (null for good records); lines has line and text.
+def checked(lines: DataFrame, dimension: int, strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """line, text, id, values, metadata, reason (null for good records) and the columns to keep; lines has line and text.
 
     The reasons are tried in a fixed order.  Without strict, booleans count as
     numbers, and ids of any length and values of any magnitude are good.
@@ -50,11 +50,17 @@ def checked(lines: DataFrame, dimension: int, strict: bool = True) -> DataFrame:
         ((metadata != "VOID") & ~metadata.startswith("OBJECT"), "invalid_metadata", True),
     ]
     reason = F.coalesce(*[F.when(bad, name) for bad, name, used in checks if used])
-    return lines.where(F.length(F.trim("text")) > 0).select("line", "text", identifier.alias("id"), values.cast("array<float>").alias("values"), F.to_json(F.try_variant_get(doc, "$.metadata", "variant")).alias("metadata"), reason.alias("reason"))
+    return lines.where(F.length(F.trim("text")) > 0).select("line", "text", identifier.alias("id"), values.cast("array<float>").alias("values"), F.to_json(F.try_variant_get(doc, "$.metadata", "variant")).alias("metadata"), reason.alias("reason"), *keep)
 
 
-def outcome(rows: DataFrame, abort: bool, max_bad: int | None = None) -> DataFrame:
-    """One row: processed, accepted, rejected, first_bad, failed."""
-    counts = rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.min(F.when(F.col("reason").isNotNull(), F.col("line"))).alias("first_bad"))
+def rejected(rows: DataFrame, longest: int) -> DataFrame:
+    """line, text (cut where it is longer), reason of the bad records of checked lines."""
+    text = F.when(F.length("text") > longest, F.concat(F.substring("text", 1, longest), F.lit("...[truncated]"))).otherwise(F.col("text"))
+    return rows.where("reason is not null").select("line", text.alias("text"), "reason")
+
+
+def outcome(rows: DataFrame, abort: bool, max_bad: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each of the columns by: processed, accepted, rejected, first_bad, failed."""
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.min(F.when(F.col("reason").isNotNull(), F.col("line"))).alias("first_bad"))
     limit = F.lit(0) if abort else F.lit(max_bad if max_bad is not None else 2**62)
     return counts.withColumn("failed", F.col("rejected") > limit)

@@ -36,3 +36,45 @@ def test_entry_point_imports():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["latest_shard", "generations", "frontier_watermark", "dataset_watermark", "grace_watermark", "superseded_shards", "watermark_carry"])
+def test_generation_rules_on_other_shards(spark, name):
+    """Chains with gaps, overlaps, other quantizers and lost parents against the oracle's statement."""
+    import random
+
+    from ferrule import queries
+
+    random.seed(6)
+    rows, bases = [], {}
+    for shard in range(1, 160):
+        dataset = random.choice("abcde")
+        if shard < 12 or random.random() < 0.2:
+            hi = random.choice([0, 10 * shard])
+            rows.append((shard, dataset, 0, 0, random.choice(["q1", "q2"]), 0, hi, 5 * shard, shard))
+            bases[shard] = [rows[-1], hi or 5 * shard]
+        else:
+            base = random.choice(list(bases))
+            row, at = bases[base]
+            lo = at + random.choice([1, 1, 1, 1, 0, 3])
+            parent, quantizer = random.choice([base] * 9 + [9999]), random.choice([row[4]] * 9 + ["q9"])
+            rows.append((shard, row[1], 1, parent, quantizer, lo, lo + 7, 0, shard))
+            bases[base][1] = lo + 7
+    shards = spark.createDataFrame(rows, "shard int, dataset string, level int, parent int, quantizer string, lo int, hi int, consolidated int, created int")
+    con = duckdb.connect()
+    con.register("given", shards.toPandas())
+    got = queries.OVER_SHARDS[name](shards).toPandas()
+    want = con.execute(ORACLE_SQL[name].replace(queries.SHARDS, "shards AS (SELECT * FROM given)")).df()
+    columns = sorted(got.columns)
+    assert len(want) and columns == sorted(want.columns)
+    assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
+
+
+def test_import_queries_check_their_lines(spark, monkeypatch):
+    from ferrule.sources import imports
+
+    calls, real = [], imports.checked
+    monkeypatch.setattr(imports, "checked", lambda *a, **b: calls.append(a) or real(*a, **b))
+    for name in ("import_counters", "import_policy", "import_rejected"):
+        QUERIES[name](spark, DATA)
+    assert len(calls) == 3
