@@ -11,13 +11,14 @@ again to the newer state.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.control import MATCHES, MOST_MATCHES, MOST_PAGE, PAGE, check_name, decode_cursor, encode_cursor
+from .functions.control import MATCHES, MOST_MATCHES, MOST_PAGE, PAGE, check_name, decode_cursor, encode_cursor, iso_time
 from .operators import search, state
 from .plans import cells
 from .sources import imports
@@ -29,20 +30,26 @@ COLUMNS = ["id", "values", "metadata", "lsn", "deleted"]
 MAX_DELTAS, KEPT = 8, 2
 #: Longest text of a rejected record that is kept.
 TEXT = 2000
+# Rows and seconds of rest after which a log is folded.
+MOST_ROWS, IDLE = 2000, 60
+#: Matches for which the number of probed cells is fitted when a base is written.
+FITTED = 10
 
 
 class Engine:
-    """All datasets under one folder of a store that every executor reaches."""
+    """All datasets of one tenant under one folder of a store that every executor reaches; tenants share nothing."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, tenant: str = "default", clock=time.time):
+        self.spark, self.tenant, self.clock = spark, check_name(tenant), clock
+        self.root = f"{root.rstrip('/')}/{tenant}"
+        self.files = Files(spark, self.root)
 
     # ---- datasets
 
     def create(self, name: str, dimension: int) -> dict:
         if isinstance(dimension, bool) or not isinstance(dimension, int) or dimension < 1:
             raise ValueError("invalid_dimension")
-        made = {"name": check_name(name), "dimension": dimension, "status": "empty", "life": uuid.uuid4().hex, "next_lsn": 1, "base": None, "deltas": [], "log": []}
+        made = {"name": check_name(name), "dimension": dimension, "status": "empty", "life": uuid.uuid4().hex, "next_lsn": 1, "base": None, "deltas": [], "log": [], "created": self.clock(), "changed": self.clock()}
 
         def change(now):
             if now is not None and now["status"] != "deleted":
@@ -52,6 +59,7 @@ class Engine:
         return self._chain(name).commit(change)
 
     def datasets(self) -> list[dict]:
+        """Those that are not deleted, by name."""
         found = [self._chain(name).latest() for name in self.files.names("") if not name.startswith(".")]
         return [d for d in found if d is not None and d["status"] != "deleted"]
 
@@ -61,6 +69,28 @@ class Engine:
             raise KeyError("dataset_not_found")
         return found
 
+    def summary(self, name: str) -> dict:
+        """What callers are shown of a dataset."""
+        now = self.describe(name)
+        return {
+            "name": name, "dimension": now["dimension"], "status": now["status"], "row_count": self.count(name), "created_at": iso_time(now["created"]),
+            "last_indexed_at": iso_time(now["indexed"]) if now.get("indexed") else None, "error_message": now.get("error"),
+        }
+
+    def fail_if_stale(self, name: str, seconds: float, message: str) -> bool:
+        """Set a dataset that has been waiting for its index for too long to error, unless it has changed meanwhile."""
+        done = []
+
+        def change(now):
+            done.clear()
+            if now is None or now["status"] not in ("validating", "indexing") or self.clock() - now["changed"] < seconds:
+                return None
+            done.append(now)
+            return now | {"status": "error", "error": message}
+
+        self._chain(name).commit(change)
+        return bool(done)
+
     def drop(self, name: str) -> None:
         """The dataset goes with its log; a new one of the same name starts empty."""
         self.describe(name)
@@ -79,7 +109,7 @@ class Engine:
         dimension = self.describe(name)["dimension"]
         metadata = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in records.columns else F.lit("{}")
         rows = records.select(F.col("id").cast("string"), F.col("values").cast("array<float>"), metadata.alias("metadata"), F.lit(False).alias("deleted"))
-        bad = F.coalesce((F.size("values") != dimension) | (F.length("id") == 0), F.lit(True)) | F.exists("values", lambda x: x.isNull())
+        bad = F.coalesce((F.size("values") != dimension) | (F.length("id") == 0), F.lit(True)) | F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return self._append(name, rows, bad, batch)
 
     def delete(self, name: str, ids: DataFrame) -> dict:
@@ -118,7 +148,7 @@ class Engine:
                 return None
             streams = streams | ({batch[0]: batch[1]} if batch else {})
             lo = now["next_lsn"]
-            return now | {"streams": streams, "status": "indexing", "next_lsn": lo + total, "log": [*now["log"], {"path": path, "lo": lo, "hi": lo + total - 1}]}
+            return now | {"streams": streams, "status": "indexing", "changed": self.clock(), "next_lsn": lo + total, "log": [*now["log"], {"path": path, "lo": lo, "hi": lo + total - 1}]}
 
         return self._chain(name).commit(change)
 
@@ -129,21 +159,33 @@ class Engine:
         now = self.describe(name) if version is None else self._chain(name).read(version)
         return state.live(self._base(now).unionByName(self._recent(now))).drop("deleted")
 
-    def get(self, name: str, identifier: str) -> dict | None:
+    def lookup(self, name: str, identifier: str) -> tuple[str, dict | None]:
+        """live and the record, or tombstone or absent; the base is read only for an id that nothing newer has."""
         now = self.describe(name)
-        rows = self._base(now).unionByName(self._recent(now)).where(F.col("id") == identifier).orderBy(F.desc("lsn")).limit(1).collect()
-        return self._record(rows[0]) if rows and not rows[0]["deleted"] else None
+        for rows in (self._recent(now), self._base(now)):
+            found = rows.where(F.col("id") == identifier).orderBy(F.desc("lsn")).limit(1).collect()
+            if found:
+                return ("tombstone", None) if found[0]["deleted"] else ("live", self._record(found[0]))
+        return "absent", None
+
+    def get(self, name: str, identifier: str) -> dict | None:
+        return self.lookup(name, identifier)[1]
 
     def page(self, name: str, limit: int = PAGE, cursor: str | None = None) -> dict:
-        """Records in the order of their ids, and the cursor of the next page (None at the end)."""
+        """Records in the order of their ids, and the cursor of the next page (None at the end): the last id of this one."""
         if limit < 1:
             raise ValueError("invalid_limit")
-        limit, at = min(limit, MOST_PAGE), decode_cursor(cursor)
-        rows = self.state(name).select("id", "metadata").orderBy("id").offset(at).limit(limit + 1).collect()
-        return {"vectors": [{"id": r["id"], "metadata": json.loads(r["metadata"])} for r in rows[:limit]], "next_cursor": encode_cursor(at + limit) if len(rows) > limit else None}
+        limit, after = min(limit, MOST_PAGE), decode_cursor(cursor)
+        rows = self.state(name).select("id", "metadata")
+        rows = rows if after is None else rows.where(F.col("id") > after)
+        found = rows.orderBy("id").limit(limit + 1).collect()
+        return {"vectors": [{"id": r["id"], "metadata": json.loads(r["metadata"])} for r in found[:limit]], "next_cursor": encode_cursor(found[limit - 1]["id"]) if len(found) > limit else None}
+
+    def query(self, name: str, vector: list[float], k: int = MATCHES, wanted: dict | None = None, probed: int | None = None) -> list[dict]:
+        """The k nearest live records; with a filter all cells are read, so that min(k, matching) are found.
 
-    def query(self, name: str, vector: list[float], k: int = MATCHES, wanted: dict | None = None, probed: int = cells.PROBED) -> list[dict]:
-        """The k nearest live records; with a filter all cells are read, so that min(k, matching) are found."""
+        Without a filter, as many cells are read as the base was found to need when it was written.
+        """
         now = self.describe(name)
         if len(vector) != now["dimension"]:
             raise ValueError("dimension_mismatch")
@@ -151,7 +193,7 @@ class Engine:
             raise ValueError("invalid_top_k")
         base = self._base(now, keep_cell=True)
         if now["base"] and now["base"]["cells"] > 1 and not wanted:
-            near = cells.nearest(np.asarray([vector], np.float32), self._centroids(now), probed)[0]
+            near = cells.nearest(np.asarray([vector], np.float32), self._centroids(now), probed or now["base"]["probed"])[0]
             base = base.where(F.col("cell").isin(*map(int, near)))
         newest = state.last_wins(self._recent(now))
         own = search.knn(newest.where(~F.col("deleted")), vector, k, wanted)
@@ -160,7 +202,8 @@ class Engine:
         hits = search.merge_recent(own, cold, k).collect()
         if not hits:
             return []
-        rows = self.state(name, now["version"]).where(F.col("id").isin(*[r["id"] for r in hits])).select("id", "metadata").collect()
+        wanted_ids = F.col("id").isin(*[r["id"] for r in hits])
+        rows = state.live(self._base(now).where(wanted_ids).unionByName(self._recent(now).where(wanted_ids))).select("id", "metadata").collect()
         metadata = {r["id"]: json.loads(r["metadata"]) for r in rows}
         return [{"id": r["id"], "score": r["score"], "metadata": metadata[r["id"]]} for r in hits]
 
@@ -183,8 +226,11 @@ class Engine:
             entry |= {"cells": max(1, len(centroids)), "centroids": now["base"]["centroids"] if kind == "major" else f"{path}-centroids"}
             if kind == "full":
                 self._write_centroids(entry["centroids"], centroids)
+            probing = centroids
         # rows of one cell meet in few files; a cell that is large is parted by id
         placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(path)
+        if kind != "delta":
+            entry["probed"] = search.calibrate(self._shard(path, keep_cell=True), probing, FITTED)
         folded = {e["path"] for e in now["log"]}
 
         def change(newer):
@@ -192,11 +238,60 @@ class Engine:
                 return None
             log = [e for e in newer["log"] if e["path"] not in folded]
             levels = {"deltas": [*newer["deltas"], entry]} if kind == "delta" else {"base": entry, "deltas": []}
-            return newer | levels | {"log": log, "status": "indexing" if log else "indexed"}
+            return newer | levels | {"log": log, "status": "indexing" if log else "indexed", "error": None, "indexed": self.clock(), "changed": self.clock()}
 
         done = self._chain(name).commit(change)
         return kind if path in self._paths(done) else "skipped"
 
+    def due(self, name: str) -> bool:
+        """Whether the log is to be folded: it is long, or nothing was written for a while."""
+        now = self.describe(name)
+        rows = sum(e["hi"] - e["lo"] + 1 for e in now["log"])
+        return rows > MOST_ROWS or rows > 0 and self.clock() - now["changed"] >= IDLE
+
+    # ---- landed parts
+
+    def land(self, name: str, records: DataFrame) -> str:
+        """Write records (id, values, metadata) as a part that the next build takes in; parts are ordered by when they came."""
+        self.describe(name)
+        path = f"{self.root}/{name}/landing/{int(self.clock() * 1e6):020d}-{uuid.uuid4().hex}"
+        metadata = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in records.columns else F.lit("{}")
+        records.select(F.col("id").cast("string"), F.col("values").cast("array<float>"), metadata.alias("metadata")).write.parquet(path)
+        return path
+
+    def landed(self, name: str) -> list[str]:
+        """Parts that have come and were not swept, the oldest first."""
+        return [f"{self.root}/{name}/landing/{n}" for n in self.files.names(f"{name}/landing")]
+
+    def build(self, name: str) -> str:
+        """Take in the parts that no build has: noop, full, incremental (a delta), or error where a part has bad records.
+
+        Of records with one id, the last of the latest part counts.
+        """
+        now = self.describe(name)
+        new = [p for p in self.landed(name) if p not in now.get("built", [])]
+        if not new:
+            return "noop"
+        rows = self.spark.read.schema("id string, values array<float>, metadata string").parquet(*new)
+        rows = rows.select("id", "values", "metadata", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+        try:
+            self.upsert(name, state.last_wins(rows, "id", "at").select("id", "values", "metadata"), ("landing", int(new[-1].rsplit("/", 1)[1].split("-")[0])))
+        except ValueError:
+            self._chain(name).commit(lambda newer: newer | {"status": "error", "error": "a landed part has bad records"})
+            return "error"
+        self._chain(name).commit(lambda newer: newer | {"built": [p for p in newer.get("built", []) if p not in new] + new})
+        return {"delta": "incremental", "major": "incremental"}.get(done := self.consolidate(name), done)
+
+    def sweep_landed(self, name: str) -> int:
+        """Delete the parts that a build has taken in."""
+        built = self.describe(name).get("built", [])
+        gone = [p for p in self.landed(name) if p in built]
+        for path in gone:
+            self.files.delete(path)
+        if built:
+            self._chain(name).commit(lambda newer: newer | {"built": [p for p in newer.get("built", []) if p not in built]})
+        return len(gone)
+
     def sweep(self, name: str, keep: int = KEPT) -> int:
         """Delete files that only manifests older than the newest keep bases name; returns how many folders."""
         chain = self._chain(name)
@@ -218,6 +313,13 @@ class Engine:
 
     # ---- imports
 
+    def import_file(self, name: str, path: str, kind: str | None = None, abort: bool = False, max_bad: int | None = None) -> dict:
+        """Records of a file or folder whose kind, where it isn't given, the name's ending tells."""
+        kind = kind or imports.kind_of(path)
+        if kind == "parquet":
+            return self.import_parquet(name, path, abort, max_bad)
+        return self._import(name, imports.lines_of(self.spark, path, kind), abort, max_bad)
+
     def import_lines(self, name: str, path: str, abort: bool = False, max_bad: int | None = None) -> dict:
         """Newline-delimited records; rejected lines are written beside the dataset, good ones appended unless the job fails."""
         return self._import(name, imports.numbered_lines(self.spark, path), abort, max_bad)
@@ -226,14 +328,16 @@ class Engine:
         """Records with id, values and optionally metadata (a struct or map); other columns fail the job."""
         rows = self.spark.read.parquet(path)
         kinds = dict(rows.dtypes)
-        if set(kinds) - {"metadata"} != {"id", "values"} or kinds["id"] != "string" or kinds["values"] not in ("array<float>", "array<double>") or not kinds.get("metadata", "map<").startswith(("struct<", "map<")):
+        if set(kinds) - {"metadata"} != {"id", "values"} or kinds["id"] != "string" or kinds["values"] not in ("array<float>", "array<double>") or not kinds.get("metadata", "map<").startswith(("struct<", "map<", "string")):
             raise ValueError("invalid_schema")
+        if kinds.get("metadata") == "string":
+            rows = rows.withColumn("metadata", F.try_parse_json("metadata"))
         line = [F.input_file_name().alias("file"), (F.monotonically_increasing_id() + 1).alias("line")]
         return self._import(name, rows.select(*line, F.to_json(F.struct(*rows.columns)).alias("text")), abort, max_bad)
 
     def _import(self, name: str, lines: DataFrame, abort: bool, max_bad: int | None) -> dict:
         job = uuid.uuid4().hex
-        found, scratch = imports.checked(lines, self.describe(name)["dimension"], strict=False), f"{self.root}/{name}/scratch/{job}"
+        found, scratch = imports.checked(lines, self.describe(name)["dimension"]), f"{self.root}/{name}/scratch/{job}"
         try:
             found.write.parquet(scratch)
             held = self.spark.read.schema(found.schema).parquet(scratch)

@@ -1,9 +1,10 @@
-"""Driver-side helpers of the request surface: cursors, names, rate limits, routing."""
+"""Driver-side helpers of the request surface: cursors, names, times, flags, rate limits, routing, error codes."""
 
 from __future__ import annotations
 
 import base64
 import binascii
+import datetime
 import hashlib
 import json
 import re
@@ -21,20 +22,65 @@ def check_name(name: str) -> str:
     return name
 
 
-def encode_cursor(offset: int) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"o": offset}, separators=(",", ":")).encode()).decode()
+def encode_cursor(last: str) -> str:
+    return base64.urlsafe_b64encode(json.dumps({"a": last}, separators=(",", ":")).encode()).decode()
 
 
-def decode_cursor(cursor: str | None) -> int:
+def decode_cursor(cursor: str | None) -> str | None:
+    """The id after which the page begins."""
     if not cursor:
-        return 0
+        return None
     try:
-        offset = json.loads(base64.urlsafe_b64decode(cursor))["o"]
+        last = json.loads(base64.urlsafe_b64decode(cursor))["a"]
     except (binascii.Error, ValueError, KeyError, TypeError) as error:
         raise ValueError("invalid_cursor") from error
-    if isinstance(offset, bool) or not isinstance(offset, int) or offset < 0:
+    if not isinstance(last, str):
         raise ValueError("invalid_cursor")
-    return offset
+    return last
+
+
+def iso_time(seconds: float) -> str:
+    """Seconds since 1970 as a time in UTC, to the second."""
+    return datetime.datetime.fromtimestamp(seconds, datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def parse_iso(text: str | None) -> datetime.datetime | None:
+    """A time with its zone (UTC where none is given); None for what isn't one."""
+    try:
+        found = datetime.datetime.fromisoformat(text)
+    except (TypeError, ValueError):
+        return None
+    return found if found.tzinfo else found.replace(tzinfo=datetime.timezone.utc)
+
+
+def is_on(flag: str | None, bare: bool = False) -> bool:
+    """Whether a setting is switched on; with bare, also one that is there without a value."""
+    return flag is not None and flag.strip().lower() in {"1", "true", "yes", "on", *([""] if bare else [])}
+
+
+class StoreTimeout(TimeoutError):
+    """A file of the store was waited for too long."""
+
+
+class CacheFull(RuntimeError):
+    """There is no room for what a query would keep."""
+
+
+class RecentUnavailable(RuntimeError):
+    """What was written last can't be read."""
+
+
+# Codes of failed queries in the order in which they are tried; a subclass comes before its base.
+FAILURES = (
+    (RecentUnavailable, "recall_unavailable"), (PermissionError, "cache_unavailable"), (CacheFull, "cache_capacity_exceeded"),
+    (StoreTimeout, "storage_unavailable"), (FileNotFoundError, "storage_unavailable"), (OSError, "cache_unavailable"),
+)
+
+
+def error_code(error: BaseException) -> tuple[str, str]:
+    """Code and message of a failed query; the message names the kind of error and nothing that its text may give away."""
+    code = next((code for kind, code in FAILURES if isinstance(error, kind)), "ephemeral_error")
+    return code, f"Query failed: {type(error).__name__}"
 
 
 class TokenBucket:

@@ -1,4 +1,9 @@
-"""Exact and cell-pruned nearest-neighbour search, and its merge with recent writes."""
+"""Exact and cell-pruned nearest-neighbour search, and its merge with recent writes.
+
+Order is by distance as it is, then (where tiers are merged) by tier, then by id.
+Records whose values are null, of another length, or not all numbers have no
+distance and are never found.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import l2_squared, metadata_matches
-from ..plans.cells import PROBED, nearest
+from ..plans.cells import PROBED, nearest, vectors_of
 
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 1000
@@ -16,62 +21,95 @@ QUERY_BLOCK = 1000
 CALIBRATED, SHARE = 200, 0.95
 
 
+def has_distance(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score)
+
+
 def knn(records: DataFrame, vector: list[float], k: int, wanted: dict | None = None) -> DataFrame:
     """The k nearest records of one vector, id and score, ties by id; the filter comes before the cut."""
     if wanted:
         records = records.where(metadata_matches(F.col("metadata"), wanted))
     score = l2_squared(F.col("values"), F.array(*[F.lit(float(x)).cast("float") for x in vector]))
-    return records.select("id", score.alias("score")).orderBy(F.round("score", 6), "id").limit(k)
+    return records.where(F.size("values") == len(vector)).select("id", score.alias("score")).where(has_distance(F.col("score"))).orderBy("score", "id").limit(k)
 
 
-def knn_batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank for a stated set of queries against all records.
+def _best(vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, record and distance of the k nearest records (rows with finite numbers) of each query, and of all that tie with the last.
 
-    Each task keeps the k best of each query before anything is exchanged.
+    A block product tells which can be among them, with room for its rounding;
+    their distances are then summed from the differences.
+    """
+    size, far = (vectors**2).sum(1), (queries**2).sum(1)
+    rough = size[None] - 2 * queries @ vectors.T + far[:, None]
+    if len(vectors) > k:
+        # more than the product can be off by
+        room = 1e-9 * (size.max() + far[:, None]) + 1e-300
+        near = rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + room
+    else:
+        near = np.ones_like(rough, bool)
+    q, r = np.nonzero(near)
+    score = np.empty(len(q))
+    for at in range(0, len(q), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        score[part] = ((vectors[r[part]] - queries[q[part]]) ** 2).sum(1)
+    return q, r, score
+
+
+def _searched(records: DataFrame, queries: DataFrame, k: int, cells_of=None) -> DataFrame:
+    """qid, id, score, rank: each query's k nearest among all records, or among those of the cells that cells_of gives for queries.
+
+    Queries are taken in blocks of QUERY_BLOCK, which are broadcast; each batch of
+    records keeps the best of each query before anything is exchanged.
     """
+    spark, found = records.sparkSession, None
     count = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
+    kinds = queries.schema["qid"].dataType.simpleString(), records.schema["id"].dataType.simpleString()
+    columns = ["id", "values"] + ["cell"] * (cells_of is not None)
     for block in range(count):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block)
-        scored = records.join(F.broadcast(own)).select("qid", "id", l2_squared(F.col("values"), F.col("query")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6), "id"))
-        best = scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+        own = queries.select("qid", "query").where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("qid"), F.lit(count)) == block)).toArrow()
+        dimension = max(own["query"].combine_chunks().value_lengths().to_pylist(), default=0)
+        good, asked = vectors_of(own["query"].combine_chunks(), dimension)
+        probed = None if cells_of is None or not len(good) else cells_of(asked)
+        held = spark.sparkContext.broadcast((own["qid"].combine_chunks().take(pa.array(good)), asked, probed))
+
+        def run(batches, held=held, dimension=dimension):
+            qids, asked, probed = held.value
+            for batch in batches:
+                rows, vectors = vectors_of(batch.column(1), dimension)
+                if not len(rows) or not len(qids):
+                    continue
+                if probed is None:
+                    parts = [(np.arange(len(qids)), np.arange(len(rows)))]
+                else:
+                    cell = batch.column(2).to_numpy(zero_copy_only=False)[rows]
+                    parts = [(np.flatnonzero((probed == c).any(1)), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+                for ask, row in parts:
+                    if len(ask):
+                        q, r, score = _best(vectors[row], asked[ask], k)
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(ask[q])), batch.column(0).take(pa.array(rows[row[r]])), pa.array(score)], ["qid", "id", "score"])
+
+        best = records.select(*columns).mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
+        best = best.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
         found = best if found is None else found.union(best)
     return found
 
 
+def knn_batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, score, rank for a stated set of queries against all records."""
+    return _searched(records, queries, k)
+
+
 def merge_recent(recent: DataFrame, cold: DataFrame, k: int, suppressed: DataFrame | None = None) -> DataFrame:
     """Recent matches first, cold ones whose id no recent row holds; nearest k of both."""
     held = (suppressed if suppressed is not None else recent).select("id").distinct()
     both = recent.withColumn("tier", F.lit(0)).unionByName(cold.join(held, "id", "left_anti").withColumn("tier", F.lit(1)))
-    return both.orderBy(F.round("score", 6), "tier", "id").limit(k)
+    return both.where(has_distance(F.col("score"))).orderBy("score", "tier", "id").limit(k)
 
 
 def probe(records: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
-    """Nearest k among the records (which have a cell) of each query's nprobe nearest cells.
-
-    Queries are taken in blocks of QUERY_BLOCK; a block's cells and vectors are broadcast.
-    """
-    count = max(1, -(-queries.count() // QUERY_BLOCK))
-    kind, found = queries.schema["qid"].dataType.simpleString(), None
-    held = queries.sparkSession.sparkContext.broadcast(centroids)
-
-    def cells_of(batches):
-        for batch in batches:
-            if batch.num_rows:
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                near = nearest(vectors, held.value, nprobe)
-                qid = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
-                yield pa.RecordBatch.from_arrays([qid, pa.array(near.ravel().astype(np.int32))], ["qid", "cell"])
-
-    for block in range(count):
-        own = queries.select("qid", "query").where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block)
-        near = own.mapInArrow(cells_of, f"qid {kind}, cell int")
-        scored = records.join(F.broadcast(near), "cell").join(F.broadcast(own), "qid").select("qid", "id", l2_squared(F.col("values"), F.col("query")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6), "id"))
-        best = scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
-        found = best if found is None else found.union(best)
-    return found
+    """Nearest k among the records (which have a cell) of each query's nprobe nearest cells."""
+    return _searched(records, queries, k, lambda asked: nearest(asked, centroids, nprobe))
 
 
 def calibrate(records: DataFrame, centroids: np.ndarray, k: int) -> int:
@@ -81,10 +119,11 @@ def calibrate(records: DataFrame, centroids: np.ndarray, k: int) -> int:
     """
     if not len(centroids):
         return 1
-    own = records.orderBy(F.xxhash64("id"), "id").limit(CALIBRATED).select(F.col("id").alias("qid"), F.col("values").alias("query"))
+    own = records.where("cell >= 0").orderBy(F.xxhash64("id"), "id").limit(CALIBRATED).select(F.col("id").alias("qid"), F.col("values").alias("query"))
     vectors = {r["qid"]: r["query"] for r in own.collect()}
     own = own.sparkSession.createDataFrame(list(vectors.items()), own.schema)
     exact = knn_batch(records, own, k + 1).where("id <> qid").select("qid", "id")
+    # CALIBRATED * (k + 1) rows at most
     found = records.select("id", "cell").join(F.broadcast(exact), "id").select("qid", "cell").collect()
     if not found:
         return min(PROBED, len(centroids))
@@ -94,6 +133,14 @@ def calibrate(records: DataFrame, centroids: np.ndarray, k: int) -> int:
     return int(min(len(centroids), max(PROBED, ranks[int(np.ceil(SHARE * len(ranks))) - 1] + 1)))
 
 
+def agreement(one: DataFrame, other: DataFrame) -> DataFrame:
+    """qid, recall: the share of the ids that one finds for a query that the other finds too."""
+    lists = lambda df, c: df.groupBy("qid").agg(F.collect_set("id").alias(c))  # noqa: E731  k ids each
+    both = lists(one, "a").join(lists(other, "b"), "qid", "left")
+    shared = F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<string>"))))
+    return both.select("qid", (shared / F.size("a")).alias("recall"))
+
+
 def cells_for(n: Column) -> Column:
     """Number of cells for n records."""
     return F.greatest(F.lit(1), F.least(F.floor(4 * F.sqrt(n)).cast("bigint"), F.lit(4096), F.greatest(F.lit(1), (n / 8).cast("bigint"))))

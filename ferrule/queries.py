@@ -1,7 +1,6 @@
 """Registry of the core queries and of their oracle SQL.
 
-Where one statement runs on both engines it is the query and its oracle; where
-the engines' dialects differ, the query is built from the operators.
+Queries are built from the operators; each oracle is a statement of its own.
 """
 
 from __future__ import annotations
@@ -46,21 +45,9 @@ def _views(spark, sf_dir: str, tables) -> None:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
 
 
-def shared(name: str, body: str, *parts: str, tables=("embeddings",)) -> None:
-    """A statement that is its own oracle."""
-    sql = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
-
-    def run(spark, sf_dir):
-        _views(spark, sf_dir, tables)
-        return spark.sql(sql)
-
-    QUERIES[name], ORACLE_SQL[name] = run, sql
-
-
-def operated(name: str, body: str, *parts: str, tables, run) -> None:
+def operated(name: str, body: str, *parts: str, run) -> None:
     """A query of operators with a statement of its own as oracle."""
-    shared(name, body, *parts, tables=tables)
-    QUERIES[name] = run
+    QUERIES[name], ORACLE_SQL[name] = run, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 #: The queries over the literal shards, by operators that take any.
@@ -75,8 +62,8 @@ OVER_SHARDS = {
 }
 
 
-def over_shards(name: str, body: str, *parts: str, tables) -> None:
-    operated(name, body, *parts, tables=tables, run=lambda spark, sf_dir: OVER_SHARDS[name](spark.sql(f"WITH {SHARDS} SELECT * FROM shards")))
+def over_shards(name: str, body: str, *parts: str) -> None:
+    operated(name, body, *parts, run=lambda spark, sf_dir: OVER_SHARDS[name](spark.sql(f"WITH {SHARDS} SELECT * FROM shards")))
 
 
 IMPORTED = """SELECT event_id AS line, user_id AS job, concat(event_type, ' ', CAST(event_id AS STRING)) AS note, CASE event_id % 7 WHEN 0 THEN '{not json'
@@ -89,20 +76,85 @@ OVER_LINES = {
 }
 
 
-def over_lines(name: str, body: str, *parts: str, tables) -> None:
+def over_lines(name: str, body: str, *parts: str) -> None:
     def run(spark, sf_dir):
-        _views(spark, sf_dir, tables)
+        _views(spark, sf_dir, ("events",))
         return OVER_LINES[name](imports.checked(spark.sql(IMPORTED), 2, False, keep=("job", "note")))
 
-    operated(name, body, *parts, tables=tables, run=run)
-
+    operated(name, body, *parts, run=run)
+
+
+class Given:
+    """The tables of a query: records, a log of changes to them, and the cold rows that the log came after."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @property
+    def events(self):
+        return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+
+    @property
+    def records(self):
+        rows = self.spark.read.parquet(f"{self.sf_dir}/embeddings.parquet")
+        return rows.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), (F.col("vec_id") + 1).alias("lsn"), "label", "vec_id")
+
+    @property
+    def log(self):
+        first = self.records.where("vec_id % 5 = 0").select("id", "lsn", "label", (F.col("vec_id") % 17 == 0).alias("deleted"))
+        return first.unionByName(self.records.where("vec_id % 7 = 0").select("id", (F.col("lsn") + 100000).alias("lsn"), (F.col("label") + 10).alias("label"), F.lit(False).alias("deleted")))
+
+    @property
+    def cold(self):
+        return self.records.where("vec_id % 5 <> 0").select("id", "lsn", "label")
+
+    def bands(self):
+        rows = self.records
+        part = lambda where, more: rows.where(where).select("id", (F.col("label") + more).alias("label"))
+        return state.stacked(part("vec_id % 5 <> 0", 0), part("vec_id % 3 = 0", 100), part("vec_id % 4 = 0", 200)).select("id", "label", "band")
+
+    def tombstones(self):
+        return self.records.where("vec_id % 17 = 0").select("id", F.lit(2).alias("band"))
+
+    def last_event(self) -> int:
+        return self.events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+
+    def parts(self, where: str):
+        return self.events.where(where).select(F.concat(F.lit("part-"), F.col("event_id").cast("string")).alias("part"))
+
+
+#: The queries over a dataset's rows, by operators that take any.
+OVER_ROWS = {
+    "lsn_assign": lambda g: state.numbered(g.events.select("user_id", "event_id"), "user_id", "event_id", 501),
+    "recall_scan": lambda g: state.since(g.log, 50),
+    "recall_snapshot": lambda g: state.upto(g.log, state.high_water(g.log)).select("id", "lsn", "deleted"),
+    "union_suppress_anti": lambda g: state.without(g.cold, state.last_wins(g.log)),
+    "list_union": lambda g: state.united(g.cold.select("id", "label"), g.log),
+    "list_page": lambda g: state.page(g.records.select("id"), 100, skip=100),
+    "get_union": lambda g: state.points(g.cold.select("id", "label"), g.log, ["v5", "v7", "v34"]).drop("tier"),
+    "get_vector": lambda g: g.records.where("id = 'v42'").select("id", "label", "lsn"),
+    "recall_trim": lambda g: state.trim(g.log, 200),
+    "partition_count": lambda g: state.held(g.log),
+    "idle_partitions": lambda g: state.idle(g.events, "user_id", "event_id", F.lit(g.last_event() - 100)),
+    "tombstone_suppress": lambda g: state.gone(g.log, g.tombstones()),
+    "delta_union": lambda g: g.bands(),
+    "delta_newest_wins": lambda g: state.last_wins(g.bands(), "id", "band"),
+    "major_compaction": lambda g: state.compacted(g.bands(), g.tombstones()).select("id", "label"),
+    "new_parts": lambda g: state.new_parts(g.parts("event_id % 10 < 4"), g.parts("event_id % 10 < 3")),
+    "overlap_semi": lambda g: state.with_newer(g.cold, state.last_wins(g.log)).select("id"),
+    "union_rebuild": lambda g: state.united(g.cold.select("id", "label"), g.log),
+    "delete_by_id": lambda g: state.deleted(g.cold.select("id", "label"), ["v6"]),
+    "fold_new_rows": lambda g: state.since(g.log, 100000),
+    "delta_fold": lambda g: state.folded(g.log, 100000),
+    "row_count": lambda g: state.united(g.cold.select("id", "label"), g.log).agg(F.count(F.lit(1)).alias("n")),
+    "hit_mapping": lambda g: state.named_hits(g.events.select("event_id", (F.col("event_id") % 700).alias("hit")), g.records.select(F.col("vec_id").alias("hit"), "id")),
+    "stale_datasets": lambda g: state.idle(g.events.where("event_type IN ('view', 'click')"), "user_id", "event_id", F.lit(g.last_event() - 200)).withColumnRenamed("newest", "last_event"),
+    "latency_stats": lambda g: g.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"), F.count(F.lit(1)).alias("n")),
+}
 
-def over_log(name: str, body: str, *parts: str, tables=("embeddings",)) -> None:
-    def run(spark, sf_dir):
-        _views(spark, sf_dir, tables)
-        return state.trim(spark.sql(f"WITH {RECORDS}, {LOG} SELECT id, lsn, label, deleted FROM log"), 200)
 
-    operated(name, body, *parts, tables=tables, run=run)
+def over_rows(name: str, body: str, *parts: str) -> None:
+    operated(name, body, *parts, run=lambda spark, sf_dir: OVER_ROWS[name](Given(spark, sf_dir)))
 
 
 def built(name: str, oracle: str | None):
@@ -144,18 +196,22 @@ def _l2(spark, sf_dir):
     return records(spark, sf_dir).select("vec_id", F.round(X.l2_squared(F.col("values"), vector), 6).alias("score"))
 
 
-@built("knn_exact", f"SELECT concat('v', vec_id::STRING) AS id, round({DISTANCE.format(a='embedding', b=ONE)}, 6) AS score FROM embeddings ORDER BY score, id LIMIT 10")
+NEAREST = "SELECT id, round(d, 6) AS score FROM (SELECT concat('v', vec_id::STRING) AS id, " + DISTANCE.format(a="embedding", b=ONE) + " AS d FROM embeddings WHERE {}) t ORDER BY d, id LIMIT 10"
+
+
+@built("knn_exact", NEAREST.format("true"))
 def _knn(spark, sf_dir):
     return rounded(search.knn(records(spark, sf_dir), one_vector(spark, sf_dir), 10))
 
 
-@built("filter_knn", f"SELECT concat('v', vec_id::STRING) AS id, round({DISTANCE.format(a='embedding', b=ONE)}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY score, id LIMIT 10")
+@built("filter_knn", NEAREST.format("label = 3"))
 def _filter_knn(spark, sf_dir):
     return rounded(search.knn(records(spark, sf_dir), one_vector(spark, sf_dir), 10, {"label": 3}))
 
 
-BATCH = f"""WITH s AS (SELECT q.vec_id AS qid, concat('v', r.vec_id::STRING) AS id, round({DISTANCE.format(a='r.embedding', b='q.embedding')}, 6) AS score FROM embeddings r, embeddings q WHERE q.vec_id % 100 = 0)
-SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s) WHERE rank <= 10"""
+RANKED = f"""s AS (SELECT q.vec_id AS qid, concat('v', r.vec_id::STRING) AS id, r.label, {DISTANCE.format(a='r.embedding', b='q.embedding')} AS d FROM embeddings r, embeddings q WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM s)"""
+BATCH = f"WITH {RANKED} SELECT qid, id, round(d, 6) AS score, rank FROM ranked WHERE rank <= 10"
 
 
 @built("knn_batch", BATCH)
@@ -182,22 +238,19 @@ def _probe(spark, sf_dir):
     return rounded(search.probe(placed, centroids, query_vectors(spark, sf_dir), search.calibrate(placed, centroids, 10), 10))
 
 
-def _agreement(one, other):
-    lists = lambda df, c: df.groupBy("qid").agg(F.collect_list("id").alias(c))  # noqa: E731  ten ids each
-    both = lists(one, "a").join(lists(other, "b"), "qid")
-    return both.select("qid", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("recall"))
-
-
 @built("ivf_recall", None)
 def _ivf_recall(spark, sf_dir):
     """Share of the exact nearest ten that the pruned search finds."""
-    return _agreement(_knn_batch(spark, sf_dir), _probe(spark, sf_dir))
+    return search.agreement(_knn_batch(spark, sf_dir), _probe(spark, sf_dir))
 
 
-@built("recall_at_k", "SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 100 = 0")
+@built("recall_at_k", f"""WITH {RANKED}, top AS (SELECT qid, id, label FROM ranked WHERE rank <= 10),
+partial AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM s WHERE label % 3 <> 0)
+SELECT t.qid, count(o.id) / count(*) AS recall FROM top t LEFT JOIN (SELECT qid, id FROM partial WHERE rank <= 10) o ON t.qid = o.qid AND t.id = o.id GROUP BY t.qid""")
 def _recall(spark, sf_dir):
-    """Full probing finds what exact search finds."""
-    return _agreement(_knn_batch(spark, sf_dir), _full_probe(spark, sf_dir))
+    """What a search that lacks a part of the records finds of the exact nearest ten."""
+    rows = records(spark, sf_dir)
+    return search.agreement(_knn_batch(spark, sf_dir), search.knn_batch(rows.where("label % 3 <> 0").select("id", "values"), query_vectors(spark, sf_dir), 10))
 
 
 @built("similarity", f"SELECT vec_id, round(1 / (1 + {DISTANCE.format(a='embedding', b=ONE)}), 6) AS similarity FROM embeddings")
@@ -238,58 +291,65 @@ _filtered("filter_null", {"k": None}, None)
 _filtered("filter_missing_key", {"none": 1}, None)
 
 
+@built("filter_two_keys", "SELECT event_id FROM events WHERE event_id % 4 = 1")
+def _two_keys(spark, sf_dir):
+    """Both keys must match; rows lack one, hold null in one, or are no object at all."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    kinds = F.array(*[F.lit(x) for x in ('{"k": 1}', '{"k": 1, "j": "a b", "more": [1]}', '{"k": 1, "j": null}', "[1]")])
+    return rows.select("event_id", kinds[F.pmod("event_id", F.lit(4)).cast("int")].alias("metadata")).where(X.metadata_matches(F.col("metadata"), {"k": 1, "j": "a b"})).select("event_id")
+
+
 @built("dedup_last_wins", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def _last(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
     return state.last_wins(rows, "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-shared("lsn_assign", "SELECT user_id, event_id, 500 + CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS lsn FROM events", tables=("events",))
-shared("recall_scan", "SELECT id, lsn, label, deleted FROM newest WHERE lsn > 50", RECORDS, LOG, NEWEST)
-shared("recall_snapshot", "SELECT id, lsn, deleted FROM newest WHERE lsn <= (SELECT coalesce(max(lsn), 0) FROM log)", RECORDS, LOG, NEWEST)
-shared("union_suppress_anti", "SELECT c.id, c.lsn, c.label FROM cold c LEFT ANTI JOIN newest n ON c.id = n.id".replace("LEFT ANTI", "ANTI"), RECORDS, LOG, NEWEST, COLD)
-shared("list_union", "SELECT id, label FROM newest WHERE NOT deleted UNION ALL SELECT c.id, c.label FROM cold c WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)", RECORDS, LOG, NEWEST, COLD)
-shared("list_page", "SELECT id FROM records ORDER BY id LIMIT 100 OFFSET 100", RECORDS)
-shared("get_union", "SELECT id, label FROM (SELECT id, label, 0 AS tier FROM newest WHERE id IN ('v5', 'v7', 'v34') AND NOT deleted UNION ALL SELECT c.id, c.label, 1 AS tier FROM cold c WHERE c.id IN ('v5', 'v7', 'v34') AND NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)) t", RECORDS, LOG, NEWEST, COLD)
-shared("get_vector", "SELECT id, label, lsn FROM records WHERE id = 'v42'", RECORDS)
-over_log("recall_trim", "SELECT id, lsn, label, deleted FROM log WHERE lsn > 200", RECORDS, LOG)
-shared("partition_count", "SELECT CAST(count(*) AS BIGINT) AS n, max(lsn) AS watermark FROM newest", RECORDS, LOG, NEWEST)
-shared("idle_partitions", "SELECT user_id, CAST(max(event_id) AS BIGINT) AS newest FROM events GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 100 FROM events)", tables=("events",))
-over_shards("latest_shard", "SELECT dataset, shard FROM (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY created DESC, shard DESC) AS r FROM shards) t WHERE r = 1", SHARDS, tables=())
-over_shards("generations", "SELECT dataset, base, CAST(generation AS BIGINT) AS generation, shard FROM members", SHARDS, GENERATIONS, tables=())
-over_shards("frontier_watermark", "SELECT dataset, base, frontier FROM frontiers", SHARDS, GENERATIONS, tables=())
-over_shards("dataset_watermark", "SELECT dataset, max(frontier) AS watermark FROM frontiers WHERE generation = 1 GROUP BY dataset", SHARDS, GENERATIONS, tables=())
-over_shards("grace_watermark", "SELECT dataset, coalesce(max(CASE WHEN generation = 2 THEN frontier END), 0) AS grace FROM frontiers GROUP BY dataset", SHARDS, GENERATIONS, tables=())
-over_shards("superseded_shards", "SELECT shard FROM shards WHERE shard NOT IN (SELECT shard FROM members WHERE generation <= 2)", SHARDS, GENERATIONS, tables=())
-over_shards("watermark_carry", "SELECT shard, dataset, max(consolidated) OVER (PARTITION BY dataset ORDER BY created ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consolidated FROM shards", SHARDS, tables=())
-shared("tombstone_suppress", "SELECT id FROM newest UNION SELECT id FROM records WHERE vec_id % 17 = 0", RECORDS, LOG, NEWEST)
+over_rows("lsn_assign", "SELECT user_id, event_id, 500 + CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS lsn FROM events")
+over_rows("recall_scan", "SELECT id, lsn, label, deleted FROM newest WHERE lsn > 50", RECORDS, LOG, NEWEST)
+over_rows("recall_snapshot", "SELECT id, lsn, deleted FROM newest WHERE lsn <= (SELECT coalesce(max(lsn), 0) FROM log)", RECORDS, LOG, NEWEST)
+over_rows("union_suppress_anti", "SELECT c.id, c.lsn, c.label FROM cold c LEFT ANTI JOIN newest n ON c.id = n.id".replace("LEFT ANTI", "ANTI"), RECORDS, LOG, NEWEST, COLD)
+over_rows("list_union", "SELECT id, label FROM newest WHERE NOT deleted UNION ALL SELECT c.id, c.label FROM cold c WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)", RECORDS, LOG, NEWEST, COLD)
+over_rows("list_page", "SELECT id FROM records ORDER BY id LIMIT 100 OFFSET 100", RECORDS)
+over_rows("get_union", "SELECT id, label FROM (SELECT id, label, 0 AS tier FROM newest WHERE id IN ('v5', 'v7', 'v34') AND NOT deleted UNION ALL SELECT c.id, c.label, 1 AS tier FROM cold c WHERE c.id IN ('v5', 'v7', 'v34') AND NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)) t", RECORDS, LOG, NEWEST, COLD)
+over_rows("get_vector", "SELECT id, label, lsn FROM records WHERE id = 'v42'", RECORDS)
+over_rows("recall_trim", "SELECT id, lsn, label, deleted FROM log WHERE lsn > 200", RECORDS, LOG)
+over_rows("partition_count", "SELECT CAST(count(*) AS BIGINT) AS n, max(lsn) AS watermark FROM newest", RECORDS, LOG, NEWEST)
+over_rows("idle_partitions", "SELECT user_id, CAST(max(event_id) AS BIGINT) AS newest FROM events GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 100 FROM events)")
+over_shards("latest_shard", "SELECT dataset, shard FROM (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY created DESC, shard DESC) AS r FROM shards) t WHERE r = 1", SHARDS)
+over_shards("generations", "SELECT dataset, base, CAST(generation AS BIGINT) AS generation, shard FROM members", SHARDS, GENERATIONS)
+over_shards("frontier_watermark", "SELECT dataset, base, frontier FROM frontiers", SHARDS, GENERATIONS)
+over_shards("dataset_watermark", "SELECT dataset, max(frontier) AS watermark FROM frontiers WHERE generation = 1 GROUP BY dataset", SHARDS, GENERATIONS)
+over_shards("grace_watermark", "SELECT dataset, coalesce(max(CASE WHEN generation = 2 THEN frontier END), 0) AS grace FROM frontiers GROUP BY dataset", SHARDS, GENERATIONS)
+over_shards("superseded_shards", "SELECT shard FROM shards WHERE shard NOT IN (SELECT shard FROM members WHERE generation <= 2)", SHARDS, GENERATIONS)
+over_shards("watermark_carry", "SELECT shard, dataset, max(consolidated) OVER (PARTITION BY dataset ORDER BY created ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consolidated FROM shards", SHARDS)
+over_rows("tombstone_suppress", "SELECT id FROM newest UNION SELECT id FROM records WHERE vec_id % 17 = 0", RECORDS, LOG, NEWEST)
 BANDS = "bands AS (SELECT id, label, 1 AS band FROM records WHERE vec_id % 5 <> 0 UNION ALL SELECT id, label + 100 AS label, 2 AS band FROM records WHERE vec_id % 3 = 0 UNION ALL SELECT id, label + 200 AS label, 3 AS band FROM records WHERE vec_id % 4 = 0)"
-shared("delta_union", "SELECT id, label, band FROM bands", RECORDS, BANDS)
-shared("delta_newest_wins", "SELECT id, label, band FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band DESC) AS r FROM bands) t WHERE r = 1", RECORDS, BANDS)
-shared("major_compaction", "SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band DESC, dead DESC) AS r FROM (SELECT id, label, band, 0 AS dead FROM bands UNION ALL SELECT id, label, 2 AS band, 1 AS dead FROM records WHERE vec_id % 17 = 0) u) t WHERE r = 1 AND dead = 0", RECORDS, BANDS)
-shared("new_parts", "SELECT concat('part-', CAST(event_id AS STRING)) AS part FROM events WHERE event_id % 10 < 4 EXCEPT SELECT concat('part-', CAST(event_id AS STRING)) AS part FROM events WHERE event_id % 10 < 3", tables=("events",))
-shared("overlap_semi", "SELECT c.id FROM cold c WHERE EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)", RECORDS, LOG, NEWEST, COLD)
-shared("union_rebuild", "SELECT c.id, c.label FROM cold c WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id) UNION ALL SELECT id, label FROM newest WHERE NOT deleted", RECORDS, LOG, NEWEST, COLD)
-shared("delete_by_id", "SELECT id, label FROM cold WHERE id <> 'v6'", RECORDS, COLD)
-shared("fold_new_rows", "SELECT id, lsn, label, deleted FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
-shared("delta_fold", "SELECT CAST(100001 AS BIGINT) AS lo, max(lsn) AS hi, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CASE WHEN deleted THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
-shared("row_count", "SELECT CAST(count(DISTINCT id) AS BIGINT) AS n FROM (SELECT id FROM cold UNION ALL SELECT id FROM newest WHERE NOT deleted) t", RECORDS, LOG, NEWEST, COLD)
-over_lines("import_counters", "SELECT job, CAST(count(*) AS BIGINT) AS processed, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM lines GROUP BY job", JOBS, tables=("events",))
-over_lines("import_policy", "SELECT job, min(CASE WHEN reason IS NOT NULL THEN line END) AS first_bad, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) > 25 AS failed FROM lines GROUP BY job", JOBS, tables=("events",))
-over_lines("import_rejected", "SELECT line, reason, CASE WHEN length(text) > 12 THEN concat(substr(text, 1, 12), '...[truncated]') ELSE text END AS text FROM lines WHERE reason IS NOT NULL", JOBS, tables=("events",))
-shared("hit_mapping", "SELECT h.event_id, h.hit, coalesce(r.id, CAST(h.hit AS STRING)) AS id FROM (SELECT event_id, event_id % 700 AS hit FROM events) h LEFT JOIN records r ON r.vec_id = h.hit", RECORDS, tables=("embeddings", "events"))
-shared("stale_datasets", "SELECT user_id, max(event_id) AS last_event FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 200 FROM events)", tables=("events",))
-shared("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type", tables=("events",))
+over_rows("delta_union", "SELECT id, label, band FROM bands", RECORDS, BANDS)
+over_rows("delta_newest_wins", "SELECT id, label, band FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band DESC) AS r FROM bands) t WHERE r = 1", RECORDS, BANDS)
+over_rows("major_compaction", "SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band DESC, dead DESC) AS r FROM (SELECT id, label, band, 0 AS dead FROM bands UNION ALL SELECT id, label, 2 AS band, 1 AS dead FROM records WHERE vec_id % 17 = 0) u) t WHERE r = 1 AND dead = 0", RECORDS, BANDS)
+over_rows("new_parts", "SELECT concat('part-', CAST(event_id AS STRING)) AS part FROM events WHERE event_id % 10 < 4 EXCEPT SELECT concat('part-', CAST(event_id AS STRING)) AS part FROM events WHERE event_id % 10 < 3")
+over_rows("overlap_semi", "SELECT c.id FROM cold c WHERE EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id)", RECORDS, LOG, NEWEST, COLD)
+over_rows("union_rebuild", "SELECT c.id, c.label FROM cold c WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.id = c.id) UNION ALL SELECT id, label FROM newest WHERE NOT deleted", RECORDS, LOG, NEWEST, COLD)
+over_rows("delete_by_id", "SELECT id, label FROM cold WHERE id <> 'v6'", RECORDS, COLD)
+over_rows("fold_new_rows", "SELECT id, lsn, label, deleted FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
+over_rows("delta_fold", "SELECT CAST(100001 AS BIGINT) AS lo, max(lsn) AS hi, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CASE WHEN deleted THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM newest WHERE lsn > 100000", RECORDS, LOG, NEWEST)
+over_rows("row_count", "SELECT CAST(count(DISTINCT id) AS BIGINT) AS n FROM (SELECT id FROM cold UNION ALL SELECT id FROM newest WHERE NOT deleted) t", RECORDS, LOG, NEWEST, COLD)
+over_lines("import_counters", "SELECT job, CAST(count(*) AS BIGINT) AS processed, CAST(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM lines GROUP BY job", JOBS)
+over_lines("import_policy", "SELECT job, min(CASE WHEN reason IS NOT NULL THEN line END) AS first_bad, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) > 25 AS failed FROM lines GROUP BY job", JOBS)
+over_lines("import_rejected", "SELECT line, reason, CASE WHEN length(text) > 12 THEN concat(substr(text, 1, 12), '...[truncated]') ELSE text END AS text FROM lines WHERE reason IS NOT NULL", JOBS)
+over_rows("hit_mapping", "SELECT h.event_id, h.hit, coalesce(r.id, CAST(h.hit AS STRING)) AS id FROM (SELECT event_id, event_id % 700 AS hit FROM events) h LEFT JOIN records r ON r.vec_id = h.hit", RECORDS)
+over_rows("stale_datasets", "SELECT user_id, max(event_id) AS last_event FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING max(event_id) <= (SELECT max(event_id) - 200 FROM events)")
+over_rows("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
 
 
 @built("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def _percentiles(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return state.spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value", p50=0.5, p95=0.95, p99=0.99)
 
 
-@built("union_query", f"""WITH s AS (SELECT concat('v', vec_id::STRING) AS id, vec_id % 5 = 0 AS recent, round({DISTANCE.format(a='embedding', b=ONE)}, 6) AS score FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 17 <> 0)
-SELECT id, score FROM s ORDER BY score, recent DESC, id LIMIT 10""")
+@built("union_query", f"""WITH s AS (SELECT concat('v', vec_id::STRING) AS id, vec_id % 5 = 0 AS recent, {DISTANCE.format(a='embedding', b=ONE)} AS d FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 17 <> 0)
+SELECT id, round(d, 6) AS score FROM s ORDER BY d, recent DESC, id LIMIT 10""")
 def _union_query(spark, sf_dir):
     rows, vector = records(spark, sf_dir), F.array(*[F.lit(x).cast("float") for x in one_vector(spark, sf_dir)])
     scored = rows.select("id", "vec_id", X.l2_squared(F.col("values"), vector).alias("score"))
@@ -312,7 +372,7 @@ def _incremental(spark, sf_dir):
     _views(spark, sf_dir, ("embeddings",))
     rows = spark.sql(f"WITH {RECORDS} SELECT * FROM records")
     base, parts = rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 10 = 5")
-    return base.join(parts.select("id"), "id", "left_anti").unionByName(parts).select("id", "lsn", "label")
+    return state.appended(base, parts).select("id", "lsn", "label")
 
 
 @built("choose_nlist", "SELECT n, CAST(greatest(1, least(CAST(floor(4 * sqrt(n)) AS BIGINT), 4096, greatest(1, n // 8))) AS BIGINT) AS nlist FROM (SELECT event_id * event_id + 1 AS n FROM events) t")
@@ -391,7 +451,7 @@ def _merge(spark, sf_dir):
 
 def _engine(spark, sf_dir):
     """A dataset that was written, partly deleted, consolidated and written again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ferrule"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ferrule-scratch"
     engine, rows = Engine(spark, f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"), records(spark, sf_dir)
     engine.create("vectors", len(one_vector(spark, sf_dir)))
     engine.upsert("vectors", rows.select("id", "values", "metadata"))
@@ -410,7 +470,7 @@ def _engine_state(spark, sf_dir):
     return _engine(spark, sf_dir).state("vectors").select("id", F.get_json_object("metadata", "$.label").cast("int").alias("label"))
 
 
-@built("engine_query", f"SELECT id, round({DISTANCE.format(a='e.embedding', b=ONE)}, 6) AS score FROM ({ENGINE_STATE}) t JOIN embeddings e USING (vec_id) WHERE t.label = 3 ORDER BY score, id LIMIT 10")
+@built("engine_query", f"SELECT id, round(d, 6) AS score FROM (SELECT id, {DISTANCE.format(a='e.embedding', b=ONE)} AS d FROM ({ENGINE_STATE}) t JOIN embeddings e USING (vec_id) WHERE t.label = 3) u ORDER BY d, id LIMIT 10")
 def _engine_query(spark, sf_dir):
     hits = _engine(spark, sf_dir).query("vectors", one_vector(spark, sf_dir), 10, {"label": 3})
     return rounded(spark.createDataFrame([(h["id"], h["score"]) for h in hits], "id string, score double"))

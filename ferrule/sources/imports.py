@@ -12,6 +12,28 @@ SCHEMA = "id string, values array<double>, metadata string"
 LONGEST_ID, LARGEST = 256, 3.4028234663852886e38
 
 
+#: What a line is made of where nothing else is in it.
+BLANK = r"^\s*$"
+
+
+def kind_of(path: str) -> str:
+    """jsonl, json, parquet or unknown, by the ending of the name."""
+    _, dot, ending = path.lower().rstrip("/").rpartition(".")
+    return {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet"}.get(ending if dot else "", "unknown")
+
+
+def lines_of(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """file, line, text of each record: the lines of jsonl, or the elements of the one array (or the one object) of each json file."""
+    if kind == "jsonl":
+        return numbered_lines(spark, path)
+    if kind != "json":
+        raise ValueError("invalid_format")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    document = F.try_parse_json("value")
+    items = F.when(F.schema_of_variant(document).startswith("ARRAY"), F.transform(F.try_variant_get(document, "$", "array<variant>"), lambda x: F.to_json(x)))
+    return whole.select("file", F.posexplode(F.coalesce(items, F.array("value"))).alias("p", "text")).select("file", (F.col("p") + 1).cast("bigint").alias("line"), "text")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1, blank lines counted), text of each line of the text files under path.
 
@@ -50,7 +72,7 @@ def checked(lines: DataFrame, dimension: int, strict: bool = True, keep: tuple[s
         ((metadata != "VOID") & ~metadata.startswith("OBJECT"), "invalid_metadata", True),
     ]
     reason = F.coalesce(*[F.when(bad, name) for bad, name, used in checks if used])
-    return lines.where(F.length(F.trim("text")) > 0).select("line", "text", identifier.alias("id"), values.cast("array<float>").alias("values"), F.to_json(F.try_variant_get(doc, "$.metadata", "variant")).alias("metadata"), reason.alias("reason"), *keep)
+    return lines.where(~F.col("text").rlike(BLANK)).select("line", "text", identifier.alias("id"), values.cast("array<float>").alias("values"), F.to_json(F.try_variant_get(doc, "$.metadata", "variant")).alias("metadata"), reason.alias("reason"), *keep)
 
 
 def rejected(rows: DataFrame, longest: int) -> DataFrame:

@@ -53,6 +53,27 @@ class Files:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def size(self, path: str) -> int:
+        """Bytes of a file, or of all files of a folder."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def write_bytes(self, path: str, data: bytes) -> None:
+        stream = self._fs.create(self._path(path), True)
+        try:
+            stream.write(data)
+        finally:
+            stream.close()
+
+    def read_bytes(self, path: str) -> bytes:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
 
 class Manifests:
     """Versions of one dataset's state; a version is created once and never changed."""

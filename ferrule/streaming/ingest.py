@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..engine import Engine
+from ..engine import TEXT, Engine
 from ..sources.imports import checked
+from ..sources.imports import rejected as rejected_lines
 
 
 def ingest(spark: SparkSession, source: str, log: str, rejected: str, checkpoint: str, dimension: int) -> StreamingQuery:
@@ -20,7 +21,7 @@ def ingest(spark: SparkSession, source: str, log: str, rejected: str, checkpoint
         lines = rows.select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
         found = checked(lines, dimension).persist()
         found.where("reason is null").select("id", "values", "metadata", F.lit(False).alias("deleted"), F.lit(number).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{log}/batch={number}")
-        found.where("reason is not null").select("line", F.substring("text", 1, 2000).alias("text"), "reason").write.mode("overwrite").json(f"{rejected}/batch={number}")
+        rejected_lines(found, TEXT).write.mode("overwrite").json(f"{rejected}/batch={number}")
         found.unpersist()
 
     return spark.readStream.text(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,7 +38,7 @@ def feed(engine: Engine, name: str, source: str, checkpoint: str, most_rows: int
     def batch(rows: DataFrame, number: int) -> None:
         found = checked(rows.select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("text")), dimension).persist()
         try:
-            found.where("reason is not null").select("line", F.substring("text", 1, 2000).alias("text"), "reason").write.mode("overwrite").json(f"{engine.root}/{name}/rejected/stream-{number}")
+            rejected_lines(found, TEXT).write.mode("overwrite").json(f"{engine.root}/{name}/rejected/stream-{number}")
             engine.upsert(name, found.where("reason is null").select("id", "values", "metadata"), (checkpoint, number))
         finally:
             found.unpersist()

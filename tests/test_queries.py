@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from ferrule.queries import ORACLE_SQL, QUERIES
@@ -78,3 +79,59 @@ def test_import_queries_check_their_lines(spark, monkeypatch):
     for name in ("import_counters", "import_policy", "import_rejected"):
         QUERIES[name](spark, DATA)
     assert len(calls) == 3
+
+
+def test_near_and_bad_vectors(spark):
+    """Distances far below six digits are told apart; records that have no distance are never found."""
+    from ferrule.operators import search
+    from ferrule.plans import cells
+
+    rows = [("a", [3e-4, 0.0]), ("b", [2e-4, 0.0]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0]), ("f", [float("nan"), 0.0]), ("g", [None, 0.0]), ("h", [float("inf"), 0.0]), ("i", [0.0, 3e-4]), ("j", [1e6, 1e6])]
+    table = spark.createDataFrame(rows, "id string, values array<float>")
+    want = ["c", "b", "a", "i", "j"]
+    assert [r["id"] for r in search.knn(table, [0.0, 0.0], 2).collect()] == want[:2]
+    assert [r["id"] for r in search.knn(table.where("id <> 'h'"), [0.0, 0.0], 9).collect()] == want
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1e6, 1e6]), (3, None)], "qid int, query array<float>")
+    for k in (1, 3, 9):
+        found = search.knn_batch(table, queries, k).orderBy("qid", "rank").collect()
+        assert [r["id"] for r in found if r["qid"] == 1] == want[:k] and [r["id"] for r in found if r["qid"] == 2][0] == "j" and {r["qid"] for r in found} == {1, 2}
+    placed = cells.assign(table, np.array([[0, 0], [1e6, 1e6]], np.float32))
+    assert [r["id"] for r in search.probe(placed, np.array([[0, 0], [1e6, 1e6]], np.float32), queries.where("qid = 1"), 1, 9).orderBy("rank").collect()] == want[:4]
+    none = spark.createDataFrame([], table.schema)
+    assert search.knn_batch(none, queries, 3).count() == 0 and search.knn_batch(table, queries.where("false"), 3).count() == 0 and len(cells.train(none)) == 0
+
+
+def test_batch_search_equals_plain_search(spark):
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(700, 8)), 1).astype(np.float32)  # ties happen
+    table = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(vectors)], "id string, values array<float>").repartition(5)
+    asked = [(i, vectors[i].tolist()) for i in range(0, 700, 50)]
+    from ferrule.operators import search
+
+    found = search.knn_batch(table, spark.createDataFrame(asked, "qid int, query array<float>"), 7).orderBy("qid", "rank").collect()
+    for q, vector in asked:
+        score = ((vectors.astype(float) - np.array(vector, np.float32).astype(float)) ** 2).sum(1)
+        want = sorted((s, f"v{i}") for i, s in enumerate(score))[:7]
+        got = [(r["score"], r["id"]) for r in found if r["qid"] == q]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_engine_probes_enough_cells(spark, tmp_path):
+    from ferrule.engine import Engine
+    from ferrule.queries import records
+
+    engine, rows = Engine(spark, str(tmp_path)), records(spark, "/root/testdata/sf0.1")
+    dimension = len(rows.first()["values"])
+    engine.create("d", dimension)
+    engine.upsert("d", rows.select("id", "values", "metadata"))
+    assert engine.consolidate("d") == "full"
+    base = engine.describe("d")["base"]
+    assert base["cells"] > base["probed"] >= 64
+    held = {r["id"]: np.array(r["values"], float) for r in rows.collect()}
+    names, matrix = list(held), np.array(list(held.values()))
+    shares = []
+    for at in range(0, len(names), 300):
+        vector = matrix[at] + 0.01
+        exact = {names[i] for i in np.argsort(((matrix - vector) ** 2).sum(1))[:10]}
+        shares.append(len(exact & {r["id"] for r in engine.query("d", vector.tolist(), 10)}) / 10)
+    assert sum(shares) / len(shares) >= 0.9
