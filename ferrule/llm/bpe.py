@@ -8,7 +8,8 @@ are skipped when they come up.  Decoding concatenates vocabulary strings.
 Results in odd cases: a null or empty text has no tokens, an empty decoded text
 and the digests of the empty string; special tokens' strings inside a text
 become their one id; ids repeat as rows repeat; texts of any length are handled
-piece by piece.
+piece by piece; an empty table gives an empty result; other columns, whatever
+their names, are passed over.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LETTERS, NUMBERS, BLANKS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r
 LATIN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: Pieces remembered in each of two halves, their length, and pieces handled at once.
 REMEMBERED, SHORT, RUN = 300_000, 48, 1 << 16
+#: Characters of a text that are cut into pieces at once at most; longer ones are cut run by run, which gives the same pieces.
+LONG = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -120,7 +123,7 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def _plain(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= 1 << 20:
+        if len(text) <= LONG:
             yield self.split.pattern(text).findall(text)
             return
         found = (m.group() for m in self.split.pattern(text).finditer(text))

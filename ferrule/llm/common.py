@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import sys
 import types
 import uuid
@@ -21,24 +20,23 @@ cloudpickle.register_pickle_by_value(sys.modules["ferrule.llm"])
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows that the Parquet reader holds at once; texts can be long.
 READER_ROWS = 512
-#: Files of a written table for each core at most: small files cost more than they spread.
+#: Files of a narrow table for each core at most: small files cost more than they spread.
 FILES_PER_CORE = 4
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
+    """Bound what one Arrow batch holds, whatever the length of the texts.
+
+    These are settings of the session: Spark reads them when a plan is made, which may be after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/ferrule"
-        os.makedirs(found, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ferrule-scratch"
     return found.rstrip("/")
 
 
@@ -46,26 +44,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def few(df: DataFrame) -> DataFrame:
-    """The same rows in no more partitions than FILES_PER_CORE for each core of the cluster."""
-    return df.coalesce(FILES_PER_CORE * max(2, df.sparkSession.sparkContext.defaultParallelism))
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again; this cuts the lineage.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again; this cuts the lineage."""
+    A narrow table has rows of a few numbers that are made on the JVM; it is written in no more than FILES_PER_CORE files for each core.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    few(df).write.parquet(path)
+    if narrow:
+        df = df.coalesce(FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism))
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+class Scratch:
+    """The stored() tables of one operator, deleted together when it needs them no more."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        self.held.append(stored(df, name, narrow))
+        return self.held[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Some of them, or all that are left."""
+        for df in [df for df in self.held if not tables or any(df is t for t in tables)]:
+            forget(df)
+            self.held = [x for x in self.held if x is not df]
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    forget_path(df.sparkSession, df._scratch)
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
@@ -96,6 +114,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, made longer until the table has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -116,9 +141,9 @@ def thinned(df: DataFrame, order: str, size: int) -> DataFrame:
     return df if share >= 1 else df.where(F.col(order) < F.lit(int(-(1 << 63) + share * (1 << 64))))
 
 
-def kept(name: str, make: Callable):
-    """An object that a Python worker makes once and keeps for the tasks that it runs later."""
+def kept(name: str, make: Callable, mark: object = None):
+    """An object that a Python worker makes once and keeps for the tasks that it runs later, until one of the same name has another mark."""
     state = vars(sys.modules.setdefault("ferrule_worker_state", types.ModuleType("ferrule_worker_state")))
-    if name not in state:
-        state[name] = make()
-    return state[name]
+    if name not in state or state[name][0] != mark:
+        state[name] = mark, make()
+    return state[name][1]

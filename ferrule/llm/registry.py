@@ -2,9 +2,7 @@
 
 from . import bpe, class_lm, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_tables, url_filter
 
-from .common import few
-
-_QUERIES = {
+QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_language_id": language_id.op2_language_id,
     "op3_class_lm": class_lm.op3_class_lm,
@@ -16,5 +14,4 @@ _QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-QUERIES = {name: (lambda spark, sf_dir, query=query: few(query(spark, sf_dir))) for name, query in _QUERIES.items()}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
