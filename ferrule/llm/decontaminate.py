@@ -1,7 +1,8 @@
 """Benchmark decontamination with a BM25 inverted index and block-max WAND.
 
 The test items are the indexed documents.  Postings are in item order and cut
-into blocks that know their largest contribution.  Every passage of every
+into blocks that know their largest contribution, each weighed by what its item needs
+to be found, so that one is the threshold of all.  Every passage of every
 training text is a query: overlapping windows of words, whole text.  A window
 in which no item's rare terms weigh enough to reach the threshold, were all its
 other terms there, is passed over; the others run block-max WAND, which skips
@@ -13,11 +14,13 @@ Results in odd cases: null, empty or shorter texts match nothing; items of fewer
 than five words are one shingle, and items without words are never found; items
 with equal texts are each found; rows that repeat a document or an item repeat
 nothing in the result beyond the row itself; an empty table gives an empty
-result; other columns are passed over.
+result; without items nothing is found and every document stays; other columns,
+whatever their names, are passed over, or kept where documents are returned.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from math import log
 
@@ -26,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, text_bytes
+from .common import arrow_map, documents, forget, kept, stored, text_bytes
 
 WIDTH, COVER = 5, 0.8
 #: BM25 weights; share of an item's own score that a window must reach; share
 #: that common terms may have of it; postings of a block.
 K1, B, SHARE, REST, POSTINGS = 1.2, 0.75, 0.6, 0.25, 16
-#: Items of one index; a larger benchmark is searched index after index, in blocks.
-ITEMS = 20_000
+#: Items and bytes of one index, which tasks hold, on average; a larger benchmark is searched index after index, in blocks.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -69,11 +72,11 @@ class Index:
         self.posted = [np.array([p[0] for p in ps]) for ps in found.values()]
         self.weights = [np.array([p[1] for p in ps]) for ps in found.values()]
         self.last = [[int(p[min(b + POSTINGS, len(p)) - 1]) for b in range(0, len(p), POSTINGS)] for p in self.posted]
-        self.most = [[float(w[b : b + POSTINGS].max()) for b in range(0, len(w), POSTINGS)] for w in self.weights]
-        self.bound = np.array([w.max() for w in self.weights] + [0.0])
-        # a window holds a whole item or a stated part of one, so the least item's threshold bounds all
+        # shares of what their items need; a window reaches an item with shares of one in all
+        self.shares = [w / (SHARE * self.full[p]) for w, p in zip(self.weights, self.posted, strict=True)]
+        self.most = [[float(w[b : b + POSTINGS].max()) for b in range(0, len(w), POSTINGS)] for w in self.shares]
+        self.bound = np.array([w.max() for w in self.shares] + [0.0])
         self.need = SHARE * self.full
-        self.least = float(self.need.min()) if n else np.inf
         self.longest = max(lengths, default=0)
         # an item's rare terms: the others weigh REST of its score, so a window needs need - REST from these
         own: list[list[tuple]] = [[] for _ in range(n)]
@@ -102,13 +105,13 @@ class Index:
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items whose BM25 score for these terms reaches their threshold."""
         lists = [[0, t] for t in terms]
-        posted, out = self.posted, []
+        posted, out, enough = self.posted, [], 1 - 1e-9
         while True:
             lists = sorted((c for c in lists if c[0] < len(posted[c[1]])), key=lambda c: posted[c[1]][c[0]])
             total, pivot = 0.0, None
             for k, (_, t) in enumerate(lists):
                 total += self.bound[t]
-                if total >= self.least:
+                if total >= enough:
                     pivot = k
                     break
             if pivot is None:
@@ -125,18 +128,19 @@ class Index:
                 if b < len(self.last[c[1]]):
                     bound += self.most[c[1]][b]
                     edge = self.last[c[1]][b] if edge is None else min(edge, self.last[c[1]][b])
-            if bound >= self.need[item]:
-                score = 0.0
+            if bound >= enough:
+                score = share = 0.0
                 for c in lists[: pivot + 1]:
                     c[0] += int(np.searchsorted(posted[c[1]][c[0] :], item))
                     if c[0] < len(posted[c[1]]) and posted[c[1]][c[0]] == item:
                         score += float(self.weights[c[1]][c[0]])
+                        share += float(self.shares[c[1]][c[0]])
                         c[0] += 1
-                if score >= self.need[item]:
+                if share >= enough:
                     out.append((item, score))
             else:
-                # no item up to the nearest block end can pass, if the least threshold isn't met either
-                to = edge + 1 if bound < self.least and edge is not None and edge >= item else item + 1
+                # no item up to the nearest block end can pass
+                to = edge + 1 if edge is not None and edge >= item else item + 1
                 if pivot + 1 < len(lists):
                     to = max(item + 1, min(to, int(posted[lists[pivot + 1][1]][lists[pivot + 1][0]])))
                 for c in lists[: pivot + 1]:
@@ -191,43 +195,57 @@ class Index:
         return out
 
 
-def _blocks(spark, items: DataFrame, item_col: str) -> list:
-    """Broadcast blocks of about ITEMS test items each; more items make more blocks, not larger ones."""
-    items = items.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    count = max(1, -(-items.count() // ITEMS))
+def item_blocks(items: DataFrame, item_col: str):
+    """Rows (item, text) of one block of the distinct test items after the other, each of about ITEMS items and ITEM_BYTES at most."""
+    held = stored(items.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "test-items")
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    count = max(1, -(-size["n"] // ITEMS), -(-size["bytes"] // ITEM_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
-    return [spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in items.where(part == k).collect()]) for k in range(count)]
+    for k in range(count):
+        yield held.where(part == k).collect()
+    forget(held)
+
+
+def _blocks(items: DataFrame, item_col: str) -> list:
+    spark = items.sparkSession
+    return [(spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in block]), uuid.uuid4().hex) for block in item_blocks(items, item_col)]
+
+
+def _index(held) -> Index:
+    """The block's index, which a worker keeps until it gets another block."""
+    block, mark = held
+    return kept("test item index", lambda: Index(block.value), mark)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, coverage for each document and each test item that it contains."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = None
-    for held in _blocks(docs.sparkSession, items, item_col):
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind, found = docs.schema["id"].dataType.simpleString(), None
+    for held in _blocks(items, item_col):
 
         def make(held=held):
-            index = Index(held.value)
+            index = _index(held)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
                 rows = [(own, *hit) for own, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True) for hit in index.search(data)]
                 if not rows:
                     return None
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (batch.schema.types[0], pa.int64(), pa.float64(), pa.float64()), strict=True)], [id_col, "item_id", "score", "coverage"])
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (batch.schema.types[0], pa.int64(), pa.float64(), pa.float64()), strict=True)], ["id", "item", "score", "coverage"])
 
             return step
 
-        hits = arrow_map(docs.select(id_col, text_col), f"`{id_col}` {kind}, item_id bigint, score double, coverage double", make)
+        hits = arrow_map(docs, f"id {kind}, item bigint, score double, coverage double", make)
         found = hits if found is None else found.union(hits)
-    return found
+    return found.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "score", "coverage")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The documents that contain no test item, with all columns."""
     at = docs.columns.index(text_col)
-    for held in _blocks(docs.sparkSession, items, item_col):
+    for held in _blocks(items, item_col):
 
         def make(held=held):
-            index = Index(held.value)
+            index = _index(held)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 return batch.filter(pa.array([not index.search(x) for x in text_bytes(batch.column(at))], pa.bool_()))
