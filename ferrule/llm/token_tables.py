@@ -12,8 +12,11 @@ block in the index by binary search and scans that block.
 
 Keys order as ids do (sign flipped, big-endian); a null id has a key of its own
 before all others.  Rows with the same id keep one entry each, ordered by text.
-A null or empty text has the end id alone.  Files have names of their own for
-each attempt, so a task that is run again leaves no half file in use.
+A null or empty text has the end id alone; texts of any length are encoded
+whole, those with special tokens' strings or over LONG characters by the library
+at once.  An empty table makes no files and reads back empty; other columns,
+whatever their names, are passed over.  Files have names of their own for each
+attempt, so a task that is run again leaves no half file in use.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -36,6 +40,8 @@ from .common import documents, kept, scratch_path, tune
 
 #: Bytes of a block, bits and hashes of the filter for each key.
 BLOCK, FILTER_BITS, FILTER_HASHES = 1 << 16, 12, 7
+#: Characters of a text that are cut into pieces at once at most.
+LONG = 1 << 20
 ENTRY, FOOTER, MAGIC = "<HHI", "<QQQQQQI8s", b"FRLTOKN1"
 
 
@@ -65,7 +71,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def ids(self, text: str) -> bytes:
-        if self.whole or len(text) > 1 << 20 or any(s in text for s in self.special):
+        if self.whole or len(text) > LONG or any(s in text for s in self.special):
             return self._library(text)
         return b"".join(map(self.pieces.__getitem__, self.split.pattern(text).findall(text)))
 
@@ -100,7 +106,8 @@ class Writer:
         self.at = self.entries = self.tokens = 0
         self.block, self.first, self.last = bytearray(), b"", b""
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[int] = []
+        # two hashes of each key, 16 bytes of it
+        self.keys = array("Q")
 
     def add(self, key: bytes, value: bytes) -> None:
         shared = 0
@@ -111,7 +118,8 @@ class Writer:
             self.first = key
         self.block += struct.pack(ENTRY, shared, len(key) - shared, len(value)) + key[shared:] + value
         self.last, self.entries, self.tokens = key, self.entries + 1, self.tokens + len(value) // self.width
-        self.keys += (xxhash.xxh3_64_intdigest(key), xxhash.xxh3_64_intdigest(key, 1) | 1)
+        self.keys.append(xxhash.xxh3_64_intdigest(key))
+        self.keys.append(xxhash.xxh3_64_intdigest(key, 1) | 1)
         if len(self.block) >= BLOCK:
             self.flush()
 
@@ -128,10 +136,10 @@ class Writer:
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QI", at, size) for k, at, size in self.index)
         bits = max(64, self.entries * FILTER_BITS)
         flags = np.zeros(bits, bool)
-        pairs = np.array(self.keys, np.uint64).reshape(-1, 2)
+        # as in _filter_places, where numbers don't wrap: reduce first
+        first, more = (np.frombuffer(self.keys, np.uint64).reshape(-1, 2) % np.uint64(bits)).astype(np.int64).T
         for i in range(FILTER_HASHES):
-            # as in _filter_places, where numbers don't wrap: reduce first
-            flags[((pairs[:, 0] % bits).astype(object) + i * (pairs[:, 1] % bits).astype(object)).astype(np.int64) % bits if len(pairs) else []] = True
+            flags[(first + i * more) % bits] = True
         bloom = np.packbits(flags).tobytes()
         self.out.write(index + bloom + struct.pack(FOOTER, self.at, len(index), self.at + len(index), bits, self.entries, self.tokens, self.width, MAGIC))
         self.out.close()
