@@ -2,8 +2,11 @@
 
 Each node has features of its tag and attribute tokens, its subtree's density of
 text, links and tags, its depth and its place among its siblings.  The trees are
-trained here, in numpy, on nodes of a bounded sample of pages, whose labels come
-from the pages' own semantic tags.  Decoding takes the most likely labelling in
+trained here, in numpy, on nodes of a bounded sample of pages.  Labels don't come
+from names of tags or attributes: what a page calls its title stands again as the
+headline of its text, and the least element with that headline and more text is
+the text (without a headline, the element whose paragraphs have most of it).  Of
+what lies in it, parts that say they are something else are left out.  Decoding takes the most likely labelling in
 which every path from the root goes from outside to inside the text and from
 there at most once to something left out, so no choice contradicts an
 ancestor's.
@@ -174,9 +177,9 @@ class Page:
         ], axis=1)
 
     def labels(self) -> np.ndarray:
-        """Weak labels: inside the first element that says it is the text, but not in a part named otherwise."""
+        """Weak labels: inside the element that the page's title leads to, but not in a part named otherwise."""
         n = len(self.tag)
-        text = next((i for i in range(n) if self.tag[i] in TEXTUAL), None)
+        text = self._titled()
         if text is None:
             # the element whose own paragraphs have most text
             weight = np.zeros(n)
@@ -192,6 +195,25 @@ class Page:
                 out[i] = 1
         return out
 
+    def _titled(self) -> int | None:
+        """The least element that has the page's title as the text of a part of its own, and more text than that."""
+        own = [[] for _ in self.tag]
+        for node, piece in self.pieces:
+            if piece is not None:
+                own[node].append(piece)
+        told = [" ".join(unescape("".join(x)).split()) for x in own]
+        title = next((t for t, tag in zip(told, self.tag, strict=True) if tag == "title" and t), None)
+        at = title and next((i for i, (t, tag) in enumerate(zip(told, self.tag, strict=True)) if tag != "title" and t and (t == title or len(t) >= 20 and (t.startswith(title) or title.startswith(t)))), None)
+        if not at:
+            return None
+        total = np.array([float(len(t)) for t in told])
+        for i in range(len(total) - 1, 0, -1):
+            total[self.parent[i]] += total[i]
+        up = at
+        while up > 0 and total[up] <= 2 * len(told[at]):
+            up = self.parent[up]
+        return up if up > 0 else None
+
     def decode(self, odds: np.ndarray) -> np.ndarray:
         """Nodes inside the text under the best labelling: outside, then inside, then left out, along each path."""
         n = len(odds)
