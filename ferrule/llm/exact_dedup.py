@@ -7,9 +7,10 @@ rows.  New digests are grouped first, looked up in their bucket's table and
 compared with the slot's bytes; those that are not members keep the group they
 formed among themselves.
 
-Results in odd cases: a null text counts as empty; rows with equal id and text
-are one group of which one row stays; a null id loses against any other; an
-empty table gives an empty result; other columns are passed over.
+Results in odd cases: a null text counts as empty; texts of any length are read
+whole; rows with equal id and text are one group of which one row stays; a null
+id loses against any other; an empty table gives an empty result; other columns,
+whatever their names, are passed over, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import arrow_map, stored, tune
+from .common import arrow_map, fresh, stored, tune
 
 #: Digests that one bucket of the index holds on average.
 BUCKET_KEYS = 8192
@@ -132,21 +134,19 @@ def _look_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([old.assign(member=True), new[~hit].drop(columns="bucket").assign(member=False)], ignore_index=True)
 
 
-def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "digest", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns in keep and the SHA-256 of the text with A-Z in lower case."""
-    columns = [id_col, *[c for c in keep if c != id_col]]
-    chosen = docs.select(*columns, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in columns) + f", `{name}` binary"
+def with_digest(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The table with the SHA-256 of the text, A-Z in lower case, under a name that it doesn't have."""
+    at = docs.columns.index(text_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lower = pc.ascii_lower(batch.column(len(columns)))
+            lower = pc.ascii_lower(batch.column(at))
             digests = pa.array([hashlib.sha256((x or "").encode()).digest() for x in lower.to_pylist()], pa.binary())
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], digests], [*columns, name])
+            return pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, name])
 
         return step
 
-    return arrow_map(chosen, schema, make)
+    return arrow_map(docs, StructType([*docs.schema.fields, StructField(name, BinaryType())]), make)
 
 
 def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_c
     member tells whether the digest was in the index.
     """
     tune(docs.sparkSession)
-    rows = with_digest(docs, id_col, text_col).select(F.col(id_col).alias("id"), "digest", F.monotonically_increasing_id().alias("rid"))
+    rows = with_digest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "digest").select("id", "digest", F.monotonically_increasing_id().alias("rid"))
     rows = stored(rows, "digests")
     old = F.lit(False) if is_history is None else F.coalesce(is_history, F.lit(False))
     best = F.max(F.struct(F.col("id").isNotNull().cast("int").alias("known"), F.coalesce("id", F.lit(0)).cast("bigint").alias("id"), "rid"))
@@ -178,11 +178,15 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_c
 
 
 def drop_copies(docs: DataFrame, is_history=None) -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, is_history).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    full = with_digest(docs, name="__digest", keep=tuple(docs.columns))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    return full.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """The documents that exact_dedup keeps, with all their columns.
+
+    Documents are dealt once, by id and digest, to where their kept rows are; rows that repeat one another meet there.
+    """
+    digest, known, number = (fresh(docs, n) for n in ("digest", "known", "number"))
+    keyed = lambda df: df.withColumns({known: F.col("doc_id").isNotNull(), number: F.coalesce("doc_id", F.lit(0))})
+    kept = keyed(exact_dedup(docs, is_history).where("kept")).select(known, number, F.unhex("text_sha256").alias(digest))
+    full = keyed(with_digest(docs, "text", digest))
+    return full.join(kept, [digest, known, number], "left_semi").dropDuplicates([digest, known, number]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_exact_dedup(spark, sf_dir):
