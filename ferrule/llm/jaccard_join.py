@@ -2,17 +2,26 @@
 
 Sets whose sizes can meet the threshold lie in the same or in neighbouring size
 bands.  For each pair of neighbouring bands, two sets that are similar enough
-differ in at most k features.  The feature domain is cut into n1 parts of n2
-parts each; some first-level part holds at most k2 = n2 - m differences, so one
-of its subsets of m second-level parts is equal in both.  Each subset's content
-is a signature.  Signatures of fewer than STRONG features are left out where a
-set has over k stronger ones, as one of those must then be equal.
+differ in at most k features.  The feature domain is cut into n1 parts of PARTS
+parts each; some first-level part holds at most PARTS - SUBSET differences, so
+one of its subsets of SUBSET second-level parts is equal in both.  Each subset's
+content is a signature.
+
+Features that many documents share (found on a sample) take no part at first:
+outside them, too, similar sets differ in at most k features, whatever they are.
+Signatures of fewer than STRONG features are left out; a set that has too few
+strong ones for the rule above to hold gets signatures of all its features
+besides, weak ones too if need be.  Two such sets share one of those, any other
+pair one of the first sort.
 
 Members of a run whose sizes and feature counts rule out similarity are parted
-first.  Sets sharing a signature are then compared with the smallest id of the run (a star,
-not all pairs); where a star leaves a run in several components, its members are
-compared with each other too, the sets of overlapping runs held once, or in
-blocks where there are too many.  Every comparison is of whole sets; no link is lost.
+first (runs over LARGE go on whole).  Sets sharing a signature are then compared
+with the smallest id of the run, and where that leaves a run in several
+components, with other pivots (stars, not all pairs).  What is still apart then
+is compared with the sets that its runs tie it to, block by block: no task holds
+more than two blocks, and sets of the largest component of such a cluster are
+not compared with each other.  Every comparison is of whole sets; no link is
+lost.
 
 Results in odd cases: null and empty texts, and texts without words, have empty
 sets and stay alone; equal sets are one node; a text of fewer words than a
@@ -25,59 +34,59 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, forget, release, stored, text_bytes, tune
+from .common import Scratch, arrow_map, documents, forget, fresh, release, stored, text_bytes, thinned, tune
 from .components import components
+from .words import WordHashes, mix
 
-#: Features that a signature should have, subsets' parts, growth of the number of parts that makes up for weak ones.
-STRONG, PARTS, SUBSET, SPARE = 2, 2, 1, 1.2
+#: Features that a signature should have, second-level parts and those of a subset, growth of the number of parts that makes up for weak ones.
+STRONG, PARTS, SUBSET, SPARE = 1, 3, 2, 1.1
 #: Groups of equal sets with more than this share of the rows are one row from the start; at most 1 / HOT of them exist.
 HOT = 0.001
-#: Signatures that one bucket of the exchange holds on average; members compared at once.
-BUCKET_SIGS, BLOCK = 1_000_000, 512
-#: Sets of overlapping runs that one task holds at once; more are compared run by run, in blocks.
-TOGETHER = 4000
+#: Documents that tell which features are common, the share of them that has one, and how many at least: at most 1 / COMMON of an average set.
+SAMPLE, COMMON, LEAST = 2000, 0.01, 20
+#: Signatures that one bucket of the exchange holds on average; bits of a signature beyond those that its bucket tells.
+BUCKET_SIGS, BITS = 1_000_000, 48
+#: Members of a run that one task parts; sets of a block; rounds of pivots.
+LARGE, BLOCK, PIVOTS = 4096, 256, 2
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * K[3]
-        x = (x ^ (x >> np.uint64(29))) * K[1]
-        return x ^ (x >> np.uint64(32))
-
-
-class Words(dict):
-    """Word to 64-bit hash; forgets everything when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def _hashed(words: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of the runs of so many words."""
+    x = np.full(max(0, len(words) - span + 1), np.uint64(span))
+    for i in range(span):
+        x ^= words[i : len(x) + i]
+        x *= K[0]
+        x ^= x >> np.uint64(31)
+    return mix(x)
+
+
+def shingle_sets(words: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text; words has those of all texts, sizes how many each has."""
+    every, out, at = _hashed(words, width), [], 0
+    for n in sizes.tolist():
+        x = every[at : at + n - width + 1] if n >= width else _hashed(words[at : at + n], n) if n else every[:0]
+        at += n
+        if len(x) > 1:
+            x = np.sort(x)
+            new = np.empty(len(x), bool)
+            new[0] = True
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            x = x[new]
+        out.append(x)
+    return out
 
 
-def shingle_set(data: bytes, width: int, words: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    split = data.lower().split()
-    n = len(split)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, split), np.uint64, n)
-    with np.errstate(over="ignore"):
-        span = min(n, width)
-        x = np.full(n - span + 1, np.uint64(span))
-        for i in range(span):
-            x = (x ^ h[i : n - span + 1 + i]) * K[0]
-            x ^= x >> np.uint64(31)
-    return np.unique(mix(x))
+def _sets_of(column: pa.Array, width: int, words: WordHashes) -> list[np.ndarray]:
+    return shingle_sets(*words.many(text_bytes(column)), width)
 
 
 class Bands:
@@ -101,46 +110,92 @@ class Bands:
         return 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a set for its band with the one before and with the one after."""
+def _weighed(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What deals features to parts, and what is summed there: equal contents are summed in the same order to the same number."""
+    return features >> np.uint64(32), (mix(features ^ K[2]) >> np.uint64(12)).astype(np.float64)
+
+
+CHOSEN = np.array(list(combinations(range(PARTS), SUBSET)))
+
+
+def _subsets(weighed: tuple[np.ndarray, np.ndarray], n1: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each subset of second-level parts (rows) and each first-level part: the content's hash and how many features it has."""
+    high, weight = weighed
+    cells = n1 * PARTS
+    cell = ((high * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(cell, minlength=cells).reshape(n1, PARTS)
+    # the second-level parts of a subset are told apart by their features
+    sums = np.bincount(cell, weight, cells).view(np.uint64).reshape(n1, PARTS) * K[1]
+    made = np.arange(n1, dtype=np.uint64) + (np.uint64(salt << 36) + (np.arange(len(CHOSEN), dtype=np.uint64) << np.uint64(30)))[:, None]
+    made *= K[0]
+    sizes = np.zeros(made.shape, np.int64)
+    for parts in CHOSEN.T:
+        made += sums[:, parts].T
+        sizes += count[:, parts].T
+    return mix(made), sizes
+
+
+def signatures(features: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
+    """PartEnum signatures of a set for its band with the one before and with the one after; common has the sorted common features."""
     out, size = [], len(features)
+    rare = features
+    if len(common):
+        at = np.minimum(np.searchsorted(common, features), len(common) - 1)
+        rare = features[common[at] != features]
     band = bands.of(size)
+    k2 = PARTS - SUBSET
+    rare, every = _weighed(rare), None
     for pair in (band, band + 1):
         k = bands.differences(pair)
         if not k:
             continue  # only equal sets are similar
-        k2 = PARTS - SUBSET
         n1 = int(-(-(k + 1) * SPARE // (k2 + 1))) + 1
-        cell = (features % np.uint64(n1 * PARTS)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        count = np.bincount(cell, minlength=n1 * PARTS)
-        ends = np.concatenate([[0], np.cumsum(count)])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(features[order] ^ K[2]), dtype=np.uint64)])
-        sums = (total[ends[1:]] - total[ends[:-1]]).reshape(n1, PARTS)
-        held = count.reshape(n1, PARTS)
-        made, sizes = [], []
-        for j, parts in enumerate(combinations(range(PARTS), SUBSET)):
-            with np.errstate(over="ignore"):
-                where = mix(np.arange(n1, dtype=np.uint64) + np.uint64((pair << 36) + (j << 30)))
-                made.append(mix(sums[:, parts].sum(axis=1, dtype=np.uint64) ^ where) + where)
-            sizes.append(held[:, parts].sum(axis=1))
-        made, sizes = np.array(made), np.array(sizes)
-        strong = sizes >= STRONG
-        safe = int(strong.sum()) > k if SUBSET == 1 else int(strong.all(axis=0).sum()) * (k2 + 1) > k
-        out.append(made[strong] if safe else made.ravel())
+
+        def told(sizes: np.ndarray, k=k) -> tuple[np.ndarray, bool]:
+            """Which signatures are strong, and whether first-level parts with strong ones only are enough for one of at most k2 differences."""
+            strong = sizes >= STRONG
+            return strong, int(strong.all(axis=0).sum()) * (k2 + 1) > k
+
+        made, sizes = _subsets(rare, n1, 2 * pair)
+        strong, safe = told(sizes)
+        out.append(made[strong])
+        if not safe:
+            every = every or (rare if len(rare[0]) == size else _weighed(features))
+            made, sizes = _subsets(every, n1, 2 * pair + 1)
+            strong, safe = told(sizes)
+            out.append(made[strong] if safe else made.ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def common_features(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted features that COMMON of a sample of about SAMPLE documents have, LEAST of them at least; any choice gives the same links."""
+
+    def make():
+        words = WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [x.view(np.int64) for x in _sets_of(batch.column(0), width, words)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["features"])
+
+        return step
+
+    picked = thinned(docs.where("id is not null").select("text", F.xxhash64("id").alias("o")), "o", SAMPLE)
+    sets = stored(arrow_map(picked.select("text"), "features array<bigint>", make), "sample-sets")
+    least = max(LEAST, int(COMMON * sets.count()))
+    table = sets.select(F.explode("features").alias("f")).groupBy("f").count().where(F.col("count") >= least).select("f").toArrow()
+    forget(sets)
+    return np.sort(table["f"].to_numpy().view(np.uint64))
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """id, number of features, a 128-bit key of the set, and its features counted by their first bits."""
 
     def make():
-        words = Words()
+        words = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, c = [], [], [], []
-            for data in text_bytes(batch.column(1)):
-                found = shingle_set(data, width, words)
+            for found in _sets_of(batch.column(1), width, words):
                 n.append(len(found))
                 a.append(int(found.sum(dtype=np.uint64)))
                 b.append(int(mix(found ^ K[0]).sum(dtype=np.uint64)))
@@ -153,32 +208,33 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary", make)
 
 
-def _packed(docs: DataFrame, width: int, num: int, den: int, hot: dict[tuple, int], buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, width: int, num: int, den: int, hot: dict[tuple, int], common: np.ndarray, buckets: int) -> DataFrame:
     """Sorted signatures with ids as bytes, one row for each bucket and batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    starts = [b * (1 << 64) // buckets for b in range(buckets)]
+    shift = max(0, 64 - (buckets.bit_length() - 1) - BITS)
 
     def make():
-        words, bands = Words(), Bands(num, den)
+        words, bands, common = WordHashes(), Bands(num, den), shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sigs, ids = [], []
-            for own, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                found = shingle_set(data, width, words)
+            for own, found in zip(batch.column(0).to_pylist(), _sets_of(batch.column(1), width, words), strict=True):
                 if own is None or not len(found):
                     continue
                 if hot and hot.get((len(found), int(found.sum(dtype=np.uint64)), int(mix(found ^ K[0]).sum(dtype=np.uint64))), own) != own:
                     continue
-                s = signatures(found, bands)
+                s = signatures(found, bands, common)
                 sigs.append(s)
                 ids.append(np.full(len(s), own, np.int64))
             if not sigs:
                 return None
             s, i = np.concatenate(sigs), np.concatenate(ids)
-            order = np.lexsort((i, s))
+            order = np.argsort(s)
             s, i = s[order], i[order]
             # buckets are ranges of the signature, so each one is a slice
-            cuts = np.searchsorted(s, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)) if buckets > 1 else np.empty(0, int)
-            ends = [0, *map(int, cuts), len(s)]
-            rows = [(b, _pack(s[x:y], i[x:y])) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+            ends = [*map(int, np.searchsorted(s, np.array(starts, np.uint64))), len(s)]
+            rows = [(b, _pack((s[x:y] - np.uint64(starts[b])) >> np.uint64(shift), i[x:y])) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
         return step
@@ -187,16 +243,18 @@ def _packed(docs: DataFrame, width: int, num: int, den: int, hot: dict[tuple, in
 
 
 def _pack(sigs: np.ndarray, ids: np.ndarray) -> bytes:
-    """Count, smallest id and width of the offsets, then signatures and offsets."""
+    """Count, smallest id and width of the offsets, then the lowest BITS of the signatures (they have no more), and offsets."""
     low = int(ids.min())
     wide = int(ids.max()) - low >= 1 << 32
     head = np.array([len(sigs), low, wide], "<i8").tobytes()
-    return head + sigs.astype("<u8").tobytes() + (ids - low).astype("<u8" if wide else "<u4").tobytes()
+    return head + sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes() + (ids - low).astype("<u8" if wide else "<u4").tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, low, wide = map(int, np.frombuffer(data, "<i8", 3))
-    return np.frombuffer(data, "<u8", n, 24), np.frombuffer(data, "<u8" if wide else "<u4", n, 24 + 8 * n).astype(np.int64) + low
+    sigs = np.zeros((n, 8), np.uint8)
+    sigs[:, : BITS // 8] = np.frombuffer(data, np.uint8, n * BITS // 8, 24).reshape(n, -1)
+    return sigs.reshape(-1).view("<u8"), np.frombuffer(data, "<u8" if wide else "<u4", n, 24 + n * BITS // 8).astype(np.int64) + low
 
 
 def _runs(packed: DataFrame) -> DataFrame:
@@ -206,22 +264,21 @@ def _runs(packed: DataFrame) -> DataFrame:
         parts = [_unpack(x) for x in table.column("data").to_pylist()]
         s, i = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((i, s))
+        order = np.argsort(s)
         s, i = s[order], i[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
-        s, i = s[new], i[new]
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         sizes = np.diff(np.append(starts, len(s)))
-        several = np.repeat(sizes > 1, sizes)
-        first = np.repeat(i[starts], sizes)
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+        member = i[np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) + np.arange(int(sizes.sum()))] if len(starts) else i[:0]
+        ends = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(starts) else starts
+        first = np.repeat(np.minimum.reduceat(member, ends), sizes) if len(starts) else member
         # runs with the same members are the same run
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(mix(i.view(np.uint64) ^ K[1]), starts)
-        name = np.repeat(content, sizes)[several]
-        first, member = first[several], i[several]
-        _, once = np.unique(np.stack([name.view(np.int64), member]), axis=1, return_index=True)
-        return pa.table({"run": name.view(np.int64)[once], "first": first[once], "id": member[once]})
+        name = np.repeat(np.add.reduceat(mix(member.view(np.uint64) ^ K[1]), ends).view(np.int64), sizes) if len(starts) else member
+        order = np.lexsort((member, name))
+        name, first, member = name[order], first[order], member[order]
+        once = np.ones(len(name), bool)
+        once[1:] = (name[1:] != name[:-1]) | (member[1:] != member[:-1])
+        return pa.table({"run": name[once], "first": first[once], "id": member[once]})
 
     return packed.groupBy("bucket").applyInArrow(run, "run bigint, first bigint, id bigint")
 
@@ -304,10 +361,10 @@ def _split_runs(num: int, den: int):
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def make():
-        words = Words()
+        words = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(x, width, words).view(np.int64) for x in text_bytes(batch.column(1))]
+            found = [x.view(np.int64) for x in _sets_of(batch.column(1), width, words)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "features"])
 
         return step
@@ -346,110 +403,130 @@ class Compared:
 
 
 def _block_links(num: int, den: int):
-    """Links between two blocks of a run, or within one."""
+    """Links of a block of sets that are apart with a block of their cluster."""
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        held, block = Compared(rows["id"], rows["features"], rows["component"], num, den), rows["block"].to_numpy()
-        for x in range(len(rows)):
-            y = np.arange(x + 1, len(rows))
-            held.against(x, y if i == j else y[block[y] != block[x]])
+        held = Compared(rows["id"], rows["features"], rows["component"], num, den)
+        asks, apart = rows["asks"].to_numpy(), rows["apart"].to_numpy()
+        there = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks).tolist():
+            # two that are both apart meet twice; once is enough
+            own = held.ids[there]
+            held.against(x, there[(own != held.ids[x]) & (~apart[there] | (own > held.ids[x]))])
         return held.frame()
 
     return compare
 
 
-def _cluster_links(num: int, den: int):
-    """Links within the runs of a cluster; each pair is compared once, whatever runs it shares."""
-
-    def compare(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        if members.empty or sets.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = sets.sort_values("id", ignore_index=True)
-        where = {i: k for k, i in enumerate(sets["id"])}
-        component = members.drop_duplicates("id").set_index("id")["component"].reindex(sets["id"]).to_numpy()
-        held = Compared(sets["id"], sets["features"], component, num, den)
-        done = np.zeros((len(sets), len(sets)), bool)
-        runs = [np.sort(g["id"].map(where).to_numpy()) for _, g in members.groupby("run")]
-        for run in sorted(runs, key=len, reverse=True):
-            if (held.root[run] == held.root[run[0]]).all():
-                continue
-            for k, x in enumerate(run.tolist()):
-                others = run[k + 1 :]
-                others = others[~done[x, others]]
-                if len(others):
-                    held.against(x, others)
-                    done[x, others] = True
-        return held.frame()
+def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the pairs (first, id) whose sets are similar."""
+    both = F.size(F.array_intersect("f1", "f2")).cast("bigint")
+    return (
+        pairs.join(full.select(F.col("id").alias("first"), F.col("features").alias("f1")), "first")
+        .join(full.select("id", F.col("features").alias("f2")), "id")
+        .where(den * both >= num * (F.size("f1") + F.size("f2") - both))
+        .select(F.col("first").alias("a"), F.col("id").alias("b"))
+    )
+
+
+def _apart(keep: Scratch, runs: DataFrame, found: DataFrame) -> DataFrame:
+    """run, first, id, component of the runs whose members are in several components."""
+    placed = keep(runs.join(found, "id", "left").select("run", "first", "id", F.coalesce("component", "id").alias("component")), "placed", narrow=True)
+    several = placed.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
+    out = keep(placed.join(several, "run"), "open-runs", narrow=True)
+    keep.drop(placed)
+    return out
 
-    return compare
+
+def _rest(keep: Scratch, members: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between sets of open runs; sets of a cluster's largest component are not compared with each other."""
+    cluster = keep(components(members.where("id <> first"), "first", "id").withColumnRenamed("component", "cluster"), "clusters", narrow=True)
+    sets = keep(members.select("id", "component").distinct().join(cluster, "id"), "cluster-sets", narrow=True)
+    main = sets.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    sets = sets.join(main, "cluster").withColumn("apart", F.col("component") != F.col("main"))
+    sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("asking"))
+    sets = keep(sets.select("id", "component", "cluster", "apart").join(sizes, "cluster"), "dealt-sets", narrow=True)
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    there = sets.withColumn("i", block(F.col("blocks"))).withColumn("j", every(F.col("asking"))).withColumn("asks", F.lit(False))
+    asks = sets.where("apart").withColumn("j", block(F.col("asking"))).withColumn("i", every(F.col("blocks"))).withColumn("asks", F.lit(True))
+    dealt = there.unionByName(asks).select("cluster", "i", "j", "asks", "apart", "id", "component").join(full, "id")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links(num, den), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row; links are where den * shared >= num * united."""
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, Scratch()
     tune(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(_sets(docs, width), "shingle-sets")
+    sets = keep(_sets(docs, width), "shingle-sets")
     groups = sets.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # written first, so that the join below can deal out the rows of a large group
+    groups = keep(groups, "set-groups", narrow=True)
     total = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("features")).first()
     # over HOT of all rows each, so at most 1 / HOT groups
     hot = {(r["n"], r["k1"] % (1 << 64), r["k2"] % (1 << 64)): r["rep"] for r in groups.where(F.col("copies") > HOT * total["rows"] + 1).select("n", "k1", "k2", "rep").collect()}
-    nodes = stored(sets.join(groups.drop("copies"), ["n", "k1", "k2"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "set-nodes")
-    forget(sets)
-    share = 4.5 * SPARE * (den - num) / (den + num)
+    nodes = keep(sets.join(groups.drop("copies"), ["n", "k1", "k2"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "set-nodes")
+    keep.drop(sets, groups)
+    common = common_features(docs, width)
+    # signatures of a feature, in both bands: differences, first-level parts for them, subsets
+    share = 4.5 * SPARE * (den - num) / (den + num) * comb(PARTS, SUBSET) / (PARTS - SUBSET + 1)
     buckets = max(1, int((total["features"] or 0) * share / BUCKET_SIGS))
-    found = stored(_runs(_packed(docs, width, num, den, hot, buckets)), "signature-runs")
+    found = keep(_runs(_packed(docs, width, num, den, hot, common, buckets)), "signature-runs")
     release(spark)
 
     rep = nodes.where("rep is not null").select(F.col("id"), "rep").distinct()
-    runs = stored(found.join(rep, "id").select("run", F.col("rep").alias("id")).distinct(), "runs-of-sets")
-    forget(found)
+    runs = keep(found.join(rep, "id").select("run", F.col("rep").alias("id")).distinct(), "runs-of-sets", narrow=True)
+    keep.drop(found)
     release(spark)
     sketches = nodes.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"])
     parts = F.pmod("run", F.lit(max(8, 4 * buckets))).alias("part")
-    unsplit, runs = runs, stored(runs.join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct(), "set-runs")
-    forget(unsplit)
+    unsplit = runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")), "run")
+    parted = unsplit.where(F.col("size") <= LARGE).join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct()
+    unsplit, runs = runs, keep(parted.unionByName(unsplit.where(F.col("size") > LARGE).select("run", "first", "id")), "set-runs")
+    keep.drop(unsplit)
     release(spark)
-    pairs = runs.where("id <> first").select("first", "id").distinct()
     needed = runs.select("id").union(runs.select("first")).distinct()
-    full = stored(_full_sets(docs, needed, width), "full-sets")
-    both = F.size(F.array_intersect("f1", "f2")).cast("bigint")
-    links = (
-        pairs.join(full.select(F.col("id").alias("first"), F.col("features").alias("f1")), "first")
-        .join(full.select("id", F.col("features").alias("f2")), "id")
-        .where(den * both >= num * (F.size("f1") + F.size("f2") - both))
-        .select(F.col("first").alias("a"), F.col("id").alias("b"))
-    )
-    links = stored(links, "star-links")
-    found = stored(components(links, "a", "b"), "star-components")
-
-    # runs of which the stars leave more than the first set to compare
-    placed = stored(runs.join(found, "id", "left").select("run", "first", "id", F.coalesce("component", "id").alias("component")), "placed")
-    open_runs = placed.where("id <> first").groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("run", "size")
-    members = stored(placed.join(open_runs, "run"), "open-runs")
-    cluster = stored(components(members.where("id <> first"), "first", "id").withColumnRenamed("component", "cluster"), "clusters")
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("together"))
-    cluster = cluster.join(sizes, "cluster")
-    everyone = members.select("run", "size", "id", "component").join(cluster, "id")
-    small = everyone.where(F.col("together") <= TOGETHER)
-    sets_of = full.join(cluster.where(F.col("together") <= TOGETHER).select("id", F.col("cluster").alias("held_in")), "id")
-    more = small.select("cluster", "run", "id", "component").groupBy("cluster").cogroup(sets_of.groupBy("held_in")).applyInPandas(_cluster_links(num, den), "a bigint, b bigint")
-    large = everyone.where(F.col("together") > TOGETHER).withColumn("blocks", F.ceil((F.col("size") + 1) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component").join(full, "id")
-    more = more.union(large.groupBy("run", "i", "j").applyInPandas(_block_links(num, den), "a bigint, b bigint"))
-    final = components(links.union(more), "a", "b")
+    full = keep(_full_sets(docs, needed, width), "full-sets")
+    links = keep(_verified(runs.where("id <> first").select("first", "id").distinct(), full, num, den), "star-links")
+    found = keep(components(links, "a", "b"), "star-components", narrow=True)
+    members = _apart(keep, runs, found)
+    for k in range(PIVOTS):
+        if members.isEmpty():
+            break
+        order = F.struct(F.xxhash64("id", F.lit(k)), "id", "component")
+        pivots = members.groupBy("run").agg(F.min(order).alias("p")).select("run", F.col("p.id").alias("pivot"), F.col("p.component").alias("of"))
+        pairs = members.join(pivots, "run").where("component <> of").select(F.col("pivot").alias("first"), "id").distinct()
+        links = keep(links.union(_verified(pairs, full, num, den)), "pivot-links")
+        found = keep(components(links, "a", "b"), "pivot-components", narrow=True)
+        members = _apart(keep, members.select("run", "first", "id"), found)
+    final = found if members.isEmpty() else components(links.union(_rest(keep, members, full, num, den)), "a", "b")
+    keep.drop(*[df for df in keep.held if df is not nodes and df is not final])
     out = nodes.drop("sketch").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns."""
-    kept = jaccard_components(docs, width, num, den).where("component_id = doc_id or doc_id is null")
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    own = fresh(docs, "kept")
+    kept = jaccard_components(docs, width, num, den).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def op1_jaccard_join(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir), 3, 9, 10)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM texts) t),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT t.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(min(r.b), t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN reached r ON r.a = t.doc_id GROUP BY t.doc_id
+"""
