@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  A stage's result is written and read again as
 the next one's docs.
+
+Results in odd cases: documents without text or letters go in the first stage;
+rows with a null id pass the others as any row does, and as near copies stay
+always, as no id can stand for them; of rows that repeat, one stays; a repeated id with different texts is two
+documents to the second stage and one to the third; texts of any length count
+whole; extra columns, whatever their names, are kept up to the last stage, which
+returns its own; an empty table gives an empty result; without benchmark items
+nothing is contaminated.
 """
 
 from __future__ import annotations
