@@ -1,15 +1,17 @@
 """Scores under a class-based bigram model whose classes come from exchange clustering.
 
 Every training token is counted, whole texts, in a distributed table.  Classes
-come from two rounds of exchange.  In the first, the most frequent words are
+come from exchange.  At first, the most frequent words are
 symbols of their own, other frequent words share a symbol with the words of
 their frequency band, and all rarer words one symbol; symbol bigrams are counted
 over all training texts, and one symbol after the other moves to the class that
-raises the likelihood most.  In the second, the classes before and after each
-training word are counted over all training texts, and each word, rare ones
-too, moves, by itself, to the class that raises the likelihood most.  The most
-frequent words are a table that every task holds; the others' classes stay a
-distributed table that is joined.  Class transitions are then counted anew.  A token's probability is that of its class after the class
+raises the likelihood most.  Then, round after round, the classes before and
+after each word are counted over all training texts, each word moves, by itself,
+to the class that raises the likelihood most, and class transitions are counted
+anew, until a round raises the training texts' likelihood by less than GAIN of
+it.  The most frequent words, which move in these rounds, are a table that every
+task holds; the others move once, under the classes that the rounds end with, and
+stay a distributed table that is joined.  A token's probability is that of its class after the class
 before, times that of the word in its class; both are smoothed.
 
 Results in odd cases: null and empty texts have the end token alone; a null id
@@ -22,27 +24,28 @@ columns are passed over.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_crc, documents, forget, stored, text_bytes, tune
-from .jaccard_join import Words
+from .common import Shared, arrow_map, doc_crc, documents, forget, stored, text_bytes, tune
+from .words import WordHashes
 
 #: Words sent to every task (the others' classes and counts are joined), words with a symbol of their own, classes, sweeps.
 FREQUENT, CORE, CLASSES, SWEEPS = 1 << 18, 512, 48, 6
 BANDS = 64
 #: Context counts that a task holds before it passes them on.
 HELD = 1 << 21
+#: Share of the log likelihood that a round of exchange must gain for another to follow.
+GAIN = 0.005
 #: Weight of the class's own frequency in a transition.
 PRIOR = 5.0
 #: The end of a text as a token; no word contains white space.
-END = b"\n"
+END, END_KEY = b"\n", 0x5851F42D4C957F2D
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -54,27 +57,33 @@ def held_out(column: str = "doc_id"):
 
 
 def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return END_KEY if word == END else int(WordHashes()(word)[0])
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """key, n: how often each word occurs; tasks count before anything is exchanged."""
     tune(docs.sparkSession)
 
-    def batch_of(counts: Counter) -> pa.RecordBatch:
-        keys = np.fromiter(map(word_key, counts), np.uint64, len(counts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        words, keys, counts = WordHashes(), [], []
+
+        def out() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
         for batch in batches:
-            for data in text_bytes(batch.column(0)):
-                counts.update(words_of(data))
-                if len(counts) > 400_000:
-                    yield batch_of(counts)
-                    counts.clear()
-        if counts:
-            yield batch_of(counts)
+            key, n = np.unique(_tokens(batch.column(0), words)[0], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            if sum(map(len, keys)) > HELD:
+                key, n = out()
+                keys, counts = [key], [n]
+                if len(key) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+                    keys, counts = [], []
+        if keys:
+            key, n = out()
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return docs.select(text_col).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -99,14 +108,10 @@ class Symbols:
         return np.where(self.keys[at] == keys, at, -1)
 
 
-def _tokens(column: pa.Array, words: dict) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(column: pa.Array, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens of a batch, and how many each text has."""
-    keys, sizes = [], []
-    for data in text_bytes(column):
-        own = words_of(data)
-        sizes.append(len(own))
-        keys.append(np.fromiter(map(words.__getitem__, own), np.uint64, len(own)))
-    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)), np.array(sizes, np.int64)
+    keys, sizes = words.many(text_bytes(column))
+    return np.insert(keys, np.cumsum(sizes), np.uint64(END_KEY)), sizes + 1
 
 
 def _before(symbol: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -122,7 +127,7 @@ def encode(docs: DataFrame, held, is_held_out, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        symbols, words = held.value, Words()
+        symbols, words = held.value, WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, sizes = _tokens(batch.column(2), words)
@@ -225,7 +230,7 @@ class Model:
     """
 
     def __init__(self, symbols: Symbols, own: np.ndarray, pairs: np.ndarray, tokens: int, types: int, others: tuple[np.ndarray, np.ndarray] | None = None):
-        self.symbols, self.own, self.end = symbols, own, 0
+        self.symbols, self.own, self.end, self.pairs = symbols, own, 0, pairs
         count = np.bincount(own[:-1], symbols.counts, CLASSES)
         kinds = np.bincount(own[:-1], minlength=CLASSES).astype(float)
         if others is None:
@@ -237,6 +242,8 @@ class Model:
         self.follow = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
         # one more word in each class stands for all that were never seen
         self.room = np.log10(count + kinds + 1)
+        # of the training tokens under the classes, but for the words' own counts, which no class changes
+        self.fit = float((pairs * self.follow).sum() - pairs.sum(0) @ self.room)
 
 
 def first_model(symbols: Symbols, bigrams: np.ndarray, tokens: int, types: int) -> Model:
@@ -254,6 +261,20 @@ def best_class(model: Model, seen: np.ndarray, counts: np.ndarray) -> np.ndarray
     return score.argmax(1).astype(np.int32)
 
 
+def exchanged(learned: DataFrame, first: Model, tokens: int, types: int) -> Model:
+    """The model after rounds of exchange over all words of the table, each under the classes of the round before."""
+    share, model = partial(Shared, learned.sparkSession), first
+    while True:
+        own = choose_classes(learned, share(model))
+        pairs = count_pairs(learned.select("places"), share(own), CLASSES, model.end)
+        after = Model(model.symbols, own, pairs, tokens, types)
+        if after.fit <= model.fit:
+            return model
+        gained, model = after.fit - model.fit, after
+        if gained < GAIN * abs(after.fit):
+            return model
+
+
 def choose_rare(encoded: DataFrame, held) -> DataFrame:
     """key, label, n: the class of each word beyond the table, chosen like those in it, and how often it occurs; nothing of it comes to the driver.
 
@@ -290,7 +311,7 @@ def choose_rare(encoded: DataFrame, held) -> DataFrame:
         return step
 
     tune(encoded.sparkSession)
-    seen = encoded.select("places", "rare").mapInArrow(run, "key bigint, around int").repartition("key")
+    seen = encoded.select("places", "rare").mapInArrow(run, "key bigint, around int")
     lists = seen.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.collect_list(F.struct("around", "n")).alias("seen"))
     return stored(arrow_map(lists, "key bigint, label int, n bigint", make), "rare-classes")
 
@@ -383,6 +404,7 @@ def choose_classes(encoded: DataFrame, held) -> np.ndarray:
         return step
 
     tune(encoded.sparkSession)
+    # tasks have counted already what they pass on
     seen = encoded.select("places").mapInArrow(run, "word int, slot int, n bigint").repartition("word")
     lists = seen.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("seen"))
     table = arrow_map(lists, "word int, label int", make).toArrow()
@@ -413,21 +435,21 @@ def lm_scores(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col: st
     top = counts.where((step >= least) | (F.col("key") == end)).orderBy(F.desc("n"), "key").toArrow()
     forget(counts)
     symbols = Symbols(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy())
-    share = spark.sparkContext.broadcast
+    share = partial(Shared, spark)
     encoded = encode(docs, share(symbols), is_held_out, id_col, text_col)
     learned = encoded.where(~F.col("held_out"))
     bigrams = count_pairs(learned.select("places"), share(np.append(symbols.symbol, symbols.rare)), symbols.size, symbols.end)
     first = first_model(symbols, bigrams, tokens, types)
-    held_first = share(first)
-    own = choose_classes(learned, held_first)
-    rare = choose_rare(learned, held_first)
+    best = exchanged(learned, first, tokens, types)
+    own = best.own
+    rare = choose_rare(learned, share(best))
     others = np.zeros((2, CLASSES))
     for r in rare.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
         others[:, r["label"]] = r["n"], r["words"]
     texts = labelled(encoded, rare, share((own, symbols.counts)))
     forget(encoded)
     forget(rare)
-    pairs = count_pairs(texts.where(~F.col("held_out")).select("labels"), None, CLASSES, first.end)
+    pairs = count_pairs(texts.where(~F.col("held_out")).select("labels"), None, CLASSES, best.end)
     final = Model(symbols, own, pairs, tokens, types, (others[0], others[1]))
     held = share((final.follow, final.room, final.end))
     kind = docs.schema[id_col].dataType.simpleString()

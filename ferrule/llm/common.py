@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import sys
 import types
 import uuid
@@ -59,6 +60,17 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+class Shared:
+    """A broadcast object of this package's classes, which executors need not have installed."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        return pickle.loads(self.held.value)
+
+
 class Scratch:
     """The stored() tables of one operator, deleted together when it needs them no more."""
 
