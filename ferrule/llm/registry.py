@@ -14,4 +14,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLE_SQL = {"op1_jaccard_join": jaccard_join.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLE_SQL = {"op1_jaccard_join": jaccard_join.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}

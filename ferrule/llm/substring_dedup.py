@@ -1,17 +1,30 @@
 """Removal of long byte strings that occur more than once in a corpus.
 
-A sparse suffix array: of every window of MATCH bytes, the place whose ANCHOR
-following bytes hash lowest is an anchor (leftmost of equals), so two equal
-windows have their anchors at the same offset.  Each task sorts the suffixes at
-its anchors, as far as ANCHOR bytes, into front-coded runs cut at common
-splitters; the pieces are exchanged by range and merged with a loser tree that
-keeps common-prefix lengths and so never compares a known prefix again.
-Neighbours with all ANCHOR bytes in common are repeated anchors.
-
-Around repeated anchors the surrounding bytes are then compared: for each offset
-that a window around the anchor can have, whether some other anchor has the same
-window there.  All windows that hold an anchor overlap in it, so its first and
-last repeated window give all bytes that it covers.
+A sparse suffix array, merged in two rounds.  Of every window of MATCH bytes, the
+place whose ANCHOR following bytes hash lowest is an anchor (leftmost of equals),
+so two equal windows have their anchors at the same offset.
+
+First round: each task sorts the suffixes at its anchors, as far as ANCHOR bytes,
+into front-coded runs cut at common splitters; the pieces are exchanged by range
+and merged with a loser tree that keeps common-prefix lengths and so never
+compares a known prefix again.  Neighbours with all ANCHOR bytes in common are
+repeated anchors.
+
+Second round: the suffixes at repeated anchors, as far as a window can reach, are
+sorted, front-coded, exchanged and merged in the same way, each with the bytes
+before it.  The common prefixes of neighbours tell which suffixes agree for how
+long; those of the bytes before, read backwards, tell the same to the left.  A
+window is repeated where both agree, and the first and last repeated window
+around an anchor give all bytes that it covers.
+
+Anchors with the same surroundings are one entry that is known to repeat.  An
+anchor that has over CELL different surroundings is split: each part of its
+windows' offsets has more bytes in common, and only what agrees in those is
+compared any further, so no task holds a common passage's surroundings all at
+once.
+
+The same is done over words (of a text with A-Z in lower case) for passages of
+PASSAGE words, more than fifty, that another document has too.
 
 Texts with equal bytes are one text from the start; where they reach MATCH bytes
 they are removed whole.
@@ -19,7 +32,7 @@ they are removed whole.
 Results in odd cases: a null text counts as empty; texts shorter than MATCH lose
 nothing unless covered, which they can't be; null ids and repeated rows are kept
 as rows, and count as occurrences; an empty table gives an empty result; other
-columns are passed over.
+columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -28,6 +41,8 @@ import hashlib
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from struct import calcsize, pack, unpack_from
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +50,59 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, scratch_path, stored, tune
+from .common import Scratch, arrow_map, documents, forget, forget_path, release, scratch_path, stored, thinned, tune
+from .words import BASE, INVERSE, WordHashes, powers
 
 MATCH, ANCHOR = 400, 64
-#: Window starts handled at once, suffixes of a run, anchors of a splitter sample, contexts of a bucket.
-SEGMENT, RUN, SAMPLE, BUCKET = 1 << 19, 200_000, 20_000, 20_000
-LEFT = MATCH - ANCHOR
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words of a passage, and of its anchors.
+PASSAGE, GRAM = 51, 8
+#: Window starts handled at once, suffixes of a run, texts and anchors of each in a splitter sample.
+SEGMENT, RUN, SAMPLE, EACH = 1 << 19, 200_000, 1000, 20
+#: Surroundings that a task compares at once on average, those of one cell at most, parts that a larger cell's offsets are cut into.
+BUCKET, CELL, PARTS = 20_000, 20_000, 8
+#: Shared prefix, rest and number of an entry of a run.
+ENTRY = "<HHI"
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What texts are sequences of: bytes of a symbol, symbols of a match and of an anchor, whether only other documents count."""
+
+    name: str
+    unit: int
+    match: int
+    anchor: int
+    across: bool
+
+    @property
+    def left(self) -> int:
+        """Symbols that a window can have before its anchor."""
+        return self.match - self.anchor
+
+    def reader(self):
+        """A function that gives a text's symbols as bytes, and as numbers to hash."""
+        if self.unit == 1:
+            table = _values()
+
+            def read(text: str) -> tuple[bytes, np.ndarray]:
+                data = text.encode()
+                return data, table[np.frombuffer(data, np.uint8)]
 
+            return read
+        words = WordHashes()
 
-def _values() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        def read_words(text: str) -> tuple[bytes, np.ndarray]:
+            own = words(text.encode())
+            return own.astype(">u8").tobytes(), _mix(own) | np.uint64(1)
 
+        return read_words
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+
+BYTES, WORDS = Kind("bytes", 1, MATCH, ANCHOR, False), Kind("words", 8, PASSAGE, GRAM, True)
+
+
+def _values() -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,15 +113,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Anchors:
     """Finds a text's anchors."""
 
-    def __init__(self):
-        self.values = _values()
-        size = SEGMENT + 2 * MATCH
-        self.up, self.down = _powers(BASE, size), _powers(INVERSE, size)
+    def __init__(self, kind: Kind):
+        self.kind = kind
+        size = SEGMENT + 2 * kind.match
+        self.up, self.down = powers(BASE, size), powers(INVERSE, size)
 
-    def _segment(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, w = len(raw), LEFT + 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[raw] * self.down[:n], dtype=np.uint64)])
-        content = _mix((sums[ANCHOR:] - sums[:-ANCHOR]) * self.up[: n - ANCHOR + 1])
+    def _segment(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, w, size = len(values), self.kind.left + 1, self.kind.anchor
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.down[:n], dtype=np.uint64)])
+        content = _mix((sums[size:] - sums[:-size]) * self.up[: n - size + 1])
         m = len(content)
         key = (content & ~np.uint64(0xFFFFF)) | np.arange(m, dtype=np.uint64)
         padded = np.full(-(-m // w) * w, np.uint64((1 << 64) - 1))
@@ -83,11 +133,11 @@ class Anchors:
         at = np.unique((low & np.uint64(0xFFFFF)).astype(np.int64))
         return at, content[at]
 
-    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and 64-bit contents of the anchors."""
-        raw, parts = np.frombuffer(data, np.uint8), []
-        for start in range(0, max(0, len(raw) - MATCH + 1), SEGMENT):
-            at, content = self._segment(raw[start : start + SEGMENT + MATCH - 1])
+        parts, match = [], self.kind.match
+        for start in range(0, max(0, len(values) - match + 1), SEGMENT):
+            at, content = self._segment(values[start : start + SEGMENT + match - 1])
             parts.append((at + start, content))
         if not parts:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -95,13 +145,18 @@ class Anchors:
         at, once = np.unique(at, return_index=True)
         return at, content[once]
 
+    def of_suffix(self, suffix: bytes, values: np.ndarray) -> int:
+        """The 64-bit content that an anchor of these symbols has."""
+        return int(_mix((values * self.down[: len(values)]).sum(dtype=np.uint64, keepdims=True))[0])
+
 
 def front_code(items: list[tuple[bytes, int]]) -> bytes:
-    """Sorted distinct suffixes with their counts, each after the prefix that it shares with the one before."""
+    """Sorted suffixes with a number each, each after the prefix that it shares with the one before."""
     out, last = bytearray(), b""
-    for suffix, count in items:
+    for suffix, number in items:
         h = common(last, suffix, 0)
-        out += bytes((h, len(suffix) - h, min(count, 2))) + suffix[h:]
+        out += pack(ENTRY, h, len(suffix) - h, number)
+        out += suffix[h:]
         last = suffix
     return bytes(out)
 
@@ -109,21 +164,22 @@ def front_code(items: list[tuple[bytes, int]]) -> bytes:
 def common(a: bytes, b: bytes, h: int) -> int:
     """Length of the common prefix, of which h bytes are known."""
     n = min(len(a), len(b))
-    while h + 8 <= n and a[h : h + 8] == b[h : h + 8]:
-        h += 8
+    while h + 32 <= n and a[h : h + 32] == b[h : h + 32]:
+        h += 32
     while h < n and a[h] == b[h]:
         h += 1
     return h
 
 
-def decode_run(data: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """suffix, prefix shared with the one before, count."""
-    at, last = 0, b""
+def decode_run(data: bytes, base: int = 0) -> Iterator[tuple[bytes, int, int]]:
+    """suffix, prefix shared with the one before, base and number."""
+    at, last, size = 0, b"", calcsize(ENTRY)
     while at < len(data):
-        h, rest, count = data[at : at + 3]
-        last = last[:h] + data[at + 3 : at + 3 + rest]
-        at += 3 + rest
-        yield last, h, count
+        h, rest, number = unpack_from(ENTRY, data, at)
+        at += size
+        last = last[:h] + data[at : at + rest]
+        at += rest
+        yield last, h, base + number
 
 
 def merge_runs(runs: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[bytes, int, int]]:
@@ -174,65 +230,88 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[b
         best = i
 
 
-def _contents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, content) and the distinct texts (content, text, copies), bucketed by content."""
+def _contents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """Rows (id, content), and the name and path of a table of the distinct texts (content, text, copies), bucketed by content."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("content"), text.alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.groupBy("content").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    name = f"texts_{uuid.uuid4().hex}"
-    texts.repartition(parts, "content").write.bucketBy(parts, "content").option("path", scratch_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
-    return rows.select("id", "content"), spark.table(name)
+    name, path = f"texts_{uuid.uuid4().hex}", scratch_path(spark, "texts")
+    texts.repartition(parts, "content").write.bucketBy(parts, "content").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return rows.select("id", "content"), name, path
 
 
-def _suffixes(column: pa.Array, anchors: Anchors) -> Iterator[list[bytes]]:
-    for text in column.to_pylist():
-        data = text.encode()
-        yield [data[p : p + ANCHOR] for p in anchors(data)[0].tolist()]
+def _long(texts: DataFrame, kind: Kind) -> DataFrame:
+    """Texts that can hold a match: words have a byte at least and a space between them."""
+    return texts.where(f"octet_length(text) >= {kind.match if kind.unit == 1 else 2 * kind.match - 1}")
 
 
-def _splitters(texts: DataFrame, parts: int) -> list[bytes]:
-    """Range ends from the anchors of a bounded sample of texts."""
-    rows = texts.select("text", "content").where(f"octet_length(text) >= {MATCH}").select(F.substring("text", 1, 4000).alias("text"), "content").orderBy("content").limit(SAMPLE // 20).select("text").collect()
-    anchors = Anchors()
-    held = sorted(s for r in rows for s in next(_suffixes(pa.array([r["text"]]), anchors)))
-    return sorted({held[len(held) * k // parts] for k in range(1, parts)}) if held else []
-
+def _splitters(texts: DataFrame, kind: Kind, parts: int) -> list[bytes]:
+    """Range ends from EACH anchors of about SAMPLE texts that a hash picks, whatever the number of texts."""
 
-def _content_keys(suffix: bytes, values: np.ndarray, powers: np.ndarray) -> int:
-    return int(_mix((values[np.frombuffer(suffix, np.uint8)] * powers[:ANCHOR]).sum(dtype=np.uint64, keepdims=True))[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, read = Anchors(kind), kind.reader()
+        for batch in batches:
+            held = []
+            for text in batch.column(0).to_pylist():
+                data, values = read(text)
+                at = anchors(values)[0] * kind.unit
+                held += [data[p : p + kind.anchor * kind.unit] for p in at[:: max(1, len(at) // EACH)].tolist()]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["suffix"])
+
+    picked = thinned(_long(texts, kind).select("text", F.xxhash64("content").alias("o")), "o", SAMPLE)
+    held = sorted(r["suffix"] for r in picked.select("text").mapInArrow(run, "suffix binary").collect())
+    return sorted({held[len(held) * k // parts] for k in range(1, parts)}) if held else []
 
 
-def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """key: 64-bit contents of the anchors that occur at least twice."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = _splitters(texts, parts)
+def _sorted_runs(texts: DataFrame, kind: Kind) -> DataFrame:
+    """Rows of two sorts: part and run, a front-coded run of anchors with their counts; content, places and keys of a text's anchors (part is -1)."""
+    ends = _splitters(texts, kind, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fields = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("content", pa.binary()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def cut(counts: dict[bytes, int]) -> pa.RecordBatch:
         items = sorted(counts.items())
         at = [0, *(bisect_left(items, (e,)) for e in ends), len(items)]
-        rows = [(k, zstandard.compress(front_code(items[a:b]), 1)) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "run"])
+        rows = [{"part": k, "run": zstandard.compress(front_code(items[a:b]), 1)} for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        return pa.RecordBatch.from_pylist(rows, fields)
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, counts = Anchors(), {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, read, counts, size = Anchors(kind), kind.reader(), {}, kind.anchor * kind.unit
         for batch in batches:
-            for suffixes in _suffixes(batch.column(0), anchors):
-                for s in suffixes:
+            places, keys = [], []
+            for text in batch.column(1).to_pylist():
+                data, values = read(text)
+                at, own = anchors(values)
+                places.append(at)
+                keys.append(own.view(np.int64))
+                for p in (at * kind.unit).tolist():
+                    s = data[p : p + size]
                     counts[s] = counts.get(s, 0) + 1
                 if len(counts) >= RUN:
                     yield cut(counts)
                     counts = {}
+            n = len(places)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], schema=fields)
         if counts:
             yield cut(counts)
 
+    tune(texts.sparkSession)
+    return _long(texts, kind).select("content", "text").mapInArrow(run, "part int, run binary, content binary, places array<int>, keys array<bigint>")
+
+
+def repeated_anchors(runs: DataFrame, kind: Kind) -> DataFrame:
+    """key: 64-bit contents of the anchors that occur at least twice; neighbours in the merged order that have all in common."""
+    size = kind.anchor * kind.unit
+
     def merge(table):
-        values, powers = _values(), _powers(INVERSE, ANCHOR)
-        runs = [decode_run(zstandard.decompress(x)) for x in table.column("run").to_pylist()]
+        values = _values()
+        of = (lambda s: values[np.frombuffer(s, np.uint8)]) if kind.unit == 1 else (lambda s: _mix(np.frombuffer(s, ">u8").astype(np.uint64)) | np.uint64(1))
+        anchors = Anchors(kind)
         found, last, times = [], None, 0
-        for suffix, h, count in merge_runs(runs):
-            if h == ANCHOR:
+        for suffix, h, count in merge_runs([decode_run(zstandard.decompress(x)) for x in table.column("run").to_pylist()]):
+            if h == size:
                 times += count
             else:
                 if times > 1:
@@ -240,107 +319,203 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                 last, times = suffix, count
         if times > 1:
             found.append(last)
-        keys = np.array([_content_keys(s, values, powers) for s in found], np.uint64).view(np.int64)
+        keys = np.array([anchors.of_suffix(s, of(s)) for s in found], np.uint64).view(np.int64)
         return pa.table({"key": pa.array(keys, pa.int64())})
 
-    runs = texts.where(f"octet_length(text) >= {MATCH}").select("text").mapInArrow(sort, "part int, run binary")
-    return runs.groupBy("part").applyInArrow(merge, "key bigint")
+    return runs.where("part >= 0").select("part", "run").groupBy("part").applyInArrow(merge, "key bigint")
+
+
+def _digest(data: bytes, mark: int, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size, salt=mark.to_bytes(4, "little")).digest()
 
 
-def _all_anchors(texts: DataFrame) -> DataFrame:
-    """content, place, key of every anchor, as lists for each text."""
+def _entries(texts: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
+    """What asked, with content, place, x, y, cell, lists: each place's cell, surroundings and the offsets from x to y that its text has.
+
+    The surroundings are all bytes of windows with offsets x to y.  A null cell
+    is made from the bytes that all these windows have in common.
+    """
+    names = ["content", "place", "x", "y", "cell", "whole", "least", "most"]
 
     def make():
-        anchors = Anchors()
+        read, unit, match = kind.reader(), kind.unit, kind.match
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            places, keys = [], []
-            for text in batch.column(1).to_pylist():
-                at, own = anchors(text.encode())
-                places.append(at)
-                keys.append(own.view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["content", "places", "keys"])
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows = []
+            for content, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = read(text)[0]
+                n = len(data) // unit
+                for f in found:
+                    p, x, y, cell = f["place"], f["x"], f["y"], f["cell"]
+                    least, most = max(x, match - (n - p)), min(y, p)
+                    if least > most:
+                        continue
+                    if cell is None:
+                        cell = int.from_bytes(_digest(data[(p - x) * unit : (p + match - y) * unit], x, 8), "little", signed=True)
+                    # bytes before the anchor, then all: where the text ends tells surroundings apart
+                    a, b = max(0, p - y), min(n, p + match - x)
+                    rows.append((content, p, x, y, cell, _digest(data[a * unit : b * unit], (p - a) * 1024 + y, 16), least, most))
+            if not rows:
+                return None
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         return step
 
-    return arrow_map(texts.where(f"octet_length(text) >= {MATCH}").select("content", "text"), "content binary, places array<bigint>, keys array<bigint>", make)
+    listed = asked.groupBy("content").agg(F.collect_list(F.struct("place", "x", "y", "cell")).alias("found"))
+    return arrow_map(texts.select("content", "text").join(listed, "content"), "content binary, place int, x int, y int, cell bigint, whole binary, least int, most int", make)
 
 
-def _contexts(texts: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
-    """bucket and packed contexts: what can be in a window with the anchor."""
+def _packed(texts: DataFrame, entries: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+    """bucket and a packed, front-coded run of the suffixes at the entries' places with what is before them."""
 
     def make():
+        read, unit, match = kind.reader(), kind.unit, kind.match
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             dealt: dict[int, list] = {}
             for content, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
+                data = read(text)[0]
                 for f in found:
-                    p, key = f["place"], f["key"]
-                    left, right = min(p, LEFT), min(MATCH, len(data) - p)
-                    dealt.setdefault((key >> 20) % buckets, []).append((content, p, key, left, right, data[p - left : p + right]))
+                    p, x, y = f["place"], f["x"], f["y"]
+                    a = max(0, p - y) * unit
+                    dealt.setdefault(f["cell"] % buckets, []).append((data[p * unit : (p + match - x) * unit], data[a : p * unit], content, f["lo"], f["hi"], p, f["least"], f["most"], f["known"]))
             rows = []
             for bucket, items in dealt.items():
-                content, place, key, left, right, bytes_ = zip(*items, strict=True)
-                blob = b"".join([len(items).to_bytes(8, "little"), *content, np.array(place, "<i8").tobytes(), np.array(key, "<i8").tobytes(), np.array(left, "<i2").tobytes(), np.array(right, "<i2").tobytes(), *bytes_])
+                items.sort(key=lambda r: r[0])
+                suffixes, before, content, lo, hi, place, least, most, known = zip(*items, strict=True)
+                run = front_code([(s, k) for k, s in enumerate(suffixes)])
+                numbers = np.array([place, least, most, [len(b) for b in before], known], "<i4").tobytes()
+                blob = len(items).to_bytes(8, "little") + numbers + b"".join([*content, *lo, *hi, *before]) + run
                 rows.append((bucket, zstandard.compress(blob, 3)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
         return step
 
-    joined = texts.select("content", "text").join(candidates, "content")
-    return arrow_map(joined, "bucket int, data binary", make)
+    listed = entries.groupBy("content").agg(F.collect_list(F.struct("place", "x", "y", "cell", "lo", "hi", "least", "most", "known")).alias("found"))
+    return arrow_map(texts.select("content", "text").join(listed, "content"), "bucket int, data binary", make)
 
 
-def _covered(table):
-    """content, first, end: bytes that repeated windows around each anchor cover."""
-    owner: list[np.ndarray] = []
-    place, index, distinct, counts = [], [], {}, []
-    for blob in table.column("data").to_pylist():
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes], list]:
+    """Digests (content, lo, hi) and numbers (place, least, most, bytes before, known) of each entry, what is before it, and the runs."""
+    digests, numbers, before, runs, base = [], [], [], [], 0
+    for blob in blobs:
         data = zstandard.decompress(blob)
         n = int.from_bytes(data[:8], "little")
-        at = 8 + 16 * n
-        owner.append(np.frombuffer(data, np.uint8, 16 * n, 8).reshape(n, 16))
-        place.append(np.frombuffer(data, "<i8", n, at))
-        left = np.frombuffer(data, "<i2", n, at + 16 * n).tolist()
-        right = np.frombuffer(data, "<i2", n, at + 18 * n).tolist()
-        at += 20 * n
-        for x, y in zip(left, right, strict=True):
-            own = (x, data[at : at + x + y])
-            at += x + y
-            k = distinct.setdefault(own, len(counts))
-            if k == len(counts):
-                counts.append(0)
-            counts[k] += 1
-            index.append(k)
-    owner, place, index = np.concatenate(owner), np.concatenate(place), np.array(index)
-    m = len(counts)
-    left = np.array([x for x, _ in distinct], np.int64)
-    right = np.array([len(b) for _, b in distinct], np.int64) - left
-    raw = np.frombuffer(b"".join(b.rjust(LEFT + len(b) - x, b"\0").ljust(LEFT + MATCH, b"\0") for x, b in distinct), np.uint8).reshape(m, LEFT + MATCH)
-    values, powers = _values(), _powers(BASE, MATCH)
-    anchor = _mix((values[raw[:, LEFT : LEFT + ANCHOR]] * powers[:ANCHOR]).sum(axis=1, dtype=np.uint64))
-    several = np.array(counts) > 1
-    most, least = np.full(m, -1), np.full(m, MATCH)
-    base, top = np.uint64(BASE), powers[-1]
-    window = np.zeros(m, np.uint64)
-    for k in range(MATCH):
-        window += values[raw[:, LEFT + k]] * powers[k]
-    for offset in range(LEFT + 1):
-        if offset:
-            window = values[raw[:, LEFT - offset]] + base * (window - values[raw[:, LEFT + MATCH - offset]] * top)
-        ok = np.flatnonzero((offset <= left) & (MATCH - offset <= right))
-        key = _mix(window[ok]) ^ anchor[ok]
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = several[ok]
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hit = ok[twice]
-        most[hit] = offset
-        least[hit] = np.minimum(least[hit], offset)
-    good = (most >= 0)[index]
-    first, end = place[good] - most[index][good], place[good] - least[index][good] + MATCH
-    return pa.table({"content": pa.array([x.tobytes() for x in owner[good]], pa.binary()), "first": pa.array(first, pa.int64()), "end": pa.array(end, pa.int64())})
+        numbers.append(np.frombuffer(data, "<i4", 5 * n, 8).reshape(5, n))
+        at = 8 + 20 * n
+        digests.append(np.frombuffer(data, "V16", 3 * n, at).reshape(3, n))
+        at += 48 * n
+        for size in numbers[-1][3].tolist():
+            before.append(data[at : at + size])
+            at += size
+        runs.append(decode_run(data[at:], base))
+        base += n
+    return np.concatenate(digests, axis=1), np.concatenate(numbers, axis=1), before, runs
+
+
+def _classes_before(before: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of what is before the anchors, read backwards, and the bytes that each has in common with the one before it in that order."""
+    back = [b[::-1] for b in before]
+    order = sorted(range(len(back)), key=back.__getitem__)
+    size = np.array([len(back[k]) for k in order])
+    wide = max(1, int(size.max()))
+    rows = np.frombuffer(b"".join(back[k].ljust(wide, b"\0") for k in order), np.uint8).reshape(len(order), wide)
+    shared = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 4096):
+        apart = rows[at : at + 4096] != rows[at - 1 : at - 1 + len(rows[at : at + 4096])]
+        shared[at : at + len(apart)] = np.where(apart.any(axis=1), apart.argmax(axis=1), wide)
+    shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+    return np.array(order), shared
+
+
+def _compare(kind: Kind):
+    """content, first, end: symbols that repeated windows around each anchor cover, from the merged order of the suffixes."""
+
+    def compare(table):
+        digests, numbers, before, runs = _unpacked(table.column("data").to_pylist())
+        order, shared = [], []
+        for _, h, number in merge_runs(runs):
+            order.append(number)
+            shared.append(h)
+        m = len(order)
+        order, shared = np.array(order), np.array(shared) // kind.unit
+        digests, numbers = digests[:, order], numbers[:, order]
+        place, least, most, _, known = numbers
+        back, shared_back = _classes_before([before[k] for k in order.tolist()])
+        shared_back //= kind.unit
+        if kind.across:
+            held = np.unique(digests[1:], return_inverse=True)[1].reshape(2, m)
+        else:
+            # any two entries of a cell are two places; a known one repeats already
+            held = np.stack([np.arange(m), np.arange(m)])
+        lo, hi = held
+        last, first = np.full(m, -1), np.full(m, kind.match)
+        before_class = np.empty(m, np.int64)
+        for offset in range(int(least.min()), int(most.max()) + 1):
+            ok = np.flatnonzero((least <= offset) & (offset <= most))
+            if len(ok) < 2:
+                continue
+            after_class = np.cumsum(shared < kind.match - offset)
+            before_class[back] = np.cumsum(shared_back < offset)
+            code = after_class[ok] * (m + 1) + before_class[ok]
+            at = np.argsort(code, kind="stable")
+            code = code[at]
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            several = np.minimum.reduceat(lo[ok][at], starts) != np.maximum.reduceat(hi[ok][at], starts)
+            hit = ok[at][np.repeat(several, np.diff(np.append(starts, len(code))))]
+            last[hit] = offset
+            first[hit] = np.minimum(first[hit], offset)
+        good = np.flatnonzero((last >= 0) & (known == 0))
+        content = [x.tobytes() for x in digests[0][good]]
+        return pa.table({"content": pa.array(content, pa.binary()), "first": pa.array((place[good] - last[good]).astype(np.int64)), "end": pa.array((place[good] - first[good] + kind.match).astype(np.int64))})
+
+    return compare
+
+
+def covered_spans(texts: DataFrame, kind: Kind) -> DataFrame:
+    """content, first, end: symbols of each text that repeated windows cover, a span for each anchor among them."""
+    spark, scratch = texts.sparkSession, Scratch()
+    keep = lambda df, name, narrow=True: scratch(df, f"{kind.name}-{name}", narrow)
+
+    runs = keep(_sorted_runs(texts, kind), "sorted-runs", narrow=False)
+    keys = keep(repeated_anchors(runs, kind), "repeated-anchors", narrow=False)
+    anchors = runs.where("part < 0").select("content", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("content", F.col("a.places").alias("place"), F.col("a.keys").alias("cell"))
+    asked = keep(anchors.join(keys.withColumnRenamed("key", "cell"), "cell").select("content", "place", F.lit(0).alias("x"), F.lit(kind.left).alias("y"), "cell"), "candidates")
+    found = []
+    while True:
+        entries = keep(_entries(texts, asked, kind), "entries", narrow=False)
+        # places that are the same in all that is around them
+        same = entries.groupBy("cell", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("content", "place")).alias("one"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+        same = keep(same.withColumn("known", F.col("lo") != F.col("hi") if kind.across else F.col("n") > 1), "surroundings")
+        repeated = entries.join(same.where("known").select("cell", "whole"), ["cell", "whole"])
+        found.append(keep(repeated.select("content", (F.col("place") - F.col("most")).cast("bigint").alias("first"), (F.col("place") - F.col("least") + kind.match).cast("bigint").alias("end")), "repeated"))
+        # one place stands for those that are known; with the others it may match in part
+        ones = same.where("known").select("cell", "whole", F.col("one.content").alias("content"), F.col("one.place").alias("place"), "lo", "hi", F.lit(1).alias("known"))
+        alone = same.where("not known").select("cell", "whole", "lo", "hi")
+        # written first, so that the join below can deal out a cell with many rows
+        sizes = keep(same.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "cell-sizes")
+        left = entries.join(ones, ["cell", "whole", "content", "place"]).unionByName(entries.join(alone, ["cell", "whole"]).withColumn("known", F.lit(0)))
+        left = keep(left.join(sizes, "cell"), "to-compare")
+        large = (F.col("m") > CELL) & (F.col("x") < F.col("y"))
+        few, many = left.where(~large), left.where(large)
+        count = few.count()
+        if count:
+            pairs = _packed(texts, few, kind, max(1, -(-count // BUCKET))).groupBy("bucket").applyInArrow(_compare(kind), "content binary, first bigint, end bigint")
+            found.append(keep(pairs, "compared", narrow=False))
+        release(spark)
+        if many.isEmpty():
+            break
+        # large cells: parts of their offsets, of which each has a cell of its own
+        wide = F.ceil((F.col("y") - F.col("x") + 1) / PARTS).cast("int")
+        part = many.withColumn("wide", wide).withColumn("x", F.explode(F.sequence("x", "y", "wide"))).withColumn("y", F.least("y", F.col("x") + F.col("wide") - 1))
+        asked = keep(part.where("x <= most and y >= least").select("content", "place", "x", "y", F.lit(None).cast("bigint").alias("cell")).distinct(), "parts")
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    spans = stored(out.groupBy("content").agg(F.collect_list(F.struct("first", "end")).alias("spans")), f"{kind.name}-spans")
+    scratch.drop()
+    return spans
 
 
 def _removed(first: list[int], end: list[int]) -> list[tuple[int, int]]:
@@ -353,46 +528,80 @@ def _removed(first: list[int], end: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
-def _remaining(texts: DataFrame, covered: DataFrame, keep: bool) -> DataFrame:
+def _union(spans: list | None) -> list[tuple[int, int]]:
+    return _removed([s["first"] for s in spans or ()], [s["end"] for s in spans or ()])
+
+
+def _remaining(texts: DataFrame, covered: DataFrame, passages: DataFrame, keep: bool) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
-            for text, copies, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for text, copies, spans, words in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 data = text.encode()
-                cut = _removed([s["first"] for s in spans or ()], [s["end"] for s in spans or ()])
-                if copies > 1 and len(data) >= MATCH:
-                    cut = [(0, len(data))]
+                cut, told = _union(spans), sum(b - a for a, b in _union(words))
+                if copies > 1:
+                    if len(data) >= MATCH:
+                        cut = [(0, len(data))]
+                    n = len(data.split())
+                    told = n if n >= PASSAGE else told
                 at, kept = 0, []
                 for a, b in cut:
                     kept.append(data[at:a])
                     at = b
                 left = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(left), len(cut), hashlib.sha256(left).hexdigest(), left))
-            size, gone, spans, digest, left = zip(*out, strict=True)
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(digest, pa.string())]
+                out.append((len(data), len(data) - len(left), len(cut), hashlib.sha256(left).hexdigest(), told, left))
+            size, gone, spans, digest, told, left = zip(*out, strict=True)
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(digest, pa.string()), pa.array(told, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays + [pa.array(left, pa.binary())] * keep, names + ["kept"] * keep)
 
         return step
 
-    names = ["content", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    joined = texts.select("content", "text", "copies").join(covered, "content", "left").select("content", "text", "copies", "spans")
-    return arrow_map(joined, "content binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep, make)
+    names = ["content", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"]
+    joined = texts.select("content", "text", "copies").join(covered, "content", "left").join(passages.withColumnRenamed("spans", "words"), "content", "left")
+    return arrow_map(joined.select("content", "text", "copies", "spans", "words"), "content binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated_words bigint" + ", kept binary" * keep, make)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with keep also the bytes that are left."""
-    tune(docs.sparkSession)
-    rows, texts = _contents(docs, id_col, text_col)
-    keys = stored(repeated_anchors(texts), "repeated-anchors")
-    anchors = _all_anchors(texts).select("content", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("content", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
-    candidates = stored(anchors.join(keys, "key"), "candidates")
-    buckets = max(1, -(-candidates.count() // BUCKET))
-    listed = candidates.groupBy("content").agg(F.collect_list(F.struct("place", "key")).alias("found"))
-    covered = _contexts(texts, listed, buckets).groupBy("bucket").applyInArrow(_covered, "content binary, first bigint, end bigint")
-    covered = covered.groupBy("content").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    left = _remaining(texts, covered, keep)
-    return rows.join(left, "content").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep)
+    """id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words of each row; with keep also the bytes that are left.
+
+    n_repeated_words counts the words in passages of PASSAGE words or more that another document has too.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    rows, name, path = _contents(docs, id_col, text_col)
+    try:
+        texts = spark.table(name)
+        covered, passages = covered_spans(texts, BYTES), covered_spans(texts, WORDS)
+        left = stored(_remaining(texts, covered, passages, keep), "remaining")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        forget_path(spark, path)
+    forget(covered)
+    forget(passages)
+    return rows.join(left, "content").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words", *["kept"] * keep)
 
 
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pieces AS (SELECT r, k, n, substr(h, 800 * k + 1, 1600) AS h FROM (SELECT r, h, len(h) // 2 AS n, unnest(range(0, len(h) // 800)) AS k FROM texts) t),
+windows AS (SELECT r, 400 * k + j AS i, md5(substr(h, 2 * j + 1, 800)) AS d FROM (SELECT r, k, h, unnest(range(0, least(400, n - 400 * k - 399))) AS j FROM pieces) t),
+repeated AS (SELECT r, i FROM windows WHERE d IN (SELECT d FROM windows GROUP BY d HAVING count(*) > 1)),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+        SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM repeated) t) u GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT g.r, count(*) AS n_spans, sum(b - a) AS n_removed, concat(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), substr(max(h), 2 * max(b) + 1)) AS h
+        FROM gaps g JOIN texts t ON t.r = g.r GROUP BY g.r),
+passages AS (SELECT r, i, md5(array_to_string(w[i:i + 50], ' ')) AS d FROM (SELECT r, w, unnest(range(1, len(w) - 49)) AS i FROM texts) t),
+elsewhere AS (SELECT r, i FROM passages WHERE d IN (SELECT d FROM passages GROUP BY d HAVING min(r) <> max(r))),
+told AS (SELECT r, count(DISTINCT i + k) AS n FROM elsewhere, range(0, 51) AS e(k) GROUP BY r)
+SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       CASE WHEN c.r IS NULL THEN sha256(t.text) ELSE sha256(unhex(c.h)) END AS kept_sha256, coalesce(o.n, 0) AS n_repeated_words
+FROM texts t LEFT JOIN cut c ON c.r = t.r LEFT JOIN told o ON o.r = t.r
+"""
