@@ -481,7 +481,9 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, id_col:
     release(spark)
     sketches = nodes.where("sketch is not null").select("id", "n", "sketch").dropDuplicates(["id"])
     parts = F.pmod("run", F.lit(max(8, 4 * buckets))).alias("part")
-    unsplit = runs.join(runs.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")), "run")
+    # written first, so that the join below can deal out the members of a large run
+    sizes = keep(runs.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")), "run-sizes", narrow=True)
+    unsplit = runs.join(sizes, "run")
     parted = unsplit.where(F.col("size") <= LARGE).join(sketches, "id").groupBy(parts).applyInArrow(_split_runs(num, den), "run bigint, first bigint, id bigint").distinct()
     unsplit, runs = runs, keep(parted.unionByName(unsplit.where(F.col("size") > LARGE).select("run", "first", "id")), "set-runs")
     keep.drop(unsplit)
