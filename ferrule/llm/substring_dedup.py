@@ -40,9 +40,9 @@ from __future__ import annotations
 import hashlib
 import uuid
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from struct import calcsize, pack, unpack_from
 
 import numpy as np
 import pyarrow as pa
@@ -50,18 +50,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, documents, forget, forget_path, release, scratch_path, stored, thinned, tune
+from .common import Scratch, arrow_map, documents, forget, forget_path, release, scratch_path, stored, text_bytes, thinned, tune
 from .words import BASE, INVERSE, WordHashes, powers
 
 MATCH, ANCHOR = 400, 64
 #: Words of a passage, and of its anchors.
 PASSAGE, GRAM = 51, 8
 #: Window starts handled at once, suffixes of a run, texts and anchors of each in a splitter sample.
-SEGMENT, RUN, SAMPLE, EACH = 1 << 19, 200_000, 1000, 20
+SEGMENT, RUN, SAMPLE, EACH = 1 << 16, 200_000, 1000, 20
 #: Surroundings that a task compares at once on average, those of one cell at most, parts that a larger cell's offsets are cut into.
 BUCKET, CELL, PARTS = 20_000, 20_000, 8
-#: Shared prefix, rest and number of an entry of a run.
-ENTRY = "<HHI"
+#: Suffixes that a task sorts at once before they are exchanged.
+PACK = 50_000
 
 
 @dataclass(frozen=True)
@@ -80,22 +80,19 @@ class Kind:
         return self.match - self.anchor
 
     def reader(self):
-        """A function that gives a text's symbols as bytes, and as numbers to hash."""
-        if self.unit == 1:
-            table = _values()
+        """A function that gives the symbols of a column of texts as bytes, one text after the other, and where each text begins and the last one ends."""
+        words = WordHashes() if self.unit > 1 else None
 
-            def read(text: str) -> tuple[bytes, np.ndarray]:
-                data = text.encode()
-                return data, table[np.frombuffer(data, np.uint8)]
-
-            return read
-        words = WordHashes()
-
-        def read_words(text: str) -> tuple[bytes, np.ndarray]:
-            own = words(text.encode())
-            return own.astype(">u8").tobytes(), _mix(own) | np.uint64(1)
+        def read(column: pa.Array) -> tuple[bytes, np.ndarray]:
+            texts = text_bytes(column)
+            if words is None:
+                data, sizes = b"".join(texts), [len(x) for x in texts]
+            else:
+                own, sizes = words.many(texts)
+                data = own.astype(">u8").tobytes()
+            return data, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
 
-        return read_words
+        return read
 
 
 BYTES, WORDS = Kind("bytes", 1, MATCH, ANCHOR, False), Kind("words", 8, PASSAGE, GRAM, True)
@@ -111,16 +108,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Finds a text's anchors."""
+    """Finds the anchors of texts."""
 
     def __init__(self, kind: Kind):
-        self.kind = kind
+        self.kind, self.table = kind, _values()
         size = SEGMENT + 2 * kind.match
         self.up, self.down = powers(BASE, size), powers(INVERSE, size)
 
-    def _segment(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, data: bytes) -> np.ndarray:
+        if self.kind.unit == 1:
+            return self.table[np.frombuffer(data, np.uint8)]
+        return _mix(np.frombuffer(data, ">u8").astype(np.uint64)) | np.uint64(1)
+
+    def _segment(self, values: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, w, size = len(values), self.kind.left + 1, self.kind.anchor
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.down[:n], dtype=np.uint64)])
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values * self.down[:n], dtype=np.uint64, out=sums[1:])
         content = _mix((sums[size:] - sums[:-size]) * self.up[: n - size + 1])
         m = len(content)
         key = (content & ~np.uint64(0xFFFFF)) | np.arange(m, dtype=np.uint64)
@@ -129,54 +133,87 @@ class Anchors:
         blocks = padded.reshape(-1, w)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
-        at = np.unique((low & np.uint64(0xFFFFF)).astype(np.int64))
+        low = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])[within[: m - w + 1]]
+        # the lowest place never moves back from one window to the next
+        at = _once((low & np.uint64(0xFFFFF)).astype(np.int64))
         return at, content[at]
 
-    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and 64-bit contents of the anchors."""
-        parts, match = [], self.kind.match
-        for start in range(0, max(0, len(values) - match + 1), SEGMENT):
-            at, content = self._segment(values[start : start + SEGMENT + match - 1])
-            parts.append((at + start, content))
+    def __call__(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among all symbols, and 64-bit contents, of the anchors of all windows that lie in one text."""
+        parts, match, unit = [], self.kind.match, self.kind.unit
+        sizes = np.diff(starts)
+        windows = np.maximum(sizes - match + 1, 0)
+        within = np.repeat(np.tile([True, False], len(sizes)), np.stack([windows, sizes - windows], axis=1).ravel())
+        for start in range(0, max(0, len(within) - match + 1), SEGMENT):
+            own = within[start : start + SEGMENT]
+            if own.any():
+                at, content = self._segment(self._numbers(data[start * unit : (start + SEGMENT + match - 1) * unit]), own)
+                parts.append((at + start, content))
         if not parts:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         at, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at, once = np.unique(at, return_index=True)
-        return at, content[once]
-
-    def of_suffix(self, suffix: bytes, values: np.ndarray) -> int:
-        """The 64-bit content that an anchor of these symbols has."""
-        return int(_mix((values * self.down[: len(values)]).sum(dtype=np.uint64, keepdims=True))[0])
+        first = np.concatenate([[True], at[1:] != at[:-1]])
+        return at[first], content[first]
+
+    def of_suffixes(self, suffixes: list[bytes]) -> np.ndarray:
+        """The 64-bit contents that anchors of these symbols have."""
+        values = self._numbers(b"".join(suffixes)).reshape(len(suffixes), self.kind.anchor)
+        return _mix((values * self.down[: self.kind.anchor]).sum(axis=1, dtype=np.uint64))
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Without what equals the one before it."""
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
+def shared_prefixes(items: list[bytes]) -> np.ndarray:
+    """Length of the prefix that each has in common with the one before it; none for the first."""
+    out = np.zeros(len(items), np.int64)
+    if len(items) < 2:
+        return out
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    wide = max(8, -(-int(size.max()) // 8) * 8)
+    for at in range(1, len(items), 4096):
+        held = items[at - 1 : at + 4096]
+        octets = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in held]), np.uint8).reshape(len(held), -1, 8)
+        eights = octets.view(np.uint64)[:, :, 0]
+        apart = eights[1:] != eights[:-1]
+        rows, first = np.arange(len(apart)), apart.argmax(axis=1)
+        inside = (octets[1:][rows, first] != octets[:-1][rows, first]).argmax(axis=1)
+        out[at : at + len(apart)] = np.where(apart[rows, first], 8 * first + inside, wide)
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
+    return out
 
 
 def front_code(items: list[tuple[bytes, int]]) -> bytes:
-    """Sorted suffixes with a number each, each after the prefix that it shares with the one before."""
-    out, last = bytearray(), b""
-    for suffix, number in items:
-        h = common(last, suffix, 0)
-        out += pack(ENTRY, h, len(suffix) - h, number)
-        out += suffix[h:]
-        last = suffix
-    return bytes(out)
+    """Sorted suffixes with a number each, each after the prefix that it shares with the one before: prefixes, rests, numbers, bytes."""
+    suffixes = [x[0] for x in items]
+    shared = shared_prefixes(suffixes)
+    rest = np.array([len(x) for x in suffixes], np.int64) - shared
+    numbers = np.array([x[1] for x in items], "<u4")
+    return b"".join([len(items).to_bytes(4, "little"), np.array([shared, rest]).astype("<u2").tobytes(), numbers.tobytes(), *[x[h:] for x, h in zip(suffixes, shared.tolist(), strict=True)]])
 
 
 def common(a: bytes, b: bytes, h: int) -> int:
     """Length of the common prefix, of which h bytes are known."""
     n = min(len(a), len(b))
-    while h + 32 <= n and a[h : h + 32] == b[h : h + 32]:
+    while h < n:
+        x, y = a[h : h + 32], b[h : h + 32]
+        if x != y:
+            size = min(len(x), len(y))
+            apart = int.from_bytes(x[:size]) ^ int.from_bytes(y[:size])
+            return h + size - (apart.bit_length() + 7) // 8
         h += 32
-    while h < n and a[h] == b[h]:
-        h += 1
-    return h
+    return n
 
 
 def decode_run(data: bytes, base: int = 0) -> Iterator[tuple[bytes, int, int]]:
     """suffix, prefix shared with the one before, base and number."""
-    at, last, size = 0, b"", calcsize(ENTRY)
-    while at < len(data):
-        h, rest, number = unpack_from(ENTRY, data, at)
-        at += size
+    n = int.from_bytes(data[:4], "little")
+    shared, rests = np.frombuffer(data, "<u2", 2 * n, 4).reshape(2, n).tolist()
+    numbers = np.frombuffer(data, "<u4", n, 4 + 4 * n).tolist()
+    at, last = 4 + 8 * n, b""
+    for h, rest, number in zip(shared, rests, numbers, strict=True):
         last = last[:h] + data[at : at + rest]
         at += rest
         yield last, h, base + number
@@ -188,46 +225,51 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[b
     Every loser knows how long a prefix it shares with the winner that beat it.
     A new item of the winner's run shares a known prefix with that winner too:
     the longer of the two lengths wins without looking at a byte, and only equal
-    lengths are compared, from that length on.
+    lengths are compared, from that length on.  A run at its end has length -1.
     """
     size = 1
     while size < len(runs):
         size *= 2
     heads: list[tuple[bytes, int, int] | None] = [next(r, None) for r in runs] + [None] * (size - len(runs))
+    tops = [b"" if x is None else x[0] for x in heads]
     loser, length = [0] * size, [0] * size
 
-    def play(i: int, hi: int, j: int, hj: int) -> tuple[int, int, int, int]:
-        """Winner, its length, loser, its length; lengths count from the same last winner."""
-        if heads[i] is None or heads[j] is None:
-            return (j, hj, i, 0) if heads[i] is None else (i, hi, j, 0)
-        if hi != hj:
-            return (i, hi, j, hj) if hi > hj else (j, hj, i, hi)
-        a, b = heads[i][0], heads[j][0]
-        h = common(a, b, hi)
-        if h == min(len(a), len(b)):
-            first = (len(a), i) <= (len(b), j)
-        else:
-            first = a[h] < b[h]
-        return (i, hi, j, h) if first else (j, hj, i, h)
+    def compare(i: int, j: int, h: int) -> tuple[bool, int]:
+        """Whether i's head comes first, and the prefix that the heads have in common, of which h bytes are known."""
+        a, b = tops[i], tops[j]
+        h = common(a, b, h)
+        return ((len(a), i) <= (len(b), j) if h == min(len(a), len(b)) else a[h] < b[h]), h
 
     def build(node: int) -> tuple[int, int]:
         if node >= size:
-            return node - size, 0
+            return node - size, -1 if heads[node - size] is None else 0
         (i, hi), (j, hj) = build(2 * node), build(2 * node + 1)
-        best, h, loser[node], length[node] = play(i, hi, j, hj)
-        return best, h
-
-    best, h = build(1)
-    while heads[best] is not None:
-        suffix, _, count = heads[best]
-        yield suffix, h, count
-        heads[best] = next(runs[best], None)
-        i, h = best, heads[best][1] if heads[best] is not None else 0
-        node = (i + size) // 2
+        first, length[node] = compare(i, j, hi) if hi == hj >= 0 else (hi >= hj, min(hi, hj))
+        loser[node] = j if first else i
+        return (i, hi) if first else (j, hj)
+
+    i, h = build(1)
+    while heads[i] is not None:
+        yield tops[i], h, heads[i][2]
+        heads[i] = head = next(runs[i], None)
+        top, h = (b"", -1) if head is None else head[:2]
+        tops[i] = top
+        node = (i + size) >> 1
         while node:
-            i, h, loser[node], length[node] = play(i, h, loser[node], length[node])
-            node //= 2
-        best = i
+            other = length[node]
+            if h < other:
+                loser[node], i = i, loser[node]
+                length[node], h, top = h, other, tops[i]
+            elif h == other and h >= 0:
+                j = loser[node]
+                x, y = top[h : h + 1], tops[j][h : h + 1]
+                if x == y:
+                    first, length[node] = compare(i, j, h)
+                else:
+                    first = x < y
+                if not first:
+                    loser[node], i, top = i, j, tops[j]
+            node >>= 1
 
 
 def _contents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
@@ -251,13 +293,11 @@ def _splitters(texts: DataFrame, kind: Kind, parts: int) -> list[bytes]:
     """Range ends from EACH anchors of about SAMPLE texts that a hash picks, whatever the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, read = Anchors(kind), kind.reader()
+        anchors, read, size = Anchors(kind), kind.reader(), kind.anchor * kind.unit
         for batch in batches:
-            held = []
-            for text in batch.column(0).to_pylist():
-                data, values = read(text)
-                at = anchors(values)[0] * kind.unit
-                held += [data[p : p + kind.anchor * kind.unit] for p in at[:: max(1, len(at) // EACH)].tolist()]
+            data, starts = read(batch.column(0))
+            at = anchors(data, starts)[0]
+            held = [data[p : p + size] for own in np.split(at * kind.unit, np.searchsorted(at, starts[1:-1])) for p in own[:: max(1, len(own) // EACH)].tolist()]
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["suffix"])
 
@@ -272,28 +312,24 @@ def _sorted_runs(texts: DataFrame, kind: Kind) -> DataFrame:
     fields = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("content", pa.binary()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def cut(counts: dict[bytes, int]) -> pa.RecordBatch:
-        items = sorted(counts.items())
-        at = [0, *(bisect_left(items, (e,)) for e in ends), len(items)]
-        rows = [{"part": k, "run": zstandard.compress(front_code(items[a:b]), 1)} for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        suffixes = sorted(counts)
+        at = [0, *(bisect_left(suffixes, e) for e in ends), len(suffixes)]
+        rows = [{"part": k, "run": zstandard.compress(front_code([(s, counts[s]) for s in suffixes[a:b]]), 1)} for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         return pa.RecordBatch.from_pylist(rows, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, read, counts, size = Anchors(kind), kind.reader(), {}, kind.anchor * kind.unit
+        anchors, read, counts, size = Anchors(kind), kind.reader(), Counter(), kind.anchor * kind.unit
         for batch in batches:
-            places, keys = [], []
-            for text in batch.column(1).to_pylist():
-                data, values = read(text)
-                at, own = anchors(values)
-                places.append(at)
-                keys.append(own.view(np.int64))
-                for p in (at * kind.unit).tolist():
-                    s = data[p : p + size]
-                    counts[s] = counts.get(s, 0) + 1
-                if len(counts) >= RUN:
-                    yield cut(counts)
-                    counts = {}
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], schema=fields)
+            data, starts = read(batch.column(1))
+            at, own = anchors(data, starts)
+            counts.update([data[p : p + size] for p in (at * kind.unit).tolist()])
+            if len(counts) >= RUN:
+                yield cut(counts)
+                counts = Counter()
+            n, each = batch.num_rows, pa.array(np.searchsorted(at, starts).astype(np.int32))
+            places = (at - starts[np.searchsorted(starts, at, "right") - 1]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(each, pa.array(x)) for x in (places, own.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), batch.column(0), *lists], schema=fields)
         if counts:
             yield cut(counts)
 
@@ -306,9 +342,6 @@ def repeated_anchors(runs: DataFrame, kind: Kind) -> DataFrame:
     size = kind.anchor * kind.unit
 
     def merge(table):
-        values = _values()
-        of = (lambda s: values[np.frombuffer(s, np.uint8)]) if kind.unit == 1 else (lambda s: _mix(np.frombuffer(s, ">u8").astype(np.uint64)) | np.uint64(1))
-        anchors = Anchors(kind)
         found, last, times = [], None, 0
         for suffix, h, count in merge_runs([decode_run(zstandard.decompress(x)) for x in table.column("run").to_pylist()]):
             if h == size:
@@ -319,8 +352,7 @@ def repeated_anchors(runs: DataFrame, kind: Kind) -> DataFrame:
                 last, times = suffix, count
         if times > 1:
             found.append(last)
-        keys = np.array([anchors.of_suffix(s, of(s)) for s in found], np.uint64).view(np.int64)
-        return pa.table({"key": pa.array(keys, pa.int64())})
+        return pa.table({"key": pa.array(Anchors(kind).of_suffixes(found).view(np.int64), pa.int64())})
 
     return runs.where("part >= 0").select("part", "run").groupBy("part").applyInArrow(merge, "key bigint")
 
@@ -329,6 +361,12 @@ def _digest(data: bytes, mark: int, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size, salt=mark.to_bytes(4, "little")).digest()
 
 
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each item of a column of lists, and the items; a null list has none."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
 def _entries(texts: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
     """What asked, with content, place, x, y, cell, lists: each place's cell, surroundings and the offsets from x to y that its text has.
 
@@ -341,24 +379,28 @@ def _entries(texts: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
         read, unit, match = kind.reader(), kind.unit, kind.match
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = []
-            for content, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = read(text)[0]
-                n = len(data) // unit
-                for f in found:
-                    p, x, y, cell = f["place"], f["x"], f["y"], f["cell"]
-                    least, most = max(x, match - (n - p)), min(y, p)
-                    if least > most:
-                        continue
-                    if cell is None:
-                        cell = int.from_bytes(_digest(data[(p - x) * unit : (p + match - y) * unit], x, 8), "little", signed=True)
-                    # bytes before the anchor, then all: where the text ends tells surroundings apart
-                    a, b = max(0, p - y), min(n, p + match - x)
-                    rows.append((content, p, x, y, cell, _digest(data[a * unit : b * unit], (p - a) * 1024 + y, 16), least, most))
-            if not rows:
+            data, starts = read(batch.column(1))
+            row, found = _listed(batch.column(2))
+            p, x, y = (found.field(k).to_numpy().astype(np.int64) for k in ("place", "x", "y"))
+            n = np.diff(starts)[row]
+            least, most = np.maximum(x, match - (n - p)), np.minimum(y, p)
+            good = np.flatnonzero(least <= most)
+            if not len(good):
                 return None
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            row, p, x, y, n, least, most = (v[good] for v in (row, p, x, y, n, least, most))
+            cell, base = found.field("cell").take(pa.array(good)), starts[row]
+            if cell.null_count:
+                cells = cell.to_pylist()
+                for k in np.flatnonzero(cell.is_null().to_numpy(zero_copy_only=False)).tolist():
+                    a, b = (base[k] + p[k] - x[k]) * unit, (base[k] + p[k] + match - y[k]) * unit
+                    cells[k] = int.from_bytes(_digest(data[a:b], int(x[k]), 8), "little", signed=True)
+                cell = pa.array(cells, pa.int64())
+            # bytes before the anchor, then all: where the text ends tells surroundings apart
+            a, b = np.maximum(0, p - y), np.minimum(n, p + match - x)
+            marks = ((p - a) * 1024 + y).tolist()
+            whole = [_digest(data[i:j], mark, 16) for i, j, mark in zip(((base + a) * unit).tolist(), ((base + b) * unit).tolist(), marks, strict=True)]
+            place, x, y, least, most = (pa.array(v.astype(np.int32)) for v in (p, x, y, least, most))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), place, x, y, cell, pa.array(whole, pa.binary()), least, most], names)
 
         return step
 
@@ -369,43 +411,54 @@ def _entries(texts: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
 def _packed(texts: DataFrame, entries: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     """bucket and a packed, front-coded run of the suffixes at the entries' places with what is before them."""
 
-    def make():
-        read, unit, match = kind.reader(), kind.unit, kind.match
+    digests = ["content", "lo", "hi"] if kind.across else ["content"]
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            dealt: dict[int, list] = {}
-            for content, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = read(text)[0]
-                for f in found:
-                    p, x, y = f["place"], f["x"], f["y"]
-                    a = max(0, p - y) * unit
-                    dealt.setdefault(f["cell"] % buckets, []).append((data[p * unit : (p + match - x) * unit], data[a : p * unit], content, f["lo"], f["hi"], p, f["least"], f["most"], f["known"]))
-            rows = []
-            for bucket, items in dealt.items():
-                items.sort(key=lambda r: r[0])
-                suffixes, before, content, lo, hi, place, least, most, known = zip(*items, strict=True)
-                run = front_code([(s, k) for k, s in enumerate(suffixes)])
-                numbers = np.array([place, least, most, [len(b) for b in before], known], "<i4").tobytes()
-                blob = len(items).to_bytes(8, "little") + numbers + b"".join([*content, *lo, *hi, *before]) + run
-                rows.append((bucket, zstandard.compress(blob, 3)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, unit, match = kind.reader(), kind.unit, kind.match
+        suffixes, before, held = [], [], []
+
+        def cut() -> pa.RecordBatch:
+            numbers, dealt = np.concatenate([x[0] for x in held], axis=1), np.concatenate([x[1] for x in held])
+            told = [np.concatenate(x) for x in zip(*(x[2] for x in held), strict=True)]
+            rows, order = [], np.argsort(dealt, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1):
+                own = sorted(own.tolist(), key=suffixes.__getitem__)
+                code = front_code([(suffixes[i], k) for k, i in enumerate(own)])
+                blob = [len(own).to_bytes(8, "little"), numbers[:, own].tobytes(), *(x[own].tobytes() for x in told), *[before[i] for i in own], code]
+                rows.append((int(dealt[own[0]]), zstandard.compress(b"".join(blob), 3)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
-        return step
+        for batch in batches:
+            data, starts = read(batch.column(1))
+            row, found = _listed(batch.column(2))
+            p, x, y, least, most, known = (found.field(k).to_numpy().astype(np.int64) for k in ("place", "x", "y", "least", "most", "known"))
+            first, a = starts[row] + p, np.maximum(0, p - y)
+            at, begin = (first * unit).tolist(), ((starts[row] + a) * unit).tolist()
+            suffixes += [data[i:j] for i, j in zip(at, (np.minimum(first + match - x, starts[row + 1]) * unit).tolist(), strict=True)]
+            before += [data[i:j] for i, j in zip(begin, at, strict=True)]
+            told = [batch.column(0).take(pa.array(row)), *(found.field(k) for k in digests[1:])]
+            held.append((np.array([p, least, most, (p - a) * unit, known]).astype("<i4"), found.field("cell").to_numpy() % buckets, [np.frombuffer(b"".join(x.to_pylist()), "V16") for x in told]))
+            if len(suffixes) >= PACK:
+                yield cut()
+                suffixes, before, held = [], [], []
+        if suffixes:
+            yield cut()
 
-    listed = entries.groupBy("content").agg(F.collect_list(F.struct("place", "x", "y", "cell", "lo", "hi", "least", "most", "known")).alias("found"))
-    return arrow_map(texts.select("content", "text").join(listed, "content"), "bucket int, data binary", make)
+    tune(texts.sparkSession)
+    listed = entries.groupBy("content").agg(F.collect_list(F.struct("place", "x", "y", "cell", *digests[1:], "least", "most", "known")).alias("found"))
+    return texts.select("content", "text").join(listed, "content").mapInArrow(run, "bucket int, data binary")
 
 
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes], list]:
-    """Digests (content, lo, hi) and numbers (place, least, most, bytes before, known) of each entry, what is before it, and the runs."""
+def _unpacked(blobs: list[bytes], told: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list]:
+    """As many digests as told (content, lo, hi) and numbers (place, least, most, bytes before, known) of each entry, what is before it, and the runs."""
     digests, numbers, before, runs, base = [], [], [], [], 0
     for blob in blobs:
         data = zstandard.decompress(blob)
         n = int.from_bytes(data[:8], "little")
         numbers.append(np.frombuffer(data, "<i4", 5 * n, 8).reshape(5, n))
         at = 8 + 20 * n
-        digests.append(np.frombuffer(data, "V16", 3 * n, at).reshape(3, n))
-        at += 48 * n
+        digests.append(np.frombuffer(data, "V16", told * n, at).reshape(told, n))
+        at += 16 * told * n
         for size in numbers[-1][3].tolist():
             before.append(data[at : at + size])
             at += size
@@ -418,22 +471,14 @@ def _classes_before(before: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The order of what is before the anchors, read backwards, and the bytes that each has in common with the one before it in that order."""
     back = [b[::-1] for b in before]
     order = sorted(range(len(back)), key=back.__getitem__)
-    size = np.array([len(back[k]) for k in order])
-    wide = max(1, int(size.max()))
-    rows = np.frombuffer(b"".join(back[k].ljust(wide, b"\0") for k in order), np.uint8).reshape(len(order), wide)
-    shared = np.zeros(len(order), np.int64)
-    for at in range(1, len(order), 4096):
-        apart = rows[at : at + 4096] != rows[at - 1 : at - 1 + len(rows[at : at + 4096])]
-        shared[at : at + len(apart)] = np.where(apart.any(axis=1), apart.argmax(axis=1), wide)
-    shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
-    return np.array(order), shared
+    return np.array(order), shared_prefixes([back[k] for k in order])
 
 
 def _compare(kind: Kind):
     """content, first, end: symbols that repeated windows around each anchor cover, from the merged order of the suffixes."""
 
     def compare(table):
-        digests, numbers, before, runs = _unpacked(table.column("data").to_pylist())
+        digests, numbers, before, runs = _unpacked(table.column("data").to_pylist(), 3 if kind.across else 1)
         order, shared = [], []
         for _, h, number in merge_runs(runs):
             order.append(number)
@@ -451,13 +496,17 @@ def _compare(kind: Kind):
             held = np.stack([np.arange(m), np.arange(m)])
         lo, hi = held
         last, first = np.full(m, -1), np.full(m, kind.match)
-        before_class = np.empty(m, np.int64)
+        before_class, paired = np.empty(m, np.int64), np.empty(m, bool)
         for offset in range(int(least.min()), int(most.max()) + 1):
-            ok = np.flatnonzero((least <= offset) & (offset <= most))
+            # only what agrees with a neighbour to both sides can agree with another entry
+            after, ahead = shared >= kind.match - offset, shared_back >= offset
+            after[0] = ahead[0] = False
+            paired[back] = ahead | np.append(ahead[1:], False)
+            ok = np.flatnonzero(paired & (after | np.append(after[1:], False)) & (least <= offset) & (offset <= most))
             if len(ok) < 2:
                 continue
-            after_class = np.cumsum(shared < kind.match - offset)
-            before_class[back] = np.cumsum(shared_back < offset)
+            after_class = np.cumsum(~after)
+            before_class[back] = np.cumsum(~ahead)
             code = after_class[ok] * (m + 1) + before_class[ok]
             at = np.argsort(code, kind="stable")
             code = code[at]
@@ -482,20 +531,19 @@ def covered_spans(texts: DataFrame, kind: Kind) -> DataFrame:
     keys = keep(repeated_anchors(runs, kind), "repeated-anchors", narrow=False)
     anchors = runs.where("part < 0").select("content", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("content", F.col("a.places").alias("place"), F.col("a.keys").alias("cell"))
     asked = keep(anchors.join(keys.withColumnRenamed("key", "cell"), "cell").select("content", "place", F.lit(0).alias("x"), F.lit(kind.left).alias("y"), "cell"), "candidates")
-    found = []
+    found, holders = [], ["lo", "hi"] if kind.across else []
     while True:
         entries = keep(_entries(texts, asked, kind), "entries", narrow=False)
         # places that are the same in all that is around them
-        same = entries.groupBy("cell", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("content", "place")).alias("one"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+        bounds = [f("content").alias(k) for f, k in zip((F.min, F.max), holders, strict=False)]
+        same = entries.groupBy("cell", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("content", "place")).alias("one"), *bounds)
         same = keep(same.withColumn("known", F.col("lo") != F.col("hi") if kind.across else F.col("n") > 1), "surroundings")
-        repeated = entries.join(same.where("known").select("cell", "whole"), ["cell", "whole"])
-        found.append(keep(repeated.select("content", (F.col("place") - F.col("most")).cast("bigint").alias("first"), (F.col("place") - F.col("least") + kind.match).cast("bigint").alias("end")), "repeated"))
-        # one place stands for those that are known; with the others it may match in part
-        ones = same.where("known").select("cell", "whole", F.col("one.content").alias("content"), F.col("one.place").alias("place"), "lo", "hi", F.lit(1).alias("known"))
-        alone = same.where("not known").select("cell", "whole", "lo", "hi")
+        placed = keep(entries.join(same.select("cell", "whole", "one", "known", *holders), ["cell", "whole"]).withColumn("first", F.struct("content", "place") == F.col("one")).drop("whole", "one"), "placed")
+        found.append(placed.where("known").select("content", (F.col("place") - F.col("most")).cast("bigint").alias("first"), (F.col("place") - F.col("least") + kind.match).cast("bigint").alias("end")))
         # written first, so that the join below can deal out a cell with many rows
         sizes = keep(same.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "cell-sizes")
-        left = entries.join(ones, ["cell", "whole", "content", "place"]).unionByName(entries.join(alone, ["cell", "whole"]).withColumn("known", F.lit(0)))
+        # one place stands for those that are known, as with the others it may match in part; the others all stay
+        left = placed.where("first or not known").withColumn("known", F.col("known").cast("int")).drop("first")
         left = keep(left.join(sizes, "cell"), "to-compare")
         large = (F.col("m") > CELL) & (F.col("x") < F.col("y"))
         few, many = left.where(~large), left.where(large)
@@ -528,17 +576,20 @@ def _removed(first: list[int], end: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
-def _union(spans: list | None) -> list[tuple[int, int]]:
-    return _removed([s["first"] for s in spans or ()], [s["end"] for s in spans or ()])
+def _spans(column: pa.ListArray) -> list[tuple[list[int], list[int]]]:
+    """Where the spans of each row begin and end."""
+    row, spans = _listed(column)
+    first, end = (spans.field(k).to_pylist() for k in ("first", "end"))
+    at = np.searchsorted(row, np.arange(len(column) + 1)).tolist()
+    return [(first[a:b], end[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 def _remaining(texts: DataFrame, covered: DataFrame, passages: DataFrame, keep: bool) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[tuple] = []
-            for text, copies, spans, words in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                data = text.encode()
-                cut, told = _union(spans), sum(b - a for a, b in _union(words))
+            for data, copies, spans, words in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), _spans(batch.column(3)), _spans(batch.column(4)), strict=True):
+                cut, told = _removed(*spans), sum(b - a for a, b in _removed(*words))
                 if copies > 1:
                     if len(data) >= MATCH:
                         cut = [(0, len(data))]

@@ -8,9 +8,10 @@ import zlib
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ferrule.llm import bpe, class_lm, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_tables, url_filter
+from ferrule.llm import bpe, class_lm, common, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_tables, url_filter
 
 DATA = "/root/testdata/sf0.001"
 #: The columns of documents, and some that operators use names like for columns of their own.
@@ -382,6 +383,64 @@ def test_substring_dedup_splits_common_passages(spark, monkeypatch, cell, parts)
     assert collections.Counter(map(tuple, got.collect())) == removable(rows)
 
 
+def test_substring_dedup_in_small_batches(spark, monkeypatch):
+    """Texts that many Arrow batches hold, suffixes packed and windows read a few at a time."""
+    monkeypatch.setattr(common, "BATCH_ROWS", 4)
+    for name, value in (("PACK", 15), ("SEGMENT", 90), ("BUCKET", 25)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    random.seed(12)
+    some = lambda n: " ".join("".join(random.choice("abcé") for _ in range(random.randint(1, 7))) for _ in range(n))
+    shared = [some(120) for _ in range(4)]
+    texts = [some(random.randint(0, 90)) + " " + random.choice(shared)[random.randint(0, 80) :] + " " + some(random.randint(0, 40)) for _ in range(30)]
+    rows = [*enumerate([*texts, "", None, shared[0], shared[0], some(55)])]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == removable(rows)
+
+
+def test_packed_suffixes_are_one_run_for_each_bucket_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_ROWS", 2)
+    random.seed(13)
+    texts = {bytes([k] * 16): "".join(random.choices("abc", k=600)) for k in range(12)}
+    entries = [(c, p, 0, 336, cell, b"l" * 16, b"h" * 16, 0, 336, 0) for c in texts for p, cell in ((100, 1), (336, 1), (500, 2), (7, 2))]
+    table = spark.createDataFrame([*texts.items()], "content binary, text string").coalesce(1)
+    listed = spark.createDataFrame(entries, "content binary, place int, x int, y int, cell bigint, lo binary, hi binary, least int, most int, known int").coalesce(1)
+    rows = substring_dedup._packed(table, listed, substring_dedup.BYTES, 3).collect()
+    assert sorted(r["bucket"] for r in rows) == [1, 2]
+    for r in rows:
+        digests, numbers, before, runs = substring_dedup._unpacked([r["data"]], 1)
+        order = list(runs[0])
+        got = [(digests[0][k].tobytes(), int(numbers[0][k]), before[k].decode(), s.decode()) for s, _, k in order]
+        assert [s for s, _, _ in order] == sorted(s for s, _, _ in order)
+        assert sorted(got) == sorted((c, p, texts[c][max(0, p - 336) : p], texts[c][p : p + 400]) for c, p, _, _, cell, *_ in entries if cell == r["bucket"])
+
+
+@pytest.mark.parametrize("kind", [substring_dedup.BYTES, substring_dedup.WORDS], ids=["bytes", "words"])
+def test_anchors_of_a_batch_are_those_of_each_window(monkeypatch, kind):
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 70)
+    random.seed(14)
+    join = " " if kind.unit > 1 else ""
+    texts = [join.join(random.choices("ab" if k % 2 else "abcdefg", k=n)) for k, n in enumerate([0, kind.match - 1, kind.match, 1, 3 * kind.match, 0, kind.match + 30])]
+    data, starts = kind.reader()(pa.array(texts))
+    assert np.diff(starts).tolist() == [len(x.split()) if join else len(x) for x in texts] and len(data) == starts[-1] * kind.unit
+    anchors, size, want = substring_dedup.Anchors(kind), kind.anchor, {}
+    for first, end in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        for window in range(first, end - kind.match + 1):
+            grams = anchors.of_suffixes([data[p * kind.unit : (p + size) * kind.unit] for p in range(window, window + kind.left + 1)])
+            at = int((grams >> np.uint64(20)).argmin())
+            want[window + at] = int(grams[at])
+    places, contents = anchors(data, starts)
+    assert dict(zip(places.tolist(), contents.tolist(), strict=True)) == want and len(want) > 3
+
+
+def test_prefixes_of_neighbours():
+    random.seed(15)
+    items = sorted(bytes(random.choices(b"a\0", k=random.randint(0, 40))) for _ in range(5000))
+    plain = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = [0, *map(plain, items, items[1:])]
+    assert substring_dedup.shared_prefixes(items).tolist() == want
+    assert [0, *(substring_dedup.common(a, b, h // 2) for a, b, h in zip(items, items[1:], want[1:], strict=False))] == want
+
+
 def test_loser_tree_merges_front_coded_runs():
     random.seed(5)
     runs = [sorted({bytes(random.choices(b"ab", k=12)) for _ in range(200)}) for _ in range(5)]
