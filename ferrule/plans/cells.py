@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LEAST_RECORDS, LEAST_CELLS, MOST_CELLS, PROBED = 64, 4, 4096, 64
 #: Records for each cell that centroids are trained on, at most; rounds of k-means, at most.
 TRAINED, ROUNDS = 256, 8
+#: Numbers that a step over many vectors holds at once in one matrix, whatever the batch and the number of cells (8 MB).
+HELD = 1 << 20
 
 
 def cell_count(records: int) -> int:
@@ -80,12 +82,16 @@ def train(records: DataFrame) -> np.ndarray:
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest cells of each vector, nearest first."""
+    """The n nearest cells of each vector, nearest first; HELD distances are held at once."""
     if not len(centroids):
-        return np.zeros((len(vectors), 1), np.int64)
-    vectors, centroids = vectors.astype(np.float64), centroids.astype(np.float64)
-    score = (centroids**2).sum(1) - 2 * vectors @ centroids.T
-    return score.argmin(1)[:, None] if n == 1 else np.argsort(score, 1, kind="stable")[:, :n]
+        return np.zeros((len(vectors), 1), np.int32)
+    centroids = centroids.astype(np.float64)
+    size, step = (centroids**2).sum(1), max(1, HELD // len(centroids))
+    found = np.empty((len(vectors), min(n, len(centroids))), np.int32)
+    for at in range(0, len(vectors), step):
+        score = size - 2 * vectors[at : at + step].astype(np.float64) @ centroids.T
+        found[at : at + step] = score.argmin(1)[:, None] if n == 1 else np.argsort(score, 1, kind="stable")[:, :n]
+    return found
 
 
 def assign(records: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -135,3 +135,27 @@ def test_engine_probes_enough_cells(spark, tmp_path):
         exact = {names[i] for i in np.argsort(((matrix - vector) ** 2).sum(1))[:10]}
         shares.append(len(exact & {r["id"] for r in engine.query("d", vector.tolist(), 10)}) / 10)
     assert sum(shares) / len(shares) >= 0.9
+
+
+def held_at_most(run):
+    """What a call gives, and the MB that it held at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_cells_of_a_batch_take_bounded_memory():
+    """The distances of 10000 vectors to 4096 cells alone are 328 MB."""
+    from ferrule.plans import cells
+
+    rng = np.random.default_rng(5)
+    vectors, centroids = rng.normal(size=(10000, 8)), rng.normal(size=(4096, 8)).astype(np.float32)
+    for n in (1, 3):
+        near, mb = held_at_most(lambda n=n: cells.nearest(vectors, centroids, n))
+        assert mb < 60 and near.shape == (10000, n)
+        for at in (0, 255, 256, 9999):
+            assert list(near[at]) == list(np.argsort(((centroids.astype(float) - vectors[at]) ** 2).sum(1))[:n])
