@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..plans.cells import PROBED, nearest, vectors_of
 
 #: Queries that are broadcast at once; more are searched block after block.
 QUERY_BLOCK = 1000
+#: Queries and records of one block product of distances (8 MB).
+SIDE = 1 << 10
 #: Records for which the number of probed cells is fitted, and the share of their nearest that it must reach.
 CALIBRATED, SHARE = 200, 0.95
 
@@ -33,26 +36,49 @@ def knn(records: DataFrame, vector: list[float], k: int, wanted: dict | None = N
     return records.where(F.size("values") == len(vector)).select("id", score.alias("score")).where(has_distance(F.col("score"))).orderBy("score", "id").limit(k)
 
 
-def _best(vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, record and distance of the k nearest records (rows with finite numbers) of each query, and of all that tie with the last.
+def _first(q: np.ndarray, r: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the k first of their query, by score, then by record."""
+    order = np.lexsort((r, score, q))
+    own = q[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
-    A block product tells which can be among them, with room for its rounding;
-    their distances are then summed from the differences.
+
+def _best(vectors: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, record and distance of the k nearest records (rows with finite numbers) of each query, ties by row; none farther than the query's bound.
+
+    Block products of SIDE queries and records tell which can be among them, with
+    room for their rounding; the distances of these are then summed from the differences.
     """
     size, far = (vectors**2).sum(1), (queries**2).sum(1)
-    rough = size[None] - 2 * queries @ vectors.T + far[:, None]
-    if len(vectors) > k:
-        # more than the product can be off by
-        room = 1e-9 * (size.max() + far[:, None]) + 1e-300
-        near = rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + room
-    else:
-        near = np.ones_like(rough, bool)
-    q, r = np.nonzero(near)
-    score = np.empty(len(q))
-    for at in range(0, len(q), 1 << 14):
-        part = slice(at, at + (1 << 14))
-        score[part] = ((vectors[r[part]] - queries[q[part]]) ** 2).sum(1)
-    return q, r, score
+    found = []
+    for a in range(0, len(queries), SIDE):
+        ask, parts = queries[a : a + SIDE], []
+        top = np.full(len(ask), np.inf) if bound is None else bound[a : a + SIDE]
+        for b in range(0, len(vectors), SIDE):
+            own = vectors[b : b + SIDE]
+            # more than the product can be off by
+            room = 1e-9 * (size[b : b + SIDE].max() + far[a : a + SIDE]) + 1e-300
+            rough = size[b : b + SIDE] - 2 * ask @ own.T
+            rough += far[a : a + SIDE, None]
+            near = rough <= (top + room)[:, None]
+            if len(own) > k and np.count_nonzero(near) > 2 * k * len(ask):
+                top = np.minimum(top, np.partition(rough, k - 1, axis=1)[:, k - 1] + room)
+                near = rough <= (top + room)[:, None]
+            q, r = np.nonzero(near)
+            score = np.empty(len(q))
+            for at in range(0, len(q), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                score[part] = ((own[r[part]] - ask[q[part]]) ** 2).sum(1)
+            part = a + q, b + r, score
+            if len(q) > 2 * k * len(ask):  # many ties
+                keep = _first(*part, k)
+                part = tuple(x[keep] for x in part)
+            parts.append(part)
+        if parts:
+            part = tuple(map(np.concatenate, zip(*parts, strict=True)))
+            keep = _first(*part, k)
+            found.append(tuple(x[keep] for x in part))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def _searched(records: DataFrame, queries: DataFrame, k: int, cells_of=None) -> DataFrame:
@@ -78,6 +104,9 @@ def _searched(records: DataFrame, queries: DataFrame, k: int, cells_of=None) ->
                 rows, vectors = vectors_of(batch.column(1), dimension)
                 if not len(rows) or not len(qids):
                     continue
+                # ties go by id
+                order = pc.array_sort_indices(batch.column(0).take(pa.array(rows)), null_placement="at_start").to_numpy()
+                rows, vectors = rows[order], vectors[order]
                 if probed is None:
                     parts = [(np.arange(len(qids)), np.arange(len(rows)))]
                 else:

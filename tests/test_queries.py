@@ -159,3 +159,16 @@ def test_cells_of_a_batch_take_bounded_memory():
         assert mb < 60 and near.shape == (10000, n)
         for at in (0, 255, 256, 9999):
             assert list(near[at]) == list(np.argsort(((centroids.astype(float) - vectors[at]) ** 2).sum(1))[:n])
+
+
+def test_distances_of_a_batch_take_bounded_memory():
+    """The distances of 10000 records to 1000 queries alone are 80 MB; equal distances go by row."""
+    from ferrule.operators import search
+
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.normal(size=(10000, 4)), 1)
+    (q, r, score), mb = held_at_most(lambda: search._best(vectors, vectors[:1000], 10))
+    assert mb < 60 and len(q) == 10000
+    for ask in (0, 500, 999):
+        exact = ((vectors - vectors[ask]) ** 2).sum(1)
+        assert sorted(zip(score[q == ask], r[q == ask], strict=True)) == sorted(zip(exact, range(10000), strict=True))[:10]
