@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import l2_squared, metadata_matches
-from ..plans.cells import PROBED, nearest, vectors_of
+from ..plans.cells import HELD, PROBED, nearest, vectors_of
 
-#: Queries that are broadcast at once; more are searched block after block.
-QUERY_BLOCK = 1000
+#: Queries that are broadcast at once at most; more are searched block after block.
+QUERY_BLOCK = 8192
 #: Queries and records of one block product of distances (8 MB).
 SIDE = 1 << 10
 #: Records for which the number of probed cells is fitted, and the share of their nearest that it must reach.
@@ -81,41 +81,89 @@ def _best(vectors: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray |
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def _searched(records: DataFrame, queries: DataFrame, k: int, cells_of=None) -> DataFrame:
-    """qid, id, score, rank: each query's k nearest among all records, or among those of the cells that cells_of gives for queries.
-
-    Queries are taken in blocks of QUERY_BLOCK, which are broadcast; each batch of
-    records keeps the best of each query before anything is exchanged.
+class Nearest:
+    """The k nearest of the records seen so far for each query of a block, ties by id."""
+
+    def __init__(self, queries: np.ndarray, k: int, probed: tuple[np.ndarray, np.ndarray] | None = None):
+        self.queries, self.k, self.probed = queries, k, probed
+        self.bound, self.held = np.full(len(queries), np.inf), None
+
+    def add(self, ids: pa.Array, vectors: np.ndarray, cell: np.ndarray | None = None) -> None:
+        """More records, with their cells where only the queries that probe a record's cell are to see it."""
+        order = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
+        ids, vectors = ids.take(pa.array(order)), vectors[order]
+        if cell is None:
+            self._merge(ids, *_best(vectors, self.queries, self.k, self.bound))
+            return
+        cell, (asks, starts) = cell[order], self.probed
+        by_cell, waiting, pairs = np.argsort(cell, kind="stable"), [], 0
+        for row in np.split(by_cell, np.flatnonzero(np.diff(cell[by_cell])) + 1):
+            c = cell[row[0]]
+            ask = asks[starts[c] : starts[c + 1]] if 0 <= c < len(starts) - 1 else asks[:0]
+            if len(ask):
+                q, r, score = _best(vectors[row], self.queries[ask], self.k, self.bound[ask])
+                waiting.append((ask[q], row[r], score))
+                pairs += len(q)
+                if pairs > HELD:
+                    self._merge(ids, *map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, pairs = [], 0
+        if waiting:
+            self._merge(ids, *map(np.concatenate, zip(*waiting, strict=True)))
+
+    def _merge(self, ids: pa.Array, q: np.ndarray, r: np.ndarray, score: np.ndarray) -> None:
+        keep = _first(q, r, score, self.k)
+        q, r, score = q[keep], r[keep], score[keep]
+        if not len(q):
+            return
+        table = pa.table({"q": q.astype(np.int64), "id": ids.take(pa.array(r)), "score": score})
+        if self.held is not None:
+            table = pa.concat_tables([self.held, table])
+        table = table.take(pc.sort_indices(table, [("q", "ascending"), ("score", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        q = table["q"].to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.held = table.filter(pa.array(place < self.k)).combine_chunks()
+        last = place == self.k - 1
+        self.bound[q[last]] = table["score"].to_numpy()[last]
+
+    def rows(self, qids: pa.Array) -> list[pa.RecordBatch]:
+        """qid, id, score of all that is held."""
+        return [] if self.held is None else [pa.RecordBatch.from_arrays([qids.take(b.column(0)), b.column(1), b.column(2)], ["qid", "id", "score"]) for b in self.held.to_batches(10000)]
+
+
+def _searched(records: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray | None = None, nprobe: int = 0) -> DataFrame:
+    """qid, id, score, rank: each query's k nearest among all records, or among those of its nprobe nearest cells.
+
+    Queries are taken in blocks of QUERY_BLOCK, or fewer where HELD numbers hold no
+    more of them; a block is broadcast. Each task keeps the best of each query over
+    all its records and cells before anything is exchanged.
     """
     spark, found = records.sparkSession, None
-    count = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+    cells = None if centroids is None else max(1, len(centroids))
+    # a search of all cells reads all records that have one
+    pruned = cells is not None and nprobe < cells
+    if cells is not None and not pruned:
+        records = records.where(F.col("cell").between(0, cells - 1))
+    size = max(1, min(QUERY_BLOCK, HELD // max(1, asked[1] or 0, k, nprobe if pruned else 0)))
+    count = max(1, -(-asked[0] // size))
     kinds = queries.schema["qid"].dataType.simpleString(), records.schema["id"].dataType.simpleString()
-    columns = ["id", "values"] + ["cell"] * (cells_of is not None)
+    columns = ["id", "values"] + ["cell"] * pruned
     for block in range(count):
         own = queries.select("qid", "query").where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("qid"), F.lit(count)) == block)).toArrow()
         dimension = max(own["query"].combine_chunks().value_lengths().to_pylist(), default=0)
-        good, asked = vectors_of(own["query"].combine_chunks(), dimension)
-        probed = None if cells_of is None or not len(good) else cells_of(asked)
-        held = spark.sparkContext.broadcast((own["qid"].combine_chunks().take(pa.array(good)), asked, probed))
+        good, vectors = vectors_of(own["query"].combine_chunks(), dimension)
+        probed = probing(nearest(vectors, centroids, nprobe), cells) if pruned else None
+        held = spark.sparkContext.broadcast((own["qid"].combine_chunks().take(pa.array(good)), vectors, probed))
 
         def run(batches, held=held, dimension=dimension):
             qids, asked, probed = held.value
+            best = Nearest(asked, k, probed)
             for batch in batches:
                 rows, vectors = vectors_of(batch.column(1), dimension)
-                if not len(rows) or not len(qids):
-                    continue
-                # ties go by id
-                order = pc.array_sort_indices(batch.column(0).take(pa.array(rows)), null_placement="at_start").to_numpy()
-                rows, vectors = rows[order], vectors[order]
-                if probed is None:
-                    parts = [(np.arange(len(qids)), np.arange(len(rows)))]
-                else:
-                    cell = batch.column(2).to_numpy(zero_copy_only=False)[rows]
-                    parts = [(np.flatnonzero((probed == c).any(1)), np.flatnonzero(cell == c)) for c in np.unique(cell)]
-                for ask, row in parts:
-                    if len(ask):
-                        q, r, score = _best(vectors[row], asked[ask], k)
-                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(ask[q])), batch.column(0).take(pa.array(rows[row[r]])), pa.array(score)], ["qid", "id", "score"])
+                if len(rows) and len(qids):
+                    cell = None if probed is None else batch.column(2).to_numpy(zero_copy_only=False)[rows]
+                    best.add(batch.column(0).take(pa.array(rows)), vectors, cell)
+            yield from best.rows(qids)
 
         best = records.select(*columns).mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
@@ -124,6 +172,13 @@ def _searched(records: DataFrame, queries: DataFrame, k: int, cells_of=None) ->
     return found
 
 
+def probing(near: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries by the cells that they probe, and where each cell's begin."""
+    flat = near.ravel()
+    order = np.argsort(flat, kind="stable")
+    return (order // max(1, near.shape[1])).astype(np.int32), np.searchsorted(flat[order], np.arange(cells + 1))
+
+
 def knn_batch(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank for a stated set of queries against all records."""
     return _searched(records, queries, k)
@@ -138,7 +193,7 @@ def merge_recent(recent: DataFrame, cold: DataFrame, k: int, suppressed: DataFra
 
 def probe(records: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
     """Nearest k among the records (which have a cell) of each query's nprobe nearest cells."""
-    return _searched(records, queries, k, lambda asked: nearest(asked, centroids, nprobe))
+    return _searched(records, queries, k, centroids, nprobe)
 
 
 def calibrate(records: DataFrame, centroids: np.ndarray, k: int) -> int:

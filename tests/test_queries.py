@@ -172,3 +172,32 @@ def test_distances_of_a_batch_take_bounded_memory():
     for ask in (0, 500, 999):
         exact = ((vectors - vectors[ask]) ** 2).sum(1)
         assert sorted(zip(score[q == ask], r[q == ask], strict=True)) == sorted(zip(exact, range(10000), strict=True))[:10]
+
+
+def test_a_task_hands_on_no_more_than_the_nearest(spark, monkeypatch):
+    """Over several batches and cells, and for pruned, full and exact search: k rows of a query, the right ones."""
+    from ferrule.operators import search
+    from ferrule.plans import cells
+
+    rng = np.random.default_rng(7)
+    vectors = np.round(rng.normal(size=(3000, 4)), 1).astype(np.float32)  # ties happen
+    centroids = vectors[:40]
+    table = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(vectors)], "id string, values array<float>").repartition(2)
+    placed, queries = cells.assign(table, centroids), spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 3000, 100)], "qid int, query array<float>")
+    cell = cells.nearest(vectors.astype(float), centroids, 1)[:, 0]
+    handed, real = [], type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda *args: handed.append(real(*args)) or handed[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        for nprobe in (0, 5, 40):
+            found = search.probe(placed, centroids, queries, nprobe, 7) if nprobe else search.knn_batch(table, queries, 7)
+            assert handed[-1].count() <= table.rdd.getNumPartitions() * queries.count() * 7
+            got = {}
+            for row in found.orderBy("qid", "rank").collect():
+                got.setdefault(row["qid"], []).append(row["id"])
+            for i in range(0, 3000, 100):
+                near = cells.nearest(vectors[i : i + 1].astype(float), centroids, nprobe or 40)[0]
+                score = ((vectors.astype(float) - vectors[i].astype(float)) ** 2).sum(1)
+                assert got[i] == [n for _, n in sorted((score[j], f"v{j}") for j in range(3000) if cell[j] in near)[:7]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
