@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Pieces, Splitter, default_vocabulary
+from .bpe import Pieces, Splitter, byte_letters, default_vocabulary
 from .common import documents, kept, scratch_path, tune
 
 #: Bytes of a block, bits and hashes of the filter for each key.
@@ -59,7 +59,9 @@ class Encoder:
         self.whole = spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.split, self.pieces, self.letter = Splitter(), Pieces(self._library), "H" if self.dtype == "<u2" else "I"
+        self.letter = "H" if self.dtype == "<u2" else "I"
+        self.model, self.letters = self.library.model, dict(enumerate(byte_letters()))
+        self.split, self.pieces = Splitter(), Pieces(self._piece)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         end = np.array([self.end], self.dtype).tobytes()
@@ -70,6 +72,11 @@ class Encoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
+    def _piece(self, piece: str) -> bytes:
+        """Of one piece, by the library's model alone, which gets the letters that stand for its bytes."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}{self.letter}", *[t.id for t in tokens])
+
     def ids(self, text: str) -> bytes:
         if self.whole or len(text) > LONG or any(s in text for s in self.special):
             return self._library(text)

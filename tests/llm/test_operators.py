@@ -656,3 +656,11 @@ def test_oracles(spark, name):
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert sorted(map(tuple, ours[columns].astype(str).values)) == sorted(map(tuple, theirs[columns].astype(str).values))
+
+
+def test_pieces_are_encoded_by_the_model_alone():
+    """Short texts need no call of the whole library, and have its ids."""
+    encoder = token_tables.Encoder(bpe.default_vocabulary(), 2)
+    texts = ["", " ", "a  b\n\n c", "it's 12 o'clock, café über", "你好 \U0001f600x\x00  \n", " Equétionpa ofwhblest-" * 9]
+    want, encoder.library = [encoder._library(x) for x in texts], None
+    assert [encoder.ids(x) for x in texts] == want
